@@ -1,6 +1,6 @@
 """Import every named-query module so the registry is complete."""
 
-from choicelens.plans import q_choice  # noqa: F401
+from choicelens.plans import q_choice, q_impute  # noqa: F401
 from choicelens.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["QUERIES", "ORACLE_SQL"]
