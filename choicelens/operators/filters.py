@@ -92,18 +92,22 @@ def numeric_columns(df: DataFrame):
 
 
 def constant_columns(df: DataFrame, cols=None) -> DataFrame:
-    """One-row frame flagging columns with at most one distinct non-null value (O-P2).
+    """Flag columns holding at most one distinct non-null value (O-P2).
 
-    One aggregate job for all columns; ``approx`` is not used so the answer
-    is exact.
+    ``min == max`` over non-null values decides it in one pass with plain
+    min/max aggregates; N ``count(distinct)`` would expand the input N times.
     """
     cols = list(cols or df.columns)
-    agg = df.agg(*[F.count_distinct(F.col(c)).alias(c) for c in cols])
-    return agg.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_distinct"))
-        for c in cols])).alias("s")).select(
-        "s.column_name", "s.n_distinct",
-        (F.col("s.n_distinct") <= 1).alias("is_constant"))
+    aggs = []
+    for c in cols:
+        x = F.col(f"`{c}`")
+        aggs += [F.count(x).alias(f"{c}|n"),
+                 F.coalesce(F.min(x) == F.max(x), F.lit(True)).alias(f"{c}|const")]
+    wide = df.agg(*aggs)
+    return wide.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}|n`").alias("non_null"),
+                 F.col(f"`{c}|const`").alias("is_constant"))
+        for c in cols])).alias("s")).select("s.*")
 
 
 def keep_selected(df: DataFrame, col: str, selected) -> DataFrame:
