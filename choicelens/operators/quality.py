@@ -73,15 +73,18 @@ def column_overview(df: DataFrame) -> DataFrame:
 
 
 def profile(df: DataFrame, top_n: int = 3, digits: int = 6) -> DataFrame:
-    """Column profile as a long table (column, metric, value) (O-M8).
-
-    Metrics: count, nulls, distinct; for numeric columns also min, max,
-    mean, std, p25/p50/p75 (exact percentiles — memory grows with distinct
-    values per column); for all columns the ``top_n`` most frequent values
-    ("top1".."topN" as "value:count", ties by value). Two jobs in total:
-    one aggregate for the scalar metrics, one grouped count for top values.
+    """Column profile as a long table (column_name, metric, value, text) (O-M8).
+
+    Metrics: count, nulls, distinct; numeric columns add min, max, mean,
+    std, p25/p50/p75 (exact percentiles keep a value→count map, memory grows
+    with distinct values); string columns add the ``top_n`` most frequent
+    values ("top1".., ``text`` = the value, ``value`` = its count, ties by
+    value). Two jobs: one aggregate for all scalar metrics, one grouped
+    count for the top values.
     """
-    num = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    num = [c for c, t in fields.items() if isinstance(t, T.NumericType)]
+    strs = [c for c, t in fields.items() if isinstance(t, T.StringType)]
     aggs, metrics = [], []
     for c in df.columns:
         x = F.col(f"`{c}`")
@@ -96,22 +99,23 @@ def profile(df: DataFrame, top_n: int = 3, digits: int = 6) -> DataFrame:
                   ("p75", F.round(F.percentile(xd, 0.75), digits))]
         for name, e in m:
             alias = f"{c}|{name}"
-            aggs.append(e.cast("string").alias(alias))
+            aggs.append(e.cast("double").alias(alias))
             metrics.append((c, name, alias))
     wide = df.agg(*aggs)
     scal = _long(wide, [F.struct(F.lit(c).alias("column_name"), F.lit(n).alias("metric"),
-                                 F.col(f"`{a}`").alias("value")) for c, n, a in metrics])
-    if top_n <= 0:
+                                 F.col(f"`{a}`").alias("value"),
+                                 F.lit(None).cast("string").alias("text"))
+                        for c, n, a in metrics])
+    if top_n <= 0 or not strs:
         return scal
-    # top values: one grouped count over (column, value) pairs
     pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("v"))
-        for c in df.columns])).alias("p")).select("p.*")
+        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("v")) for c in strs]))
+        .alias("p")).select("p.*")
     counts = pairs.where(F.col("v").isNotNull()).groupBy("column_name", "v").agg(
         F.count(F.lit(1)).alias("n"))
     from choicelens.operators.ranking import top_k
     top = top_k(counts, ["column_name"], ["-n", "v"], top_n, "rank")
-    top = top.select("column_name", F.concat(F.lit("top"), F.col("rank").cast("string"))
-                     .alias("metric"),
-                     F.concat(F.col("v"), F.lit(":"), F.col("n").cast("string")).alias("value"))
+    top = top.select("column_name",
+                     F.concat(F.lit("top"), F.col("rank").cast("string")).alias("metric"),
+                     F.col("n").cast("double").alias("value"), F.col("v").alias("text"))
     return scal.unionByName(top)
