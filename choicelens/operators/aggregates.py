@@ -112,13 +112,15 @@ def min_max(df: DataFrame, col: str, keys=()) -> DataFrame:
     return g.agg(F.min(col).alias(f"min_{col}"), F.max(col).alias(f"max_{col}"))
 
 
-def numeric_summary(df: DataFrame, cols, digits: int | None = 6, approx: bool = False
+def numeric_summary(df: DataFrame, cols, digits: int | None = 6, approx: bool = True
                     ) -> DataFrame:
     """count, mean, stddev, min, median, max per column, one row per column (O-A16).
 
-    One aggregate for all columns. The exact median keeps a value→count map
-    per column (memory grows with distinct values, not rows); pass
-    ``approx=True`` for continuous high-cardinality columns.
+    One aggregate for all columns. By default the median is a bounded-memory
+    sketch (``percentile_approx``). ``approx=False`` gives the exact,
+    interpolated median, which keeps a value→count map per column — use it
+    for low-cardinality columns only (memory grows with distinct values and
+    the maps merge in one task).
     """
     def r(c):
         return F.round(c, digits) if digits is not None else c

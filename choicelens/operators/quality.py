@@ -72,15 +72,19 @@ def column_overview(df: DataFrame) -> DataFrame:
                         for i, c in enumerate(cols)])
 
 
-def profile(df: DataFrame, top_n: int = 3, digits: int = 6) -> DataFrame:
+def profile(df: DataFrame, top_n: int = 3, digits: int = 6, quantiles: str | None = "approx",
+            accuracy: int = 10000) -> DataFrame:
     """Column profile as a long table (column_name, metric, value, text) (O-M8).
 
     Metrics: count, nulls, distinct; numeric columns add min, max, mean,
-    std, p25/p50/p75 (exact percentiles keep a value→count map, memory grows
-    with distinct values); string columns add the ``top_n`` most frequent
-    values ("top1".., ``text`` = the value, ``value`` = its count, ties by
-    value). Two jobs: one aggregate for all scalar metrics, one grouped
-    count for the top values.
+    std and, unless ``quantiles`` is None, p25/p50/p75. ``"approx"`` uses a
+    bounded-memory sketch (``percentile_approx``, relative rank error
+    1/accuracy) — the right choice for large, high-cardinality columns;
+    ``"exact"`` keeps a value→count map per column (memory grows with the
+    distinct values, merged in one task). String columns add the ``top_n``
+    most frequent values ("top1".., ``text`` = value, ``value`` = count,
+    ties by value). Two jobs: one aggregate for all scalar metrics, one
+    grouped count for the top values.
     """
     fields = {f.name: f.dataType for f in df.schema.fields}
     num = [c for c, t in fields.items() if isinstance(t, T.NumericType)]
@@ -93,17 +97,30 @@ def profile(df: DataFrame, top_n: int = 3, digits: int = 6) -> DataFrame:
         if c in num:
             xd = x.cast("double")
             m += [("min", F.min(xd)), ("max", F.max(xd)), ("mean", F.round(F.avg(xd), digits)),
-                  ("std", F.round(F.stddev_samp(xd), digits)),
-                  ("p25", F.round(F.percentile(xd, 0.25), digits)),
-                  ("p50", F.round(F.percentile(xd, 0.5), digits)),
-                  ("p75", F.round(F.percentile(xd, 0.75), digits))]
+                  ("std", F.round(F.stddev_samp(xd), digits))]
+            if quantiles:
+                ps = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+                q = (F.percentile_approx(xd, ps, accuracy) if quantiles == "approx"
+                     else F.percentile(xd, ps))
+                m.append(("_q", q))
         for name, e in m:
+            if name == "_q":
+                alias = f"{c}|_q"
+                aggs.append(e.alias(alias))
+                for i, pn in enumerate(["p25", "p50", "p75"]):
+                    metrics.append((c, pn, (alias, i)))
+                continue
             alias = f"{c}|{name}"
             aggs.append(e.cast("double").alias(alias))
             metrics.append((c, name, alias))
     wide = df.agg(*aggs)
+
+    def val(a):
+        if isinstance(a, tuple):
+            return F.round(F.col(f"`{a[0]}`")[a[1]], digits).cast("double")
+        return F.col(f"`{a}`")
     scal = _long(wide, [F.struct(F.lit(c).alias("column_name"), F.lit(n).alias("metric"),
-                                 F.col(f"`{a}`").alias("value"),
+                                 val(a).alias("value"),
                                  F.lit(None).cast("string").alias("text"))
                         for c, n, a in metrics])
     if top_n <= 0 or not strs:
