@@ -50,6 +50,15 @@ EU27_NAMES = {
 # Codes that differ from ISO 3166-1 alpha-2.
 ISO2_ALIASES = {"EL": "GR", "UK": "GB"}
 
+# ISO 3166-1 alpha-3 codes of the ISO alpha-2 codes used above (after aliases).
+ISO3_OF_ISO2 = {
+    "AT": "AUT", "BE": "BEL", "BG": "BGR", "HR": "HRV", "CY": "CYP", "CZ": "CZE",
+    "DK": "DNK", "EE": "EST", "FI": "FIN", "FR": "FRA", "DE": "DEU", "GR": "GRC",
+    "HU": "HUN", "IE": "IRL", "IT": "ITA", "LV": "LVA", "LT": "LTU", "LU": "LUX",
+    "MT": "MLT", "NL": "NLD", "PL": "POL", "PT": "PRT", "RO": "ROU", "SK": "SVK",
+    "SI": "SVN", "ES": "ESP", "SE": "SWE", "GB": "GBR",
+}
+
 # Manufacturer aliases → canonical name (applied after the drop list).
 MANUFACTURER_ALIASES = {
     "AUDI HUNGARIA": "AUDI AG",

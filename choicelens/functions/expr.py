@@ -81,3 +81,11 @@ def log_colour(c) -> Column:
 
 def clamp(c, lo, hi) -> Column:
     return F.least(F.greatest(col(c), F.lit(lo)), F.lit(hi))
+
+
+def round_doubles(df, digits: int = 2):
+    """Half-even rounding of every double/float column (payload rounding)."""
+    from pyspark.sql import types as T
+    return df.withColumns({f.name: F.bround(F.col(f"`{f.name}`"), digits)
+                           for f in df.schema.fields
+                           if isinstance(f.dataType, (T.DoubleType, T.FloatType))})

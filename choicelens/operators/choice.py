@@ -168,3 +168,23 @@ def country_normalised_total(normalised: DataFrame, value_col: str, geo_keys=("g
         df = df.where(F.col(cat_col).isin(list(selected))) if selected else df.limit(0)
     return (df.groupBy(*geo_keys, year_col)
             .agg(F.sum(value_col).alias("normalised_total")))
+
+
+def country_normalisation(df: DataFrame, metric: str, geo_keys=("geo",),
+                          keys=("year", "energy"), **kw) -> DataFrame:
+    """Per-country normalised registrations by ``metric`` (O-M10).
+
+    'raw' → summed registrations, 'baseline' → distinct-configuration ratio,
+    'autoencoder' → latent-grid ratio. The country key joins the group keys,
+    so each country's figure comes from its own rows.
+    """
+    k = tuple(geo_keys) + tuple(keys)
+    if metric == "raw":
+        return df.groupBy(*k).agg(F.sum("registrations").cast("bigint").alias("value"))
+    if metric == "baseline":
+        return baseline_normalisation(df, keys=k, **kw).select(
+            *k, F.col("baseline_normalized_registrations").alias("value"))
+    if metric == "autoencoder":
+        return grid_normalisation(df, keys=k, **kw).select(
+            *k, F.col("normalized_registrations").alias("value"))
+    raise ValueError(f"unknown metric {metric!r}")

@@ -43,3 +43,20 @@ def arg_max(df: DataFrame, group_cols, order) -> DataFrame:
 def order_by(df: DataFrame, order) -> DataFrame:
     """Global sort (O-T1). Range-partitioned, no single-task sort."""
     return df.orderBy(*_orders(order))
+
+
+def order_by_mean(df: DataFrame, key: str, value: str, descending: bool = True
+                  ) -> DataFrame:
+    """Keys with their mean and a rank by it (ties by key) (O-T10).
+
+    The rank is a global ``row_number`` over the per-key means — one row per
+    key, so the single ordered partition holds the (small) key set only.
+    """
+    means = df.groupBy(key).agg(F.avg(value).alias("mean"))
+    o = F.col("mean").desc() if descending else F.col("mean").asc()
+    return means.withColumn("position", F.row_number().over(Window.orderBy(o, F.col(key))))
+
+
+def dedup_rows(df: DataFrame, subset=None) -> DataFrame:
+    """Drop duplicate rows, optionally on a column subset (O-T5)."""
+    return df.dropDuplicates(list(subset)) if subset else df.dropDuplicates()

@@ -103,3 +103,29 @@ def fuel_hierarchy_rules(leaf_parents=("Electricity", "LPG", "Natural gas", "Oth
                  .when(label.startswith("-"), detail))
         return parent, child
     return rules
+
+
+def ordered_pivot(df: DataFrame, row_col: str, row_order, pivot_col: str, values,
+                  measure: str, agg: str = "first", labels: dict | None = None,
+                  drop_rows=()) -> DataFrame:
+    """Pivot with a fixed row order, row relabelling and dropped rows (O-R8).
+
+    ``row_order`` lists the row keys in display order (``row_order`` column =
+    1-based position, null for unlisted rows); rows absent from the data are
+    added with nulls so every listed row appears.
+    """
+    out = pivot_wide(df.where(~F.col(row_col).isin(list(drop_rows))) if drop_rows else df,
+                     [row_col], pivot_col, values, measure, agg)
+    order = F.array(*[F.lit(r) for r in row_order])
+    spark = df.sparkSession
+    listed = spark.createDataFrame([(r,) for r in row_order if r not in drop_rows],
+                                   f"{row_col} string")
+    out = listed.join(out, row_col, "full")
+    out = out.withColumn("row_order", F.nullif(F.array_position(order, F.col(row_col)),
+                                                F.lit(0)).cast("int"))
+    if labels:
+        out = out.withColumn(row_col, F.coalesce(
+            F.element_at(F.create_map(*[x for k, v in labels.items()
+                                        for x in (F.lit(k), F.lit(v))]), F.col(row_col)),
+            F.col(row_col)))
+    return out

@@ -41,3 +41,15 @@ def share_with_total(df: DataFrame, value: str, by, min_total=None, pct: bool =
 def renormalise(df: DataFrame, value: str, by, alias: str | None = None) -> DataFrame:
     """Scale values so they sum to 1 within each group (O-W5)."""
     return df.withColumn(alias or value, F.col(value) / F.sum(value).over(Window.partitionBy(*by)))
+
+
+def pie_slices(df: DataFrame, cat_col: str, value: str, selected=None, by=()) -> DataFrame:
+    """Positive values of the selected categories with their percent (O-R10, O-W8).
+
+    Works on the long form (no unpivot of a wide row needed); an empty
+    selection gives no rows.
+    """
+    src = df
+    if selected is not None:
+        src = src.where(F.col(cat_col).isin(list(selected))) if selected else src.limit(0)
+    return share(src, value, by=by, pct=True, positive_only=True, alias="pct")

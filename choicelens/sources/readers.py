@@ -81,3 +81,15 @@ def read_csv_glob(spark: SparkSession, directory: str, pattern: str = "*.csv",
     if exclude_prefix:
         df = df.where(~F.col("_file_name").startswith(exclude_prefix))
     return df
+
+
+def cached_table(spark: SparkSession, path: str, view: str | None = None) -> DataFrame:
+    """Parquet scan cached for the session, optionally as a temp view (O-S6).
+
+    A missing path fails at once with Spark's analysis error. The cache is
+    rebuilt from the files if an executor holding blocks is lost.
+    """
+    df = spark.read.parquet(path).cache()
+    if view:
+        df.createOrReplaceTempView(view)
+    return df
