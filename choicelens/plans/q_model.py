@@ -96,10 +96,14 @@ def q_autoencoder_fit(spark, d):
                         .where(F.col("split") == "train"))
     s = L.scale(SM.hash_split(f, ["line_order", "line_number", "variant"]), st)
     scols = [f"s_{c}" for c in FEATURES]
-    s = s.select("split", *scols).persist(StorageLevel.MEMORY_AND_DISK)
+    s = s.select("split", *scols)
+    # every epoch scans this frame: spread it over all cores, then keep it
+    par = spark.sparkContext.defaultParallelism
+    if s.rdd.getNumPartitions() < par:
+        s = s.repartition(par)
+    s = s.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        _, hist = L.autoencoder_fit(s.where(F.col("split") == "train"), scols, epochs=5,
-                                    lr=1e-2, val=s.where(F.col("split") == "val"))
+        _, hist = L.autoencoder_fit(s, scols, epochs=5, lr=1e-2, split_col="split")
     finally:
         s.unpersist()
     return spark.createDataFrame(hist, "epoch int, train_mse double, val_mse double")
