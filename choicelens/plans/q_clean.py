@@ -124,7 +124,8 @@ SELECT year, energy, CAST(sum(registrations) AS BIGINT) AS registrations
 FROM sales WHERE geo = 7 AND year BETWEEN 1996 AND 1999 GROUP BY ALL
 """, geo=True))
 def q_year_region_filter(spark, d):
-    s = P.region_filter(sales_by_part(spark, d, geo=True), 7, years=[1996, 1999])
+    s = P.region_filter(sales_by_part(spark, d, geo=True, years=(1996, 1999)), 7,
+                        years=[1996, 1999])
     return A.sum_by(s, ["year", "energy"], "registrations")
 
 
@@ -133,7 +134,8 @@ SELECT year, CAST(sum(registrations) AS BIGINT) AS registrations
 FROM sales WHERE year BETWEEN 1997 AND 2000 GROUP BY ALL
 """))
 def q_all_regions_filter(spark, d):
-    s = P.region_filter(sales_by_part(spark, d), "EU27_2020", years=[1997, 2000])
+    s = P.region_filter(sales_by_part(spark, d, years=(1997, 2000)), "EU27_2020",
+                        years=[1997, 2000])
     return A.sum_by(s, ["year"], "registrations")
 
 

@@ -87,7 +87,8 @@ SELECT energy, registrations,
 FROM g WHERE registrations > 0
 """))
 def q_pie_slices(spark, d):
-    g = A.sum_by(sales_by_part(spark, d).where(F.col("year") == 1998), ["energy"],
+    g = A.sum_by(sales_by_part(spark, d, years=(1998, 1998)).where(F.col("year") == 1998),
+                 ["energy"],
                  "registrations")
     return S.pie_slices(g, "energy", "registrations", ["ECONOMY", "LARGE", "PROMO"])
 

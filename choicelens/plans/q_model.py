@@ -170,8 +170,8 @@ FROM raw LEFT JOIN g ON raw.year = g.year AND raw.energy = g.energy
 """, geo=True))
 def q_overview_payload(spark, d):
     years = [1996, 2000]
-    part = region_filter(sales_by_part(spark, d, geo=True), 5, years)
-    lines = region_filter(sales_lines(spark, d, geo=True), 5, years)
+    part = region_filter(sales_by_part(spark, d, geo=True, years=years), 5, years)
+    lines = region_filter(sales_lines(spark, d, geo=True, years=years), 5, years)
     b = choice.baseline_normalisation(part).select(
         "year", "energy", "registrations_count",
         F.col("baseline_normalized_registrations").alias("baseline"))
@@ -205,7 +205,7 @@ def q_volume_payload(spark, d):
 SELECT energy, commercial_name, registrations, z_1, z_2 FROM sales WHERE year = 1998
 """))
 def q_latent_scatter_points(spark, d):
-    s = sales_lines(spark, d).where(F.col("year") == 1998)
+    s = sales_lines(spark, d, years=(1998, 1998)).where(F.col("year") == 1998)
     return s.select("energy", "commercial_name", "registrations", "z_1", "z_2")
 
 
