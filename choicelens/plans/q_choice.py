@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from choicelens.functions.expr import grid_cell, log_colour
+from choicelens.functions.expr import log_colour
 from choicelens.operators import choice
 from choicelens.plans.bindings import sales_by_part, sales_lines
 from choicelens.plans.registry import register, with_sales
@@ -191,5 +191,3 @@ def q_country_log_value(spark, d):
     t = t.withColumn("value", F.round("normalised_total", 6)).drop("normalised_total")
     return t.withColumn("colour_value", F.round(log_colour("value"), 6))
 
-
-_ = grid_cell  # re-exported for callers building their own cells

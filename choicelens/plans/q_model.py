@@ -222,7 +222,8 @@ def q_year_options(spark, d):
          .where(F.col("year").between(1996, 2003)).distinct())
     lo = y.select(F.min("year")).scalar()
     hi = y.select(F.max("year")).scalar()
-    return y.withColumn("selected", F.col("year") == F.least(F.greatest(F.lit(2005), lo), hi))
+    # the requested year (2005) clamped into the available range (O-M15)
+    return y.withColumn("selected", F.col("year") == clamp(F.lit(2005), lo, hi))
 
 
 @register("geo_options", """
@@ -239,5 +240,3 @@ def q_geo_options(spark, d):
                                   F.lit(0).alias("priority"))
     return pseudo.unionByName(opts).orderBy("priority", "label")
 
-
-_ = clamp
