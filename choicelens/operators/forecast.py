@@ -73,8 +73,10 @@ def holt_forecast(df: DataFrame, keys, time_col: str, value_col: str, horizon: i
     schema = T.StructType(
         [df.schema[k] for k in keys]
         + [T.StructField(time_col, T.IntegerType()), T.StructField(value_col, T.DoubleType())])
-    src = df.select(*keys, F.col(time_col).cast("int").alias(time_col),
-                    F.col(value_col).cast("double").alias(value_col))
+    # one value per (series, period): each group handed to Python then holds
+    # at most one row per period, whatever the grain of the input
+    src = (df.groupBy(*keys, F.col(time_col).cast("int").alias(time_col))
+           .agg(F.sum(F.col(value_col).cast("double")).alias(value_col)))
     if not keys:
         src = src.withColumn("_one", F.lit(1))
         schema_one = T.StructType(list(schema.fields) + [T.StructField("_one", T.IntegerType())])

@@ -73,7 +73,7 @@ def column_overview(df: DataFrame) -> DataFrame:
 
 
 def profile(df: DataFrame, top_n: int = 3, digits: int = 6, quantiles: str | None = "approx",
-            accuracy: int = 10000) -> DataFrame:
+            accuracy: int = 10000, approx_distinct: bool = False) -> DataFrame:
     """Column profile as a long table (column_name, metric, value, text) (O-M8).
 
     Metrics: count, nulls, distinct; numeric columns add min, max, mean,
@@ -84,7 +84,9 @@ def profile(df: DataFrame, top_n: int = 3, digits: int = 6, quantiles: str | Non
     distinct values, merged in one task). String columns add the ``top_n``
     most frequent values ("top1".., ``text`` = value, ``value`` = count,
     ties by value). Two jobs: one aggregate for all scalar metrics, one
-    grouped count for the top values.
+    grouped count for the top values. Exact distinct counts of N columns
+    expand the input N times in the shuffle; ``approx_distinct`` uses
+    HyperLogLog sketches instead (one pass, bounded state) for wide tables.
     """
     fields = {f.name: f.dataType for f in df.schema.fields}
     num = [c for c, t in fields.items() if isinstance(t, T.NumericType)]
@@ -93,7 +95,8 @@ def profile(df: DataFrame, top_n: int = 3, digits: int = 6, quantiles: str | Non
     for c in df.columns:
         x = F.col(f"`{c}`")
         m = [("count", F.count(x)), ("nulls", F.count_if(x.isNull())),
-             ("distinct", F.count_distinct(x))]
+             ("distinct", F.approx_count_distinct(x) if approx_distinct
+              else F.count_distinct(x))]
         if c in num:
             xd = x.cast("double")
             m += [("min", F.min(xd)), ("max", F.max(xd)), ("mean", F.round(F.avg(xd), digits)),

@@ -107,7 +107,8 @@ def q_profile(spark, d):
 @register("profile_quantiles")
 def q_profile_quantiles(spark, d):
     """Full profile with sketch quantiles (rows-only: sketches differ by engine)."""
-    return Q.profile(read_table(spark, d, "orders", PROFILE_COLS), top_n=3, quantiles="approx")
+    return Q.profile(read_table(spark, d, "orders", PROFILE_COLS), top_n=3, quantiles="approx",
+                     approx_distinct=True)
 
 
 # -- cross-source reconciliation ---------------------------------------------

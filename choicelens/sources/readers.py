@@ -54,8 +54,9 @@ def read_csv_title_line(spark: SparkSession, path: str, n_title_lines: int = 1)
            .withColumn("_pos", F.monotonically_increasing_id()))
     # monotonically_increasing_id is taken right at the scan: partition index
     # in the high bits, so within one file it follows byte order.
+    from choicelens.operators.joins import checked_broadcast
     w_first = raw.groupBy("_file").agg(F.min("_pos").alias("_start"))
-    numbered = raw.join(F.broadcast(w_first), "_file")  # one row per file
+    numbered = raw.join(checked_broadcast(w_first), "_file")  # one row per file
     header_row = raw.orderBy("_pos").limit(n_title_lines + 1).collect()[-1]
     names = [str(v) if v is not None else f"_c{i}" for i, v in enumerate(header_row[:-2])]
     data_cols = [c for c in raw.columns if c not in ("_file", "_pos")]

@@ -75,3 +75,19 @@ def test_streaming_ingest(spark, tmp_dir):
     assert out.count() == 3
     assert sorted(r["manufacturer"] for r in out.collect()) == ["BMW AG", "BMW AG", "RENAULT"]
     assert {r["energy"] for r in out.collect()} == {"Petrol (excluding hybrids)", "Electricity"}
+
+
+def test_streaming_running_totals(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "drop2")
+    os.makedirs(src)
+    with open(os.path.join(src, "p.csv"), "w") as f:
+        f.write(RAW_HEADER + "\n" + "\n".join(_raw_lines()) + "\n")
+    stream = ingest.clean_rows(ingest.stream_raw_csv(spark, src))
+    q = (ingest.running_totals(stream).writeStream.outputMode("complete").format("memory")
+         .queryName("running_totals_test")
+         .option("checkpointLocation", os.path.join(tmp_dir, "ckpt2"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    got = {(r["year"], r["energy"]): r["registrations"]
+           for r in spark.sql("select * from running_totals_test").collect()}
+    assert got == {(2020, "Petrol (excluding hybrids)"): 15, (2022, "Electricity"): 6}
