@@ -212,3 +212,79 @@ def q_detail_vs_total(spark, d):
     rows = details.unionByName(total)
     return detail_vs_total(rows, ["year"], "label", "n",
                            ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL"], "Total")
+
+
+# -- cross-source validation flow (roll-ups, label alignment, join, guarded %) --
+
+# FIXED VALUES — label alignment and parent categories shared by both sources
+ALIGN = {"PROMO": "PROMO+STD", "STANDARD": "PROMO+STD"}
+ALIGNED_PARENTS = {"ECONOMY": "BASIC (all)", "PROMO+STD": "BASIC (all)",
+                   "LARGE": "SIZED (all)", "MEDIUM": "SIZED (all)", "SMALL": "SIZED (all)"}
+
+
+def _validation_side(spark, d, date_col: str, years):
+    """(geo, year, label, registrations) of one source, dated by ``date_col``.
+
+    Lines are summed per (geo, year, part) before the part join (the part
+    attributes depend on the part only), then labels are aligned and the
+    parent categories are added as extra rows.
+    """
+    from choicelens.functions.expr import replace_values
+    from choicelens.operators.aggregates import parent_rollup
+    from choicelens.plans.bindings import _year_range_filter
+    li = read_table(spark, d, "lineitem", ["l_orderkey", "l_partkey", "l_quantity",
+                                            "l_shipdate"])
+    o = read_table(spark, d, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
+    c = read_table(spark, d, "customer", ["c_custkey", "c_nationkey"])
+    p = read_table(spark, d, "part", ["p_partkey", "p_type"])
+    src = li if date_col == "l_shipdate" else o
+    src = src.where(_year_range_filter(date_col, years))
+    li, o = (src, o) if date_col == "l_shipdate" else (li, src)
+    j = (li.join(o, li.l_orderkey == o.o_orderkey)
+         .join(c, o.o_custkey == c.c_custkey)
+         .groupBy(F.col("c_nationkey").alias("geo"), F.year(date_col).cast("int").alias("year"),
+                  "l_partkey")
+         .agg(F.sum(F.col("l_quantity").cast("int")).alias("registrations")))
+    j = j.join(p, j.l_partkey == p.p_partkey).select(
+        "geo", "year", F.col("p_type").alias("label"), "registrations")
+    j = j.withColumn("label", replace_values("label", ALIGN))
+    return parent_rollup(j, ["geo", "year"], "label", ALIGNED_PARENTS, "registrations")
+
+
+def _validation_sql_side(date_expr: str, name: str) -> str:
+    return f"""{name}0 AS (
+  SELECT c.c_nationkey AS geo, CAST(year({date_expr}) AS INTEGER) AS year,
+         CASE WHEN p.p_type IN ('PROMO', 'STANDARD') THEN 'PROMO+STD' ELSE p.p_type END AS label,
+         CAST(l.l_quantity AS INTEGER) AS r
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+       JOIN customer c ON o.o_custkey = c.c_custkey JOIN part p ON l.l_partkey = p.p_partkey
+  WHERE year({date_expr}) BETWEEN 1996 AND 2000),
+{name}1 AS (
+  SELECT geo, year, label, r FROM {name}0
+  UNION ALL
+  SELECT geo, year, CASE WHEN label IN ('ECONOMY', 'PROMO+STD') THEN 'BASIC (all)'
+                         ELSE 'SIZED (all)' END, r FROM {name}0),
+s{name} AS (SELECT geo, year, label, sum(r) AS t FROM {name}1 GROUP BY ALL)"""
+
+
+@register("cross_source_validation", f"""
+WITH {_validation_sql_side("o.o_orderdate", "a")},
+{_validation_sql_side("l.l_shipdate", "b")},
+g AS (SELECT sa.label, sa.year, CAST(sum(sa.t) AS BIGINT) AS total_a,
+             CAST(sum(sb.t) AS BIGINT) AS total_b
+      FROM sa JOIN sb ON sa.geo = sb.geo AND sa.year = sb.year AND sa.label = sb.label
+      GROUP BY ALL)
+SELECT label, year, total_a, total_b, (total_a - total_b) / 1000.0::DOUBLE AS diff_thousands,
+       CASE WHEN total_a = 0 AND total_b = 0 THEN 0.0::DOUBLE WHEN total_b = 0 THEN 100.0::DOUBLE
+            ELSE (total_a - total_b) / total_b * 100.0::DOUBLE END AS diff_pct
+FROM g
+""")
+def q_cross_source_validation(spark, d):
+    """Order-dated vs ship-dated registrations, aligned labels + roll-ups (§3.3)."""
+    years = (1996, 2000)
+    a = _validation_side(spark, d, "o_orderdate", years)
+    b = _validation_side(spark, d, "l_shipdate", years)
+    out = reconcile(a, b, ["geo", "year", "label"], "registrations", "registrations",
+                    by=["label", "year"])
+    return out.withColumn("total_a", F.col("total_a").cast("bigint")).withColumn(
+        "total_b", F.col("total_b").cast("bigint"))
