@@ -130,8 +130,17 @@ def latent_volumes(df: DataFrame, keys=("year", "energy"), z=("z_1", "z_2"),
     summary = summary.select(
         year_col, cat_col, vol.alias("latent_volume"),
         F.when(vol > 0, F.col("total_registrations") / vol).alias("normalized_registrations"))
-    grid = dense_grid(df, year_col, cat_col, categories)
-    return grid.join(summary, [year_col, cat_col], "left")
+    # densify in one branch: per year, a map category → (volume, ratio) of
+    # that year's groups (at most one entry per category), then one output
+    # row per listed category. A second pass over the fact (for the list of
+    # years) or a years × categories join is not needed.
+    per_year = summary.groupBy(year_col).agg(F.map_from_entries(F.collect_list(F.struct(
+        F.col(cat_col), F.struct("latent_volume", "normalized_registrations")))).alias("_m"))
+    dense = per_year.select(year_col, "_m", F.explode(F.array(*[F.lit(c) for c in categories]))
+                            .alias(cat_col))
+    v = F.element_at(F.col("_m"), F.col(cat_col))
+    return dense.select(year_col, cat_col, v["latent_volume"].alias("latent_volume"),
+                        v["normalized_registrations"].alias("normalized_registrations"))
 
 
 def dense_grid(df: DataFrame, year_col: str, cat_col: str, categories) -> DataFrame:
