@@ -57,7 +57,10 @@ def read_csv_title_line(spark: SparkSession, path: str, n_title_lines: int = 1)
     from choicelens.operators.joins import checked_broadcast
     w_first = raw.groupBy("_file").agg(F.min("_pos").alias("_start"))
     numbered = raw.join(checked_broadcast(w_first), "_file")  # one row per file
-    header_row = raw.orderBy("_pos").limit(n_title_lines + 1).collect()[-1]
+    # the header sits in the first rows of the first split: an incremental
+    # take reads only that split, not the whole file
+    head = sorted(raw.limit(n_title_lines + 1).collect(), key=lambda r: r["_pos"])
+    header_row = head[-1]
     names = [str(v) if v is not None else f"_c{i}" for i, v in enumerate(header_row[:-2])]
     data_cols = [c for c in raw.columns if c not in ("_file", "_pos")]
     out = (numbered.where(F.col("_pos") >= F.col("_start") + n_title_lines + 1)
