@@ -90,14 +90,16 @@ def q_category_total_row(spark, d):
 
 @register("value_counts_pct", """
 WITH j AS (SELECT l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
-SELECT quality, count(*) AS n,
+SELECT CAST(quality AS VARCHAR) AS quality, count(*) AS n,
        count(*) * 100.0::DOUBLE / (SELECT count(*) FROM j) AS pct
 FROM j GROUP BY quality
 """)
 def q_value_counts_pct(spark, d):
     docs = read_table(spark, d, "documents", ["doc_id"])
     lab = read_table(spark, d, "labels", ["doc_id", "quality"])
-    return A.value_counts_pct(docs.join(lab, "doc_id", "left").select("quality"), "quality")
+    out = A.value_counts_pct(docs.join(lab, "doc_id", "left").select("quality"), "quality")
+    # a nullable integer label: published as text so both engines agree on its type
+    return out.withColumn("quality", F.col("quality").cast("string"))
 
 
 @register("min_max", """

@@ -38,14 +38,16 @@ WITH b AS (SELECT year, energy,
                   CAST(count(DISTINCT (commercial_name, capacity, power)) AS BIGINT) AS u
            FROM sales WHERE year IS NOT NULL AND energy IS NOT NULL GROUP BY ALL)
 SELECT year,
-       {_pivot_cols_sql("first(u) FILTER (WHERE energy = '{t}')", False)}
+       {_pivot_cols_sql("CAST(first(u) FILTER (WHERE energy = '{t}') AS DOUBLE)", False)}
 FROM b WHERE year <> 1998 OR energy <> 'PROMO' GROUP BY year
 """))
 def q_pivot_first(spark, d):
     b = choice.baseline_factors(sales_by_part(spark, d))
     # one cell removed so the pivot shows a gap that must stay null
     b = b.where((F.col("year") != 1998) | (F.col("energy") != "PROMO"))
-    return RS.pivot_wide(b, ["year"], "energy", TYPES, "unique_choices", "first")
+    out = RS.pivot_wide(b, ["year"], "energy", TYPES, "unique_choices", "first")
+    # cells may be null (no fill): published as double, one type in both engines
+    return out.withColumns({t: F.col(t).cast("double") for t in TYPES})
 
 
 @register("pivot_mean_fill", with_sales(f"""
@@ -75,7 +77,7 @@ WITH s AS (SELECT geo, CAST(year AS VARCHAR) AS year_label,
 g AS (SELECT DISTINCT geo FROM sales WHERE energy = 'SMALL'),
 y AS (SELECT * FROM (VALUES ('1995'), ('1996'), ('1997'), ('1998'), ('1999'), ('2000'),
                             ('2001'), ('2002')) t(year_label))
-SELECT g.geo, y.year_label, s.registrations
+SELECT g.geo, y.year_label, CAST(s.registrations AS DOUBLE) AS registrations
 FROM g CROSS JOIN y LEFT JOIN s ON g.geo = s.geo AND y.year_label = s.year_label
 """, geo=True))
 def q_unpivot_years(spark, d):
@@ -83,8 +85,10 @@ def q_unpivot_years(spark, d):
     g = A.sum_by(s, ["geo", "year"], "registrations")
     years = YEARS + [2002]   # 2002 has no data: its column is all null
     wide = RS.pivot_wide(g, ["geo"], "year", years, "registrations", "sum")
-    return RS.unpivot_long(wide, ["geo"], [str(y) for y in years], "year_label",
+    long = RS.unpivot_long(wide, ["geo"], [str(y) for y in years], "year_label",
                            "registrations")
+    # values with gaps are published as double: one type in both engines
+    return long.withColumn("registrations", F.col("registrations").cast("double"))
 
 
 @register("dense_years", with_sales("""
@@ -106,7 +110,7 @@ WITH c AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n_events
 span AS (SELECT user_id, min(day) AS lo, max(day) AS hi FROM c GROUP BY user_id),
 cal AS (SELECT user_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day
         FROM span)
-SELECT cal.user_id, cal.day, c.n_events
+SELECT cal.user_id, CAST(cal.day AS VARCHAR) AS day, CAST(c.n_events AS DOUBLE) AS n_events
 FROM cal LEFT JOIN c ON cal.user_id = c.user_id AND cal.day = c.day
 """)
 def q_calendar_regularise(spark, d):
@@ -114,7 +118,10 @@ def q_calendar_regularise(spark, d):
         F.col("event_type") == "purchase")
     c = A.count_by(e.select("user_id", F.to_date("ts").alias("day")), ["user_id", "day"],
                    "n_events")
-    return RS.calendar_regularise(c, ["user_id"], "day")
+    out = RS.calendar_regularise(c, ["user_id"], "day")
+    # ISO date text and double counts (null on gap days): one type in both engines
+    return out.select("user_id", F.col("day").cast("string").alias("day"),
+                      F.col("n_events").cast("double").alias("n_events"))
 
 
 # -- hierarchical label list (a wide statistical table rebuilt from the data) --
