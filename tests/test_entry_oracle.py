@@ -51,3 +51,7 @@ def test_query_matches_oracle(spark, duck, name):
                   key=lambda t: tuple((v is None, str(v)) for v in t))
     assert len(got) == len(want)
     assert got == want
+    # the same through pandas: column dtypes agree (nullable ints, dates, ...)
+    sp = df.toPandas()
+    dk = duck.execute(E.oracle_sql()[name]).df()
+    assert {c: str(sp[c].dtype) for c in cols} == {c: str(dk[c].dtype) for c in cols}
