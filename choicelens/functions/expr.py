@@ -89,3 +89,8 @@ def round_doubles(df, digits: int = 2):
     return df.withColumns({f.name: F.bround(F.col(f"`{f.name}`"), digits)
                            for f in df.schema.fields
                            if isinstance(f.dataType, (T.DoubleType, T.FloatType))})
+
+
+def year_start(c) -> Column:
+    """Integer year → date of January 1st (calendar form of an annual series)."""
+    return F.make_date(col(c).cast("int"), F.lit(1), F.lit(1))

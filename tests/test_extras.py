@@ -56,3 +56,12 @@ def test_cached_table(spark):
     df = cached_table(spark, f"{SF001}/region.parquet", view="region_cached")
     assert spark.sql("select count(*) from region_cached").first()[0] == df.count() == 5
     df.unpersist()
+
+
+def test_year_start_and_clamp(spark):
+    import datetime
+    from pyspark.sql import functions as F
+    from choicelens.functions.expr import clamp, year_start
+    r = spark.createDataFrame([(2019,)], "y int").select(
+        year_start("y").alias("d"), clamp(F.lit(2030), 2014, 2023).alias("c")).first()
+    assert r["d"] == datetime.date(2019, 1, 1) and r["c"] == 2023
