@@ -41,7 +41,6 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from choicelens.operators.joins import checked_broadcast
 from choicelens.session import checkpoint_dir
 from choicelens.sources.readers import read_table
 
@@ -85,13 +84,21 @@ def _orders(spark, d, geo: bool, years=None) -> DataFrame:
     return o
 
 
+_DIM_SMALL: dict = {}   # (application, folder) → nation⋈region passed the size check
+
+
 def _with_geo_name(spark, d, df: DataFrame) -> DataFrame:
     n = read_table(spark, d, "nation", ["n_nationkey", "n_name", "n_regionkey"])
     r = read_table(spark, d, "region", ["r_regionkey", "r_name"])
     nr = n.join(r, n.n_regionkey == r.r_regionkey).select(
         F.col("n_nationkey"), F.col("n_name").alias("geo_name"), F.col("r_name").alias("region"))
-    # nation/region are fixed-size dimensions; broadcast only behind a row check
-    nr = checked_broadcast(nr, max_rows=10_000)
+    # nation/region are fixed-size dimensions; broadcast only behind a row
+    # check, done once per application and input folder
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _DIM_SMALL:
+        _DIM_SMALL[key] = nr.limit(10_001).count() <= 10_000
+    if _DIM_SMALL[key]:
+        nr = F.broadcast(nr)
     return df.join(nr, df.geo == nr.n_nationkey).drop("n_nationkey")
 
 
