@@ -6,14 +6,21 @@ from pyspark.sql import DataFrame
 
 
 def write_parquet(df: DataFrame, path: str, partition_by=None, compression: str = "zstd",
-                  mode: str = "overwrite") -> None:
-    """Write Parquet. Partitioning by year lets later year filters prune files."""
+                  mode: str = "overwrite", max_records_per_file: int | None = None) -> None:
+    """Write Parquet. Partitioning by year lets later year filters prune files.
+
+    No repartition by the partition column before writing: that would send a
+    hot value (a year with a third of the rows) to a single task. Each task
+    writes its own files per value instead (Spark sorts by the partition
+    columns within the task, one open file at a time);
+    ``max_records_per_file`` bounds file sizes.
+    """
     w = df.write.mode(mode).option("compression", compression)
+    if max_records_per_file:
+        w = w.option("maxRecordsPerFile", int(max_records_per_file))
     if partition_by:
         cols = [partition_by] if isinstance(partition_by, str) else list(partition_by)
-        # cluster rows of a partition value together so each task writes few files
-        df = df.repartition(*cols)
-        w = df.write.mode(mode).option("compression", compression).partitionBy(*cols)
+        w = w.partitionBy(*cols)
     w.parquet(path)
 
 
