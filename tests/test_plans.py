@@ -88,3 +88,13 @@ def test_imputation_exact_under_a_hot_key(spark):
         best = min(((abs(r[2] - m) * 1.0 + abs(r[3] - c) * 3.0, v)
                     for m, c, v in refs.get(r[1], ())), default=(None, None))
         assert out[r[0]] == best[1]
+
+
+def test_no_query_plans_a_cross_join(spark):
+    bad = {}
+    for name, fn in E.queries().items():
+        p = _plan(fn(spark, SF001))
+        hits = [k for k in ("CartesianProduct", "BroadcastNestedLoopJoin") if k in p]
+        if hits:
+            bad[name] = hits
+    assert bad == {}
