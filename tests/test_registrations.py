@@ -44,3 +44,17 @@ def test_clean_registrations_deterministic(spark):
     a = sorted(map(tuple, clean_registrations(_raw(spark)).collect()), key=str)
     b = sorted(map(tuple, clean_registrations(_raw(spark).repartition(3)).collect()), key=str)
     assert a == b
+
+
+def test_clean_table_feeds_choice_series(spark, tmp_dir):
+    from choicelens.plans.payloads import choice_series
+    from choicelens.sources.readers import read_parquet
+    from choicelens.sources.sinks import write_parquet
+    path = f"{tmp_dir}/clean"
+    write_parquet(clean_registrations(_raw(spark)), path, partition_by="year")
+    clean = read_parquet(spark, path)
+    s = {(r["year"], r["energy"], r["metric"]): r["value"] for r in
+         choice_series(clean, [2020, 2021], "EU27_2020", metrics=("raw", "baseline")).collect()}
+    assert s[(2021, "Electricity", "raw")] == 10.0
+    assert s[(2021, "Electricity", "baseline")] == 10.0        # one configuration
+    assert s[(2020, "Petrol (excluding hybrids)", "raw")] == 18.0
