@@ -94,7 +94,10 @@ def _with_geo_name(spark, d, df: DataFrame) -> DataFrame:
         F.col("n_nationkey"), F.col("n_name").alias("geo_name"), F.col("r_name").alias("region"))
     # nation/region are fixed-size dimensions; broadcast only behind a row
     # check, done once per application and input folder
-    key = (spark.sparkContext.applicationId, d)
+    try:
+        key = (spark.sparkContext.applicationId, d)
+    except Exception:  # noqa: BLE001 — no SparkContext (Connect): key by session
+        key = (id(spark), d)
     if key not in _DIM_SMALL:
         _DIM_SMALL[key] = nr.limit(10_001).count() <= 10_000
     if _DIM_SMALL[key]:
