@@ -58,3 +58,19 @@ def test_clean_table_feeds_choice_series(spark, tmp_dir):
     assert s[(2021, "Electricity", "raw")] == 10.0
     assert s[(2021, "Electricity", "baseline")] == 10.0        # one configuration
     assert s[(2020, "Petrol (excluding hybrids)", "raw")] == 18.0
+
+
+def test_add_latent_then_autoencoder_metric(spark):
+    from choicelens.operators.latent import init_params
+    from choicelens.plans.payloads import choice_series
+    from choicelens.plans.registrations import add_latent
+    clean = clean_registrations(_raw(spark))
+    full = clean.na.drop(subset=["mass", "power"])
+    lin = add_latent(clean)
+    mlp = add_latent(clean, params=init_params(1))
+    assert set(lin.columns) == set(clean.columns) | {"z_1", "z_2"}
+    assert lin.count() == mlp.count() <= full.count()
+    assert lin.where("z_1 IS NULL OR z_2 IS NULL").count() == 0
+    s = choice_series(lin, [2020, 2021], "EU27_2020", metrics=("autoencoder",),
+                      min_registrations=1).collect()
+    assert s and all(r["value"] > 0 for r in s)
