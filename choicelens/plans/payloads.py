@@ -75,3 +75,28 @@ def predominant_values(df: DataFrame, year: int, metric: str = "raw", geo_keys=(
                 min_registrations)
     return arg_max(v.where(F.col("value").isNotNull()), list(geo_keys),
                    ["-value", "energy"]).select(*geo_keys, "energy", "value")
+
+
+def volume_series(df: DataFrame, years, region, categories=None, top_n: int = 3,
+                  geo_col: str = "geo", grid_size: float = GRID_SIZE,
+                  min_registrations: int | None = None) -> dict:
+    """The volume page's data for a region and year range, as lazy frames.
+
+    ``choices``: distinct configurations per (year, energy); ``latent``:
+    latent volume and ratio per (year, energy), dense over the years with
+    data × ``categories``; ``top_makers``: per year an ordered array of the
+    ``top_n`` manufacturers by registrations (ties by name).
+    """
+    from choicelens.functions.constants import LATENT_MIN_REGISTRATIONS
+    from choicelens.operators.aggregates import sum_by
+    from choicelens.operators.choice import baseline_factors, latent_volumes
+    from choicelens.operators.ranking import top_k_nested
+    f = region_filter(df, region, years, geo_col)
+    latent = latent_volumes(
+        f, grid_size=grid_size, categories=categories,
+        min_registrations=LATENT_MIN_REGISTRATIONS if min_registrations is None
+        else min_registrations)
+    makers = sum_by(f, ["year", "manufacturer"], "registrations")
+    top = top_k_nested(makers, ["year"], ["-registrations", "manufacturer"], top_n,
+                       ["manufacturer", "registrations"], alias="top_makers")
+    return {"choices": baseline_factors(f), "latent": latent, "top_makers": top}

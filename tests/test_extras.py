@@ -65,3 +65,17 @@ def test_year_start_and_clamp(spark):
     r = spark.createDataFrame([(2019,)], "y int").select(
         year_start("y").alias("d"), clamp(F.lit(2030), 2014, 2023).alias("c")).first()
     assert r["d"] == datetime.date(2019, 1, 1) and r["c"] == 2023
+
+
+def test_volume_series(spark):
+    from choicelens.plans.bindings import sales_lines
+    from choicelens.plans.payloads import volume_series
+    v = volume_series(sales_lines(spark, SF001, geo=True), [1996, 1997], 3,
+                      categories=["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"])
+    assert v["latent"].count() == 2 * 6
+    tops = {r["year"]: r["top_makers"] for r in v["top_makers"].collect()}
+    assert set(tops) == {1996, 1997} and all(1 <= len(t) <= 3 for t in tops.values())
+    for t in tops.values():
+        regs = [x["registrations"] for x in t]
+        assert regs == sorted(regs, reverse=True)
+    assert v["choices"].where("unique_choices <= 0").count() == 0
