@@ -276,3 +276,17 @@ def q_order_by_count(spark, d):
     li = read_table(spark, d, "lineitem", ["l_shipdate"]).select(
         F.year("l_shipdate").cast("int").alias("ship_year"))
     return R.order_by(A.count_by(li, ["ship_year"], "n"), ["-n", "ship_year"])
+
+
+@register("display_limit", with_sales("""
+SELECT year, manufacturer, CAST(sum(registrations) AS BIGINT) AS registrations
+FROM sales GROUP BY ALL ORDER BY registrations DESC, manufacturer, year LIMIT 10
+"""))
+def q_display_limit(spark, d):
+    """The ten largest (year, manufacturer) groups, as shown in a table (O-T4).
+
+    ``orderBy(...).limit(10)`` plans a distributed top-k (TakeOrderedAndProject):
+    each task keeps its ten best rows, the driver merges #tasks × 10 rows.
+    """
+    g = A.sum_by(sales_by_part(spark, d), ["year", "manufacturer"], "registrations")
+    return R.order_by(g, ["-registrations", "manufacturer", "year"]).limit(10)
