@@ -67,3 +67,44 @@ def test_scaler_encode_and_fit(spark):
     assert axes.shape == (2, 5) and abs(np.linalg.norm(axes[0]) - 1) < 1e-9
     _, hist = L.autoencoder_fit(s.select(*scols), scols, epochs=3, lr=1e-2)
     assert len(hist) == 3 and hist[-1][1] <= hist[0][1] + 1e-9
+
+
+def _feature_frame(spark, n=300, seed=2):
+    rng = np.random.default_rng(seed)
+    rows = [(i, *[float(v) for v in rng.normal(size=5) * [100, 10, 500, 20, 30]])
+            for i in range(n)]
+    return spark.createDataFrame(rows, "id int, " + ", ".join(f"{c} double"
+                                                                 for c in L.FEATURES))
+
+
+def test_mlp_encode_equals_numpy(spark):
+    df = _feature_frame(spark)
+    params = L.init_params(9)
+    z = {r["id"]: (r["z_1"], r["z_2"]) for r in
+         L.mlp_encode(df, params, L.scaler_stats(df), keep=["id"]).collect()}
+    pdf = df.toPandas().sort_values("id")
+    x = pdf[L.FEATURES].to_numpy()
+    x = (x - x.mean(axis=0)) / x.std(axis=0)
+    want = L.encode_array(params, x)
+    got = np.array([z[i] for i in pdf["id"]])
+    assert np.allclose(got, want, rtol=1e-9, atol=1e-9)
+
+
+def test_pca_equals_numpy(spark):
+    df = _feature_frame(spark, seed=4)
+    axes = L.pca_fit(df, L.FEATURES, k=2)
+    x = df.toPandas()[L.FEATURES].to_numpy()
+    vals, vecs = np.linalg.eigh(np.cov(x, rowvar=False, bias=True))
+    top = vecs[:, np.argsort(vals)[::-1][:2]].T
+    for a, b in zip(axes, top):
+        assert abs(abs(float(np.dot(a, b))) - 1.0) < 1e-9
+
+
+def test_prepare_training_scales_on_train_split(spark):
+    df = _feature_frame(spark, n=2000, seed=6).withColumn("energy", F.lit("x"))
+    scaled, stats = L.prepare_training(df, L.FEATURES, key_cols=["id"])
+    tr = scaled.where("split = 'train'")
+    m = tr.agg(*[F.avg(f"s_{c}").alias(c) for c in L.FEATURES]).first()
+    s = tr.agg(*[F.stddev_pop(f"s_{c}").alias(c) for c in L.FEATURES]).first()
+    assert all(abs(m[c]) < 1e-9 and abs(s[c] - 1) < 1e-9 for c in L.FEATURES)
+    assert 0.75 < tr.count() / 2000 < 0.85
