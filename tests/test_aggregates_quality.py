@@ -65,3 +65,14 @@ def test_profile_and_reconcile(spark):
                               "y int, c string, v int")
     dv = rows(detail_vs_total(d, ["y"], "c", "v", ["A", "B"], "T"))
     assert dv == [(1, 5, 6, -1), (2, None, 1, None)]
+
+
+def test_sketch_paths_close_to_exact(spark):
+    df = spark.range(0, 10001).selectExpr("cast(id as double) as v", "cast(id % 97 as int) as k")
+    approx = A.numeric_summary(df, ["v"]).first()                   # default: sketch median
+    exact = A.numeric_summary(df, ["v"], approx=False).first()
+    assert exact["median"] == 5000.0 and abs(approx["median"] - 5000.0) <= 10000 / 1000
+    p = {(r["column_name"], r["metric"]): r["value"] for r in
+         Q.profile(df, top_n=0, approx_distinct=True).collect()}
+    assert abs(p[("k", "distinct")] - 97) <= 5 and abs(p[("v", "p50")] - 5000) <= 50
+    assert p[("v", "count")] == 10001.0 and p[("k", "nulls")] == 0.0
