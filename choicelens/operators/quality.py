@@ -139,3 +139,58 @@ def profile(df: DataFrame, top_n: int = 3, digits: int = 6, quantiles: str | Non
                      F.concat(F.lit("top"), F.col("rank").cast("string")).alias("metric"),
                      F.col("n").cast("double").alias("value"), F.col("v").alias("text"))
     return scal.unionByName(top)
+
+
+def profile_by(df: DataFrame, group_col: str, top_n: int = 3, digits: int = 6,
+               accuracy: int = 10000, approx_distinct: bool = True) -> DataFrame:
+    """``profile`` for every group at once, e.g. every file of a folder (O-M8 + O-S9).
+
+    One grouped aggregate computes all scalar metrics of all groups (sketch
+    quantiles and, by default, sketch distinct counts keep the state per
+    group bounded), one grouped count gives the top values — no driver loop
+    over groups. Output: (group, column_name, metric, value, text).
+    """
+    cols = [c for c in df.columns if c != group_col]
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    num = [c for c in cols if isinstance(fields[c], T.NumericType)]
+    strs = [c for c in cols if isinstance(fields[c], T.StringType)]
+    aggs, metrics = [], []
+    ps = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    for c in cols:
+        x = F.col(f"`{c}`")
+        m = [("count", F.count(x)), ("nulls", F.count_if(x.isNull())),
+             ("distinct", F.approx_count_distinct(x) if approx_distinct
+              else F.count_distinct(x))]
+        if c in num:
+            xd = x.cast("double")
+            m += [("min", F.min(xd)), ("max", F.max(xd)), ("mean", F.round(F.avg(xd), digits)),
+                  ("std", F.round(F.stddev_samp(xd), digits))]
+        for name, e in m:
+            aggs.append(e.cast("double").alias(f"{c}|{name}"))
+            metrics.append((c, name, f"{c}|{name}", None))
+        if c in num:
+            aggs.append(F.percentile_approx(x.cast("double"), ps, accuracy).alias(f"{c}|_q"))
+            for i, pn in enumerate(["p25", "p50", "p75"]):
+                metrics.append((c, pn, f"{c}|_q", i))
+    wide = df.groupBy(group_col).agg(*aggs)
+
+    def val(alias, i):
+        v = F.col(f"`{alias}`")
+        return F.round(v[i], digits).cast("double") if i is not None else v
+    scal = wide.select(group_col, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.lit(n).alias("metric"),
+                 val(a, i).alias("value"), F.lit(None).cast("string").alias("text"))
+        for c, n, a, i in metrics])).alias("s")).select(group_col, "s.*")
+    if top_n <= 0 or not strs:
+        return scal
+    pairs = df.select(group_col, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("v")) for c in strs]))
+        .alias("p")).select(group_col, "p.*")
+    counts = pairs.where(F.col("v").isNotNull()).groupBy(group_col, "column_name", "v").agg(
+        F.count(F.lit(1)).alias("n"))
+    from choicelens.operators.ranking import top_k
+    top = top_k(counts, [group_col, "column_name"], ["-n", "v"], top_n, "rank")
+    top = top.select(group_col, "column_name",
+                     F.concat(F.lit("top"), F.col("rank").cast("string")).alias("metric"),
+                     F.col("n").cast("double").alias("value"), F.col("v").alias("text"))
+    return scal.unionByName(top)

@@ -288,3 +288,11 @@ def q_cross_source_validation(spark, d):
                     by=["label", "year"])
     return out.withColumn("total_a", F.col("total_a").cast("bigint")).withColumn(
         "total_b", F.col("total_b").cast("bigint"))
+
+
+@register("profile_by_group")
+def q_profile_by_group(spark, d):
+    """One profile per order status in one grouped job (sketch metrics: rows-only)."""
+    o = read_table(spark, d, "orders", ["o_orderstatus", "o_totalprice", "o_orderpriority",
+                                        "o_custkey"])
+    return Q.profile_by(o, "o_orderstatus", top_n=2)

@@ -76,3 +76,22 @@ def test_sketch_paths_close_to_exact(spark):
          Q.profile(df, top_n=0, approx_distinct=True).collect()}
     assert abs(p[("k", "distinct")] - 97) <= 5 and abs(p[("v", "p50")] - 5000) <= 50
     assert p[("v", "count")] == 10001.0 and p[("k", "nulls")] == 0.0
+
+
+def test_profile_by_file(spark, tmp_dir):
+    import os
+    from choicelens.sources.readers import read_csv_glob
+    d = os.path.join(tmp_dir, "reports")
+    os.makedirs(d)
+    for name, rows in (("a.csv", ["x,1", "x,2", "y,3"]), ("b.csv", ["z,10", ",20"]),
+                       ("_skip.csv", ["q,99"])):
+        with open(os.path.join(d, name), "w") as f:
+            f.write("s,n\n" + "\n".join(rows) + "\n")
+    df = read_csv_glob(spark, d, exclude_prefix="_").selectExpr(
+        "_file_name", "s", "try_cast(n as int) as n")
+    p = {(r["_file_name"], r["column_name"], r["metric"]): (r["value"], r["text"])
+         for r in Q.profile_by(df, "_file_name", top_n=1).collect()}
+    assert p[("a.csv", "n", "count")][0] == 3.0 and p[("a.csv", "n", "max")][0] == 3.0
+    assert p[("a.csv", "s", "top1")] == (2.0, "x")
+    assert p[("b.csv", "s", "nulls")][0] == 1.0 and p[("b.csv", "n", "p50")][0] in (10.0, 20.0)
+    assert not any(k[0] == "_skip.csv" for k in p)
