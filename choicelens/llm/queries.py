@@ -7,6 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from choicelens.llm.op01_toxicity import fit_toxicity, score_toxicity
+from choicelens.llm.op02_repetition import repetition_rules
+from choicelens.llm.op04_quality import fit_quality, score_quality
 from choicelens.llm.op06_shards import shuffle_into_shards
 from choicelens.llm.op09_topk import topk_inner_product
 
@@ -28,6 +31,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query("op1_noisy_channel_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document after deobfuscation."""
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op2_suffix_repetition")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word counts, base rule and repetition verdict of every document."""
+    return repetition_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op4_additive_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by the additive model."""
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op6_hypergeometric_shards")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards whose counts are at most one apart."""
