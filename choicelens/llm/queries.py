@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from choicelens.llm.op01_toxicity import fit_toxicity, score_toxicity
 from choicelens.llm.op02_repetition import repetition_rules
+from choicelens.llm.op03_simhash import near_duplicates
 from choicelens.llm.op04_quality import fit_quality, score_quality
 from choicelens.llm.op06_shards import shuffle_into_shards
 from choicelens.llm.op09_topk import topk_inner_product
+from choicelens.llm.op10_substrings import remove_repeats
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -44,6 +46,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(table(spark, sf_dir, "documents"))
 
 
+@query("op3_ball_hashing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and component of every document."""
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query("op4_additive_quality")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document by the additive model."""
@@ -80,3 +89,12 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best rows of every vector whose id is divisible by 50."""
     return topk_inner_product(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query("op10_previous_factors")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without 50-byte strings of earlier ones."""
+    cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept_bytes")).alias("n_removed"),
+        F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
