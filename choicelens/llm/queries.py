@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,9 @@ from choicelens.llm.op01_toxicity import fit_toxicity, score_toxicity
 from choicelens.llm.op02_repetition import repetition_rules
 from choicelens.llm.op03_simhash import near_duplicates
 from choicelens.llm.op04_quality import fit_quality, score_quality
+from choicelens.llm.op05_token_files import token_files
 from choicelens.llm.op06_shards import shuffle_into_shards
+from choicelens.llm.op08_packing import pack_documents
 from choicelens.llm.op09_topk import topk_inner_product
 from choicelens.llm.op10_substrings import remove_repeats
 
@@ -29,6 +29,12 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the installed public tokenizers keep a file."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -60,6 +66,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op5_ranked_token_files")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to files and read back."""
+    back = token_files(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1, drops_space=True)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query("op6_hypergeometric_shards")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards whose counts are at most one apart."""
@@ -72,6 +85,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op8_configuration_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' pieces in sequences of at most 1024 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
 @query("op9_columnar_topk", """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
