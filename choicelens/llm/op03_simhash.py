@@ -38,6 +38,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from choicelens.llm.carry import packed, unpacked
+
 _XXH = partial(xxhash.xxh64_intdigest, seed=42)
 
 
@@ -65,14 +67,16 @@ def fingerprint(text: bytes, size: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
-    """(doc_id, fp long) of every row."""
+    """(doc_id, row, fp) of every row, all long; ``row`` is a hash of the text."""
     def run(batches):
         for batch in batches:
             fp = np.fromiter((fingerprint((t or "").encode("utf-8", "surrogatepass"), size)
-                              for t in batch.column(1).to_pylist()), np.uint64, len(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-            .mapInArrow(run, "doc_id long, fp long"))
+                              for t in batch.column(2).to_pylist()), np.uint64, len(batch))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))],
+                                             ["doc_id", "row", "fp"])
+    text = F.col(text_col).cast("string")
+    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
+            .mapInArrow(run, "doc_id long, row long, fp long"))
 
 
 def ball(width: int, radius: int) -> list[int]:
@@ -200,7 +204,7 @@ def connected(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = 4,
                     segments: int = 2, bucket_limit: int = 20_000) -> DataFrame:
-    """(doc_id, fp long, component_id) of every row.
+    """(doc_id, row, fp, component_id, root) of every row; ``root`` names a component whose ids are all null too.
 
     The verified links cover distinct fingerprints only; copies are members of
     their fingerprint's class.
@@ -213,5 +217,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kinds = kinds.join(roots, kinds["fp"] == roots["node"], "left") \
         .select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = kinds.groupBy("root").agg(F.min("least").alias("component_id"))
-    return (fps.join(kinds.join(names, "root").select("fp", "component_id"), "fp")
-            .select("doc_id", "fp", "component_id"))
+    return (fps.join(kinds.join(names, "root").select("fp", "component_id", "root"), "fp")
+            .select("doc_id", "row", "fp", "component_id", "root"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """One row of each component: that of the smallest id (null last), then text hash."""
+    found = near_duplicates(docs, id_col, text_col, **params)
+    none = F.lit((1 << 63) - 1)
+    first = found.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", none).alias("_id"), F.col("row").alias("_row"))).alias("k"))
+    keyed = docs.select(packed(docs), F.coalesce(F.col(id_col).cast("long"), none).alias("_id"),
+                        F.xxhash64(F.col(text_col).cast("string")).alias("_row"))
+    return (keyed.join(first.select("k.*").distinct(), ["_id", "_row"]).dropDuplicates(["_id", "_row"])
+            .select(*unpacked(docs)))

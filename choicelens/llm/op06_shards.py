@@ -13,7 +13,8 @@ Main path: DataFrame functions only; the driver sees one count a partition.
 Law ``rows``: counts of any two shards are at most one apart, and any rows may
 share a shard, equal texts included. Defined results: a null text is a row as
 any other (size 1, crc32 of no bytes); repeated rows are rows of their own; an
-empty table gives no rows; other columns travel along unchanged.
+empty table gives no rows; other columns travel along unchanged, but columns
+named ``shard`` or ``slot`` are replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from choicelens.llm.carry import packed, unpacked
 from choicelens.llm.ranks import numbered
 
 
@@ -75,8 +77,8 @@ def shuffle_into_shards(df: DataFrame, shards: int, key_cols: list[str], seed: i
     subs = max(1, math.ceil(total / shards / rows_per_part))
 
     def keyed(frame: DataFrame) -> DataFrame:
-        key = [F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in key_cols]
-        return frame.withColumns({"_k1": F.xxhash64(F.lit(seed), *key), "_k2": F.xxhash64(F.lit(~seed), *key)}) \
+        key = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0null")) for c in key_cols]
+        return frame.select(packed(frame), F.xxhash64(F.lit(seed), *key).alias("_k1"), F.xxhash64(F.lit(~seed), *key).alias("_k2")) \
             .withColumn("_p", F.pmod(F.xxhash64(F.col("_k1")), F.lit(parts)))
     sizes = {r[0]: r[1] for r in keyed(df).groupBy("_p").count().collect()}
     sources = sorted(sizes)
@@ -91,4 +93,4 @@ def shuffle_into_shards(df: DataFrame, shards: int, key_cols: list[str], seed: i
              .withColumn("shard", F.size(F.filter("_ends", lambda e: e < F.col("_r"))))
              .withColumn("_sub", F.pmod(F.shiftright("_k2", 20), F.lit(subs)))
              .drop("_p", "_r", "_ends", "_k1"))
-    return numbered(dealt, ["shard"], "_k2", "_sub").drop("_sub", "_k2")
+    return numbered(dealt, ["shard"], "_k2", "_sub").select(*unpacked(df, "shard", "slot"))

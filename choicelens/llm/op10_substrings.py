@@ -22,7 +22,8 @@ single windows dealt by their own bytes.
 Defined results: a null text is empty; texts below 50 bytes lose nothing; a null
 id counts as smaller than any other; rows of one id never remove each other's
 bytes, and repeated rows get equal results; very long texts are read whole;
-other columns are kept as they are; an empty table gives no rows.
+other columns are kept as they are, but those named like an added column are
+replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from choicelens.llm.carry import packed, unpacked
 from choicelens.llm.textcols import mixed, pieces, span_hash, utf8
 
 GRAM = 16
@@ -143,8 +146,8 @@ def _read(col, kind) -> np.ndarray:
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)), "_row": F.xxhash64(text),
-                             "_text": text.cast("binary")}).withColumn("_b", _bucket_col(buckets))
+    return docs.select(packed(docs, text_col), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("_doc"),
+                       F.xxhash64(text).alias("_row"), text.cast("binary").alias("_text")).withColumn("_b", _bucket_col(buckets))
 
 
 def _emit_contexts(window: int, parts: int, buckets: int, flush: int = 400_000):
@@ -334,7 +337,7 @@ def _suffixes(window: int, buckets: int):
     return run
 
 
-def _cut(names: list[str]):
+def _cut(as_text: bool):
     """Task of step 5: rows with the united spans and the bytes that stay."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         doc, row, by, buf, off = _text_places(left)
@@ -362,30 +365,34 @@ def _cut(names: list[str]):
             else:
                 spans.append([])
                 kept.append(text.tobytes())
-        cols = {c: left[c] for c in names}
-        return pa.table({**cols, "n_bytes": pa.array((off[1:] - off[:-1])[texts] if len(doc) else [], pa.int64()),
+        if as_text:
+            return pa.table({"_in": left["_in"], "kept_text": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())})
+        return pa.table({"_in": left["_in"], "n_bytes": pa.array((off[1:] - off[:-1])[texts] if len(doc) else [], pa.int64()),
                          "removed_spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))),
                          "kept_bytes": pa.array(kept, pa.binary())})
     return run
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50,
-                   bytes_per_part: int = 16 << 20, hot: int = 50_000) -> DataFrame:
+                   bytes_per_part: int = 16 << 20, hot: int = 50_000, as_text: bool = False) -> DataFrame:
     """``docs`` without ``text_col``, with ``n_bytes``, ``removed_spans`` and ``kept_bytes``.
 
     Spans are [start, end) byte places of the UTF-8 text, united and in order.
+    ``as_text`` gives ``kept_text`` instead; what is left of a character that was
+    cut through is dropped there.
     """
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     parts = max(1, math.ceil(total / bytes_per_part)) | 1
-    names = [c for c in docs.columns if c != text_col]
     rows = _prepared(docs, id_col, text_col, parts)
     packed = rows.select("_doc", "_row", "_text").mapInArrow(_emit_contexts(window, parts, parts), _BLOB)
     found = packed.repartition(parts, "part").mapInArrow(_resolve(window, parts, parts, hot), _BLOB).checkpoint()
-    texts = rows.select(*names, "_doc", "_row", "_text", "_b").repartition(parts, "_b")
+    texts = rows.repartition(parts, "_b")
     asked = found.where("kind > 0")
     bytes_of = texts.groupBy("_b").cogroup(asked.groupBy("part")).applyInArrow(_fetch(window, parts), _BLOB)
     more = bytes_of.repartition(parts, "part").mapInArrow(_suffixes(window, parts), _BLOB)
     spans = found.where("kind = 0").unionByName(more)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col),
-                        "n_bytes long, removed_spans array<array<long>>, kept_bytes binary"])
-    return texts.groupBy("_b").cogroup(spans.groupBy("part")).applyInArrow(_cut(names), schema)
+    added = {"kept_text": T.StringType()} if as_text else \
+        {"n_bytes": T.LongType(), "removed_spans": T.ArrayType(T.ArrayType(T.LongType())), "kept_bytes": T.BinaryType()}
+    schema = T.StructType([rows.schema["_in"], *(T.StructField(c, k) for c, k in added.items())])
+    return (texts.groupBy("_b").cogroup(spans.groupBy("part")).applyInArrow(_cut(as_text), schema)
+            .select(*unpacked(docs, *added, without=text_col)))

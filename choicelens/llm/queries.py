@@ -11,6 +11,7 @@ from choicelens.llm.op03_simhash import near_duplicates
 from choicelens.llm.op04_quality import fit_quality, score_quality
 from choicelens.llm.op05_token_files import token_files
 from choicelens.llm.op06_shards import shuffle_into_shards
+from choicelens.llm.op07_mixing import mix, positions
 from choicelens.llm.op08_packing import pack_documents
 from choicelens.llm.op09_topk import topk_inner_product
 from choicelens.llm.op10_substrings import remove_repeats
@@ -85,6 +86,40 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op7_poisson_mixing", """
+WITH d AS (
+  SELECT doc_id, text, source, coalesce('=' || source, 'null') AS s FROM documents),
+sums AS (
+  SELECT s, CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS DOUBLE) AS size FROM d GROUP BY s),
+w AS (SELECT s, size, pow(size, 0.5) AS weight FROM sums),
+r AS (
+  SELECT s, weight / (SELECT sum(weight) FROM w) * (SELECT sum(size) FROM w) / size AS mean FROM w),
+p AS (SELECT s, mean, greatest(1, CAST(ceil(mean / 8.0) AS INTEGER)) AS parts FROM r),
+parted AS (
+  SELECT d.*, p.mean / p.parts AS m, CAST(unnest(range(p.parts)) AS INTEGER) AS part FROM d JOIN p USING (s)),
+drawn AS (
+  SELECT *, CAST(CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || CAST(part AS VARCHAR)), 1, 12)
+                 AS BIGINT) AS DOUBLE) / 281474976710656.0 AS u FROM parted),
+cdf AS (
+  SELECT s, m, k, sum(exp(-m) * pow(m, k) / gamma(k + 1)) OVER (PARTITION BY s ORDER BY k) AS c
+  FROM (SELECT s, mean / parts AS m FROM p), (SELECT CAST(unnest(range(65)) AS DOUBLE) AS k)),
+counted AS (
+  SELECT x.doc_id, x.source, x.text, x.part, (SELECT count(*) FROM cdf WHERE cdf.s = x.s AND cdf.c <= x.u) AS n FROM drawn x),
+copies AS (
+  SELECT doc_id, source, text, part, CAST(unnest(range(n)) AS INTEGER) AS copy FROM counted),
+keyed AS (
+  SELECT *, md5('17s|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || CAST(part AS VARCHAR) || '|' || CAST(copy AS VARCHAR)) AS key
+  FROM copies)
+SELECT doc_id, source, part, copy, row_number() OVER (ORDER BY key) - 1 AS position, md5(coalesce(text, '')) AS text_md5
+FROM keyed
+""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All copies of the documents at square-root source weights, in shuffled order."""
+    copies = positions(mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), alpha=0.5, seed=17))
+    return copies.select("doc_id", "source", "part", "copy", F.col("position").cast("long"),
+                         F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+
+
 @query("op8_configuration_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' pieces in sequences of at most 1024 tokens."""

@@ -14,6 +14,7 @@ def numbered(df: DataFrame, groups: list[str], key: str, bucket: str, name: str
     (one row a part) give each part's first number.
     """
     parts = df.groupBy(*groups, bucket).agg(F.count(F.lit(1)).alias("_n"))
+    # one row a part: with no groups, the window over all parts is as short
     before = Window.partitionBy(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(*groups, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     inside = Window.partitionBy(*groups, bucket).orderBy(key)
