@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from choicelens.llm.labels import held_out, training_sample
+from choicelens.llm.tokens import text_groups
 
 # FIXED VALUES: letters that digits and symbols are commonly written for
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -35,8 +36,8 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 # FIXED VALUES: channel costs in nats
 AS_LETTER, DROP, BREAK, SPACE_DROP, SHRINK, HALVE, LEET_DROP = 0.5, 1.5, 0.5, 0.3, 0.5, 6.0, 5.0
 
-# character classes: 0 boundary, 1-26 a-z, then Latin-1 and Latin Extended-A letters, then any other letter
-_LAST = 0x180
+# character classes: 0 boundary, 1-26 a-z, then the Latin-1 letters, then any other letter
+_LAST = 0x100
 _OTHER = 27 + (_LAST - 0xDF)
 SIZE = _OTHER + 1
 CLASS = np.zeros(0x110000, np.uint8)
@@ -57,12 +58,11 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def run(batches):
         total = np.zeros(SIZE**3, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    for lo in range(0, len(text), 1 << 20):
-                        part = f"  {text[lo:lo + (1 << 20)].lower()} ".encode("utf-32-le", "surrogatepass")
-                        c = CLASS[np.frombuffer(part, np.uint32)].astype(np.int64)
-                        total += np.bincount((c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:], minlength=SIZE**3)
+            texts = batch.column(0).to_pylist()
+            for i, j in text_groups(texts):
+                part = "  ".join(["", *(t for t in texts[i:j] if t), ""]).lower()
+                c = CLASS[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32)
+                total += np.bincount((c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:], minlength=SIZE**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["g", "n"])
     rows = (docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "g long, n long")
