@@ -21,7 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from choicelens.llm.carry import packed, unpacked
 from choicelens.llm.labels import held_out, training_sample
 from choicelens.llm.op02_repetition import SYMBOLS
 from choicelens.llm.textcols import SPACE, by_range, mixed, per_doc, pieces, segments, span_hash, utf8, words
@@ -231,11 +233,10 @@ def score_quality(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id",
 
 def keep_quality(docs: DataFrame, model: AdditiveModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores ``threshold`` or more."""
-    at = docs.columns.index(text_col)
-    schema = docs.schema
+    rows = docs.select(packed(docs), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
-            keep = model.score(text_features(batch.column(at))) >= threshold
-            yield batch.filter(pa.array(keep))
-    return docs.mapInArrow(run, schema)
+            keep = model.score(text_features(batch.column(1))) >= threshold
+            yield batch.select([0]).filter(pa.array(keep))
+    return rows.mapInArrow(run, T.StructType([rows.schema["_in"]])).select(*unpacked(docs))
