@@ -58,11 +58,6 @@ def bin_round(c, width: float) -> Column:
     return F.round(col(c) / F.lit(width)) * F.lit(width)
 
 
-def safe_div(a, b) -> Column:
-    """a / b, null when b is 0 or null."""
-    return col(a) / F.nullif(col(b), F.lit(0))
-
-
 def pct_diff_guarded(a, b) -> Column:
     """Percent difference (a-b)/b*100 with guards (O-M7).
 

@@ -108,12 +108,3 @@ def constant_columns(df: DataFrame, cols=None) -> DataFrame:
         F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}|n`").alias("non_null"),
                  F.col(f"`{c}|const`").alias("is_constant"))
         for c in cols])).alias("s")).select("s.*")
-
-
-def keep_selected(df: DataFrame, col: str, selected) -> DataFrame:
-    """Keep selected series only; empty selection → nothing (O-P29)."""
-    return members(df, col, selected)
-
-
-def any_of(conds):
-    return reduce(lambda a, b: a | b, conds)

@@ -1,40 +1,11 @@
-"""Join helpers: size-checked broadcast, null-safe equi-joins, lookups."""
+"""Join helpers."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast-hint ``df`` only if it provably holds at most ``max_rows`` rows.
-
-    The check is a bounded job (``limit(max_rows + 1).count()``), so it stops
-    reading once the bound is exceeded. Beyond the bound the frame is returned
-    unhinted and AQE picks the join from measured sizes (sort-merge with skew
-    splitting, or a runtime broadcast when the side turns out small).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def null_safe_join(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
-    """Equi-join on ``keys`` with null = null (``<=>``), keeping left's key columns."""
-    r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
-                     *[c for c in right.columns if c not in keys])
-    cond = reduce(lambda a, b: a & b,
-                  [left[k].eqNullSafe(r[f"__r_{k}"]) for k in keys])
-    return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
-
-
-def lookup_dim(df: DataFrame, dim: DataFrame, on, how: str = "left",
-               max_broadcast_rows: int = 100_000) -> DataFrame:
-    """Join a dimension (country names, ISO codes, ...) with a checked broadcast."""
-    return df.join(checked_broadcast(dim, max_broadcast_rows), on, how)
-
-
 def align_full(a: DataFrame, b: DataFrame, keys, fill=0) -> DataFrame:
     """Full outer alignment of two aggregates on ``keys``; missing → ``fill`` (O-J12)."""
     out = a.join(b, keys, "full")

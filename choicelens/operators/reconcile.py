@@ -25,7 +25,9 @@ def reconcile(a: DataFrame, b: DataFrame, keys, a_val: str, b_val: str, by=None,
     if how != "inner":
         j = j.na.fill(0, subset=["_a", "_b"])
     g = j.groupBy(*by).agg(F.sum("_a").alias("total_a"), F.sum("_b").alias("total_b"))
-    diff_k = (F.col("total_a") - F.col("total_b")) / 1000.0
+    # as for the percentage: 0 if both totals are zero, 100 if only the second is
+    diff_k = (F.when(F.col("total_b") == 0, F.when(F.col("total_a") == 0, F.lit(0.0)).otherwise(F.lit(100.0)))
+              .otherwise((F.col("total_a") - F.col("total_b")) / 1000.0))
     pct = pct_diff_guarded("total_a", "total_b")
     if digits is not None:
         diff_k, pct = F.round(diff_k, digits), F.round(pct, digits)
@@ -37,7 +39,8 @@ def detail_vs_total(df: DataFrame, keys, cat_col: str, value: str, details, tota
     """Sum of listed detail categories against the stated total row (O-A25).
 
     A conditional aggregate instead of a pivot: null if any detail is
-    missing (null-propagating ``+`` in the source).
+    missing (null-propagating ``+`` in the source). The difference is the stated
+    total less the sum.
     """
     details = list(details)
     parts = [F.sum(F.when(F.col(cat_col) == d, F.col(value))).alias(f"_d{i}")
@@ -50,5 +53,5 @@ def detail_vs_total(df: DataFrame, keys, cat_col: str, value: str, details, tota
         term = F.when(F.col(f"_n{i}") > 0, F.col(f"_d{i}"))
         s = term if s is None else s + term
     return (g.withColumn("detail_sum", s)
-            .withColumn("difference", F.col("detail_sum") - F.col("stated_total"))
+            .withColumn("difference", F.col("stated_total") - F.col("detail_sum"))
             .select(*keys, "detail_sum", "stated_total", "difference"))

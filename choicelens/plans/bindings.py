@@ -84,24 +84,11 @@ def _orders(spark, d, geo: bool, years=None) -> DataFrame:
     return o
 
 
-_DIM_SMALL: dict = {}   # (application, folder) → nation⋈region passed the size check
-
-
 def _with_geo_name(spark, d, df: DataFrame) -> DataFrame:
     n = read_table(spark, d, "nation", ["n_nationkey", "n_name", "n_regionkey"])
     r = read_table(spark, d, "region", ["r_regionkey", "r_name"])
     nr = n.join(r, n.n_regionkey == r.r_regionkey).select(
         F.col("n_nationkey"), F.col("n_name").alias("geo_name"), F.col("r_name").alias("region"))
-    # nation/region are fixed-size dimensions; broadcast only behind a row
-    # check, done once per application and input folder
-    try:
-        key = (spark.sparkContext.applicationId, d)
-    except Exception:  # noqa: BLE001 — no SparkContext (Connect): key by session
-        key = (id(spark), d)
-    if key not in _DIM_SMALL:
-        _DIM_SMALL[key] = nr.limit(10_001).count() <= 10_000
-    if _DIM_SMALL[key]:
-        nr = F.broadcast(nr)
     return df.join(nr, df.geo == nr.n_nationkey).drop("n_nationkey")
 
 
@@ -118,37 +105,6 @@ def _source_signature(spark, d: str, tables) -> str:
     return hashlib.sha1(json.dumps([d, parts]).encode()).hexdigest()[:16]
 
 
-# Session setting: inputs larger than this many bytes are staged (checkpointed)
-# before multi-read operators such as imputation; smaller ones are recomputed.
-STAGE_MIN_BYTES_CONF = "choicelens.stageFactMinBytes"
-STAGE_MIN_BYTES_DEFAULT = 256 * 1024 * 1024
-
-
-def input_bytes(spark, d: str, tables) -> int:
-    """Total size of the input tables' files (Hadoop FS, any scheme)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    total = 0
-    for t in tables:
-        path = jvm.org.apache.hadoop.fs.Path(f"{d.rstrip('/')}/{t}.parquet")
-        total += path.getFileSystem(conf).getContentSummary(path).getLength()
-    return int(total)
-
-
-def stage_if_large(spark, d: str, df: DataFrame, tables) -> DataFrame:
-    """Checkpoint ``df`` when its inputs exceed the size threshold.
-
-    Operators that read their input several times (imputation: candidate
-    tuples, kept rows, missing rows) would otherwise re-run its joins per
-    read. Above the threshold those are shuffles of the largest tables and a
-    reliable checkpoint is cheaper; below it (broadcast joins of small
-    tables) recomputing is cheaper than the write — measured at sf0.1.
-    """
-    from choicelens.session import stage
-    limit = int(spark.conf.get(STAGE_MIN_BYTES_CONF, str(STAGE_MIN_BYTES_DEFAULT)))
-    return stage(df) if input_bytes(spark, d, tables) > limit else df
-
-
 _COLUMNS: dict = {}   # column order of each materialised fact (year is moved by partitioning)
 
 

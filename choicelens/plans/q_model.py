@@ -98,9 +98,7 @@ def q_autoencoder_fit(spark, d):
     scols = [f"s_{c}" for c in FEATURES]
     s = s.select("split", *scols)
     # every epoch scans this frame: spread it over all cores, then keep it
-    par = spark.sparkContext.defaultParallelism
-    if s.rdd.getNumPartitions() < par:
-        s = s.repartition(par)
+    s = s.repartition(spark.sparkContext.defaultParallelism)
     s = s.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         _, hist = L.autoencoder_fit(s, scols, epochs=5, lr=1e-2, split_col="split")

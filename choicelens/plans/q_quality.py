@@ -195,10 +195,10 @@ SELECT year,
           + sum(n) FILTER (WHERE label = 'MEDIUM') + sum(n) FILTER (WHERE label = 'PROMO')
           + sum(n) FILTER (WHERE label = 'SMALL') AS BIGINT) AS detail_sum,
        CAST(sum(n) FILTER (WHERE label = 'Total') AS BIGINT) AS stated_total,
-       CAST(sum(n) FILTER (WHERE label = 'ECONOMY') + sum(n) FILTER (WHERE label = 'LARGE')
+       CAST(sum(n) FILTER (WHERE label = 'Total') AS BIGINT)
+         - CAST(sum(n) FILTER (WHERE label = 'ECONOMY') + sum(n) FILTER (WHERE label = 'LARGE')
           + sum(n) FILTER (WHERE label = 'MEDIUM') + sum(n) FILTER (WHERE label = 'PROMO')
-          + sum(n) FILTER (WHERE label = 'SMALL') AS BIGINT)
-         - CAST(sum(n) FILTER (WHERE label = 'Total') AS BIGINT) AS difference
+          + sum(n) FILTER (WHERE label = 'SMALL') AS BIGINT) AS difference
 FROM rows GROUP BY year
 """))
 def q_detail_vs_total(spark, d):

@@ -31,8 +31,9 @@ def get_spark(
 ) -> SparkSession:
     """Return a session with our defaults.
 
-    On a cluster ``master`` stays ``None`` (spark-submit decides); tests pass
-    ``local[N]``.
+    On a cluster ``master`` stays ``None`` (spark-submit decides) and names the
+    shared folder in ``spark.checkpoint.dir``; tests pass ``local[N]`` and a
+    folder of their own.
     """
     b = SparkSession.builder.appName(app)
     if master:
@@ -45,7 +46,6 @@ def get_spark(
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     ship_package(spark)
     return spark
 
@@ -79,19 +79,19 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts.
+    """The shared folder for lineage cuts, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Uses ``spark.checkpoint.dir`` as configured by the cluster. Only when it
-    is unset (local tests) a fresh folder under the system temp dir is made.
+    Without one there is nowhere that all executors see, so this fails.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    if d:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(d)
+        return d
+    d = spark.sparkContext.getCheckpointDir()
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="choicelens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return d
 
 
 def stage(df, spark: SparkSession | None = None, name: str | None = None):

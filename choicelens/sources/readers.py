@@ -6,7 +6,9 @@ pass runs over the data (inference reads the whole input once more).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,29 +46,39 @@ def read_csv_strings(spark: SparkSession, path: str, columns=None) -> DataFrame:
 def read_csv_title_line(spark: SparkSession, path: str, n_title_lines: int = 1) -> DataFrame:
     """CSV whose real header follows ``n_title_lines`` title lines (O-S4).
 
-    Reads without header, keeps a source-order index (file path, position)
-    taken at the scan, drops the title lines, and names columns from the
-    header row. Returns all-string columns plus ``_row_idx`` (long) so order
-    dependent steps (hierarchical fill) have a stable key.
+    The file is read as lines, so a bare title does not fix the number of
+    columns. Each file's header is found by the line's place in that file;
+    files with different headers are united by name (missing columns: null).
+    Records are single lines; blank lines are skipped. Returns string columns,
+    ``_file`` and ``_row_idx`` (long), which follows the lines of a file, as a
+    stable key for order-dependent steps (hierarchical fill).
     """
-    raw = (spark.read.option("header", False).csv(path)
-           .withColumn("_file", F.col("_metadata.file_path"))
-           .withColumn("_pos", F.monotonically_increasing_id()))
-    # monotonically_increasing_id is taken right at the scan: partition index
-    # in the high bits, so within one file it follows byte order.
-    from choicelens.operators.joins import checked_broadcast
-    w_first = raw.groupBy("_file").agg(F.min("_pos").alias("_start"))
-    numbered = raw.join(checked_broadcast(w_first), "_file")  # one row per file
-    # the header sits in the first rows of the first split: an incremental
-    # take reads only that split, not the whole file
-    head = sorted(raw.limit(n_title_lines + 1).collect(), key=lambda r: r["_pos"])
-    header_row = head[-1]
-    names = [str(v) if v is not None else f"_c{i}" for i, v in enumerate(header_row[:-2])]
-    data_cols = [c for c in raw.columns if c not in ("_file", "_pos")]
-    out = (numbered.where(F.col("_pos") >= F.col("_start") + n_title_lines + 1)
-           .select(*[F.col(c).alias(n) for c, n in zip(data_cols, names)],
-                   F.col("_file"), F.col("_pos").alias("_row_idx")))
-    return out
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row_idx"))
+    # the first lines of each file: a group limit keeps so many per task before the shuffle
+    place = Window.partitionBy("_file").orderBy("_block", "_row_idx")
+    heads = (lines.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= n_title_lines + 1)
+             .where(F.col("_n") == n_title_lines + 1)
+             .select("_file", F.col("value").alias("_header"), F.struct("_block", "_row_idx").alias("_at")))
+    out = None
+    for (header,) in heads.select("_header").distinct().orderBy("_header").collect():
+        names = []
+        for i, cell in enumerate(next(csv.reader([header]))):
+            name = cell.strip() or f"_c{i}"
+            names.append(name if name not in names else f"{name}_{i}")
+        body = (lines.join(heads.where(F.col("_header") == header), "_file")
+                .where((F.struct("_block", "_row_idx") > F.col("_at")) & (F.trim("value") != ""))
+                .select(F.from_csv("value", _csv_schema(names)).alias("r"), "_file", "_row_idx")
+                .select("r.*", "_file", "_row_idx"))
+        out = body if out is None else out.unionByName(body, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"{path}: no header after {n_title_lines} title line(s)")
+    return out.select(*[c for c in out.columns if c not in ("_file", "_row_idx")], "_file", "_row_idx")
+
+
+def _csv_schema(names: list[str]) -> str:
+    return ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
 
 
 def read_csv_glob(spark: SparkSession, directory: str, pattern: str = "*.csv",

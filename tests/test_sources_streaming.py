@@ -39,6 +39,26 @@ def test_title_line_and_glob(spark, tmp_dir):
     df = readers.read_csv_title_line(spark, p)
     assert df.columns[:3] == ["Fuel Type", "Country", "2020"]
     assert [r["Fuel Type"] for r in df.orderBy("_row_idx").collect()] == ["Total", "Petrol"]
+    # a bare title does not fix the number of columns; files keep their own header
+    d = os.path.join(tmp_dir, "bare")
+    os.makedirs(d)
+    body = "".join(f"F{i},Austria,{i},{i + 1}\n" for i in range(400))
+    for name, title, head in (("a.csv", "New registrations\n", "Fuel Type,Country,2020,2021\n"),
+                              ("b.csv", "T,,,\n", "Fuel Type,Country,2020,2022\n")):
+        with open(os.path.join(d, name), "w") as f:
+            f.write(title + head + body)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")     # several splits a file
+    try:
+        df = readers.read_csv_title_line(spark, d)
+        assert set(df.columns) == {"Fuel Type", "Country", "2020", "2021", "2022", "_file", "_row_idx"}
+        got = df.orderBy("_row_idx").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for name, col in (("a.csv", "2021"), ("b.csv", "2022")):
+        mine = [r for r in got if r["_file"].endswith(name)]
+        assert [r["Fuel Type"] for r in mine] == [f"F{i}" for i in range(400)]
+        assert [r[col] for r in mine] == [str(i + 1) for i in range(400)]
     d = os.path.join(tmp_dir, "many")
     os.makedirs(d)
     for name in ("a.csv", "b.csv", "skip_c.csv"):
