@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from choicelens.llm.carry import packed, unpacked
+from choicelens.llm.staging import staged
 from choicelens.llm.textcols import mixed, pieces, span_hash, utf8
 
 GRAM = 16
@@ -63,7 +64,7 @@ def _joined(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int) -> np.ndarra
 
 def contexts(buf: np.ndarray, off: np.ndarray, window: int):
     """Contexts of texts laid end to end: anchor hash, content hash, document, first window, further windows."""
-    none = (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
+    none = (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint8),)
     n = len(buf)
     if n < window:
         return none
@@ -107,7 +108,7 @@ def contexts(buf: np.ndarray, off: np.ndarray, window: int):
     more = hi - lo
     c = mixed(mixed(full[lo]) + mixed(full[hi] ^ _P[3]) * _P[5] + more.astype(np.uint64))
     doc = np.searchsorted(off, lo, "right") - 1
-    return g, c, doc, lo - off[doc], more
+    return g, c, doc, (lo - off[doc]).astype(np.uint32), more.astype(np.uint8)
 
 
 def _bucket(doc: np.ndarray, row: np.ndarray, buckets: int) -> np.ndarray:
@@ -147,7 +148,7 @@ def _read(col, kind) -> np.ndarray:
 def _prepared(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(packed(docs, text_col), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("_doc"),
-                       F.xxhash64(text).alias("_row"), text.cast("binary").alias("_text")).withColumn("_b", _bucket_col(buckets))
+                       F.hash(text).alias("_row"), text.cast("binary").alias("_text")).withColumn("_b", _bucket_col(buckets))
 
 
 def _emit_contexts(window: int, parts: int, buckets: int, flush: int = 400_000):
@@ -160,12 +161,12 @@ def _emit_contexts(window: int, parts: int, buckets: int, flush: int = 400_000):
         least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
         gone = doc > least
         spans = _rows(0, _bucket(doc[gone], row[gone], buckets), doc=doc[gone], row=row[gone],
-                      lo=lo[gone], n=(more[gone] + window).astype(np.int32))
+                      lo=lo[gone], n=more[gone].astype(np.int32) + window)
         keep = np.flatnonzero(~gone)
         keep = keep[np.lexsort((lo[keep], row[keep], doc[keep]))]  # near values next to each other compress well
         g, c, doc, row, lo, more = (x[keep] for x in (g, c, doc, row, lo, more))
         entries = _rows(1, (g % np.uint64(parts)).astype(np.int64), g=(g // np.uint64(parts)).astype(np.uint32), c=c,
-                        doc=doc, row=row, lo=lo, n=more.astype(np.uint8))
+                        doc=doc, row=row, lo=lo, n=more)
         return _batch(spans + entries)
 
     def run(batches):
@@ -206,8 +207,8 @@ def _resolve(window: int, buckets: int, parts: int, hot: int):
         counts = np.array([len(x) for x in t["n"].to_pylist()])
         part = np.repeat(t["part"].to_numpy().astype(np.uint64), counts)
         g = _read(t["g"], np.uint32).astype(np.uint64) * np.uint64(parts) + part
-        c, doc, row = _read(t["c"], np.uint64), _read(t["doc"], np.int64), _read(t["row"], np.int64)
-        lo, more = _read(t["lo"], np.int64), _read(t["n"], np.uint8)
+        c, doc, row = _read(t["c"], np.uint64), _read(t["doc"], np.int64), _read(t["row"], np.int32)
+        lo, more = _read(t["lo"], np.uint32), _read(t["n"], np.uint8)
         by = np.lexsort((doc, c, g))
         g, c, doc, row, lo, more = (x[by] for x in (g, c, doc, row, lo, more))
         new_g = np.concatenate([[True], g[1:] != g[:-1]])
@@ -221,10 +222,10 @@ def _resolve(window: int, buckets: int, parts: int, hot: int):
         ask = ~gone & (kinds > 1)[at_g] & differ[at_g]
         crowd = ask & (np.add.reduceat(ask.astype(np.int64), starts) > hot)[at_g]
         out = _rows(0, _bucket(doc[gone], row[gone], buckets), doc=doc[gone], row=row[gone], lo=lo[gone],
-                    n=(more[gone].astype(np.int32) + window).astype(np.int32))
+                    n=more[gone].astype(np.int32) + window)
         for k, mask in ((1, ask & ~crowd), (2, crowd)):
             out += _rows(k, _bucket(doc[mask], row[mask], buckets), g=g[mask], doc=doc[mask], row=row[mask],
-                         lo=lo[mask], n=more[mask].astype(np.int32))
+                         lo=lo[mask], n=more[mask])
         if out:
             yield _batch(out)
     return run
@@ -240,7 +241,7 @@ def _text_places(t: pa.Table):
 
 def _find(doc, row, by, want_doc, want_row) -> np.ndarray:
     """Place of each wanted (doc, row) among a group's texts."""
-    pair = np.dtype([("d", np.int64), ("r", np.int64)])
+    pair = np.dtype([("d", np.int64), ("r", np.int32)])
     have = np.empty(len(doc), pair)
     have["d"], have["r"] = doc[by], row[by]
     want = np.empty(len(want_doc), pair)
@@ -259,25 +260,26 @@ def _fetch(window: int, parts: int):
                 t = right.filter(pa.array(right["kind"].to_numpy() == kind))
                 if not len(t):
                     continue
-                g, d, r = _read(t["g"], np.uint64), _read(t["doc"], np.int64), _read(t["row"], np.int64)
-                lo, more = _read(t["lo"], np.int64), _read(t["n"], np.int32)
+                g, d, r = _read(t["g"], np.uint64), _read(t["doc"], np.int64), _read(t["row"], np.int32)
+                lo, more = _read(t["lo"], np.uint32).astype(np.int64), _read(t["n"], np.uint8).astype(np.int64)
                 start = off[_find(doc, row, by, d, r)] + lo
                 if kind == 2:  # single windows, dealt by their own bytes
                     of = np.repeat(np.arange(len(g)), more + 1)
                     o = np.arange(len(of)) - np.repeat(np.cumsum(more + 1) - (more + 1), more + 1)
                     start, lo, d, r = start[of] + o, lo[of] + o, d[of], r[of]
-                    more = np.zeros(len(of), np.int32)
+                    more = np.zeros(len(of), np.int64)
                     g = span_hash(buf, start, start + window)
                     first = np.lexsort((d, g))  # one of each string and id, copies within this task are left to step 4
                     g, start, lo, d, r, more = (x[first] for x in (g, start, lo, d, r, more))
-                size = more.astype(np.int64) + window
+                size = more + window
                 part = (mixed(g) % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 for ix in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
                     s = size[ix]
                     at = np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s) + np.repeat(start[ix], s)
                     out.append({"kind": 1, "part": int(part[ix[0]]), "c": buf[at].tobytes(), "doc": d[ix].tobytes(),
-                                "row": r[ix].tobytes(), "lo": lo[ix].tobytes(), "n": more[ix].tobytes()})
+                                "row": r[ix].tobytes(), "lo": lo[ix].astype(np.uint32).tobytes(),
+                                "n": more[ix].astype(np.uint8).tobytes()})
         return pa.Table.from_batches([_batch(out)])
     return run
 
@@ -316,8 +318,8 @@ def _suffixes(window: int, buckets: int):
         if not tables:
             return
         t = pa.concat_tables(tables)
-        doc, row, lo = (_read(t[c], np.int64) for c in ("doc", "row", "lo"))
-        more, buf = _read(t["n"], np.int32).astype(np.int64), _read(t["c"], np.uint8)
+        doc, row, lo = _read(t["doc"], np.int64), _read(t["row"], np.int32), _read(t["lo"], np.uint32)
+        more, buf = _read(t["n"], np.uint8).astype(np.int64), _read(t["c"], np.uint8)
         if not len(doc):
             return
         size = more + window
@@ -332,8 +334,8 @@ def _suffixes(window: int, buckets: int):
         first = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
         last = np.concatenate([first[1:], [len(e)]]) - 1
         e, a, b = e[first], o[first], o[last]
-        yield _batch(_rows(0, _bucket(doc[e], row[e], buckets), doc=doc[e], row=row[e], lo=lo[e] + a,
-                           n=(b - a + window).astype(np.int32)))
+        yield _batch(_rows(0, _bucket(doc[e], row[e], buckets), doc=doc[e], row=row[e],
+                           lo=lo[e] + a.astype(np.uint32), n=(b - a + window).astype(np.int32)))
     return run
 
 
@@ -344,8 +346,8 @@ def _cut(as_text: bool):
         edge = np.zeros(len(buf) + 1, np.int32)
         texts = np.arange(len(doc))
         if len(right) and len(left):
-            d, r = _read(right["doc"], np.int64), _read(right["row"], np.int64)
-            lo, n = _read(right["lo"], np.int64), _read(right["n"], np.int32)
+            d, r = _read(right["doc"], np.int64), _read(right["row"], np.int32)
+            lo, n = _read(right["lo"], np.uint32).astype(np.int64), _read(right["n"], np.int32)
             place = _find(doc, row, by, d, r)
             np.add.at(edge, off[place] + lo, 1)
             np.add.at(edge, off[place] + lo + n, -1)
@@ -353,7 +355,7 @@ def _cut(as_text: bool):
             s_doc, s_row = doc[by], row[by]
             new = np.concatenate([[True], (s_doc[1:] != s_doc[:-1]) | (s_row[1:] != s_row[:-1])])
             texts[by] = by[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        gone = np.cumsum(edge[:-1]) > 0
+        gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
         spans, kept = [], []
         for i in range(len(doc)):
             a, b = off[texts[i]], off[texts[i] + 1]
@@ -374,22 +376,24 @@ def _cut(as_text: bool):
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50,
-                   bytes_per_part: int = 16 << 20, hot: int = 50_000, as_text: bool = False) -> DataFrame:
+                   bytes_per_part: int = 16 << 20, bytes_per_group: int = 6 << 20, hot: int = 50_000,
+                   as_text: bool = False) -> DataFrame:
     """``docs`` without ``text_col``, with ``n_bytes``, ``removed_spans`` and ``kept_bytes``.
 
     Spans are [start, end) byte places of the UTF-8 text, united and in order.
-    ``as_text`` gives ``kept_text`` instead; what is left of a character that was
+    A task holds the anchors of ``bytes_per_part`` of text, or ``bytes_per_group``
+    of texts (at least one text). ``as_text`` gives ``kept_text`` instead; what is left of a character that was
     cut through is dropped there.
     """
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    parts = max(1, math.ceil(total / bytes_per_part)) | 1
-    rows = _prepared(docs, id_col, text_col, parts)
-    packed = rows.select("_doc", "_row", "_text").mapInArrow(_emit_contexts(window, parts, parts), _BLOB)
-    found = packed.repartition(parts, "part").mapInArrow(_resolve(window, parts, parts, hot), _BLOB).checkpoint()
-    texts = rows.repartition(parts, "_b")
+    parts, groups = (max(1, math.ceil(total / size)) | 1 for size in (bytes_per_part, bytes_per_group))
+    rows = _prepared(docs, id_col, text_col, groups)
+    anchors = rows.select("_doc", "_row", "_text").mapInArrow(_emit_contexts(window, parts, groups), _BLOB)
+    found = staged(anchors.repartition(parts, "part").mapInArrow(_resolve(window, groups, parts, hot), _BLOB), "spans")
+    texts = rows.repartition(groups, "_b")
     asked = found.where("kind > 0")
-    bytes_of = texts.groupBy("_b").cogroup(asked.groupBy("part")).applyInArrow(_fetch(window, parts), _BLOB)
-    more = bytes_of.repartition(parts, "part").mapInArrow(_suffixes(window, parts), _BLOB)
+    bytes_of = texts.groupBy("_b").cogroup(asked.groupBy("part")).applyInArrow(_fetch(window, groups), _BLOB)
+    more = bytes_of.repartition(groups, "part").mapInArrow(_suffixes(window, groups), _BLOB)
     spans = found.where("kind = 0").unionByName(more)
     added = {"kept_text": T.StringType()} if as_text else \
         {"n_bytes": T.LongType(), "removed_spans": T.ArrayType(T.ArrayType(T.LongType())), "kept_bytes": T.BinaryType()}
