@@ -1,90 +1,70 @@
 """Annual forecasts with Holt's linear trend method (O-M5, O-M6, O-R2, O-W7).
 
-Many series are fitted in parallel: ``groupBy(keys).applyInPandas`` hands
-each task one *aggregated* annual series (a handful of rows), fits α, β on
-a fixed grid by one-step-ahead SSE (deterministic), and emits the horizon.
+One row per series holds its yearly values as an array; α and β are chosen on a
+fixed grid by the least one-step-ahead squared error (ties: smaller α, then β)
+with array folds, so all series are fitted in parallel inside the JVM.
 Gaps inside a series are filled by linear interpolation before the fit.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 GRID = [round(0.05 * i, 2) for i in range(1, 20)]   # 0.05 … 0.95
 EPS = 1e-6
 
 
-def holt(y, horizon: int, trend: str = "add", grid=GRID):
-    """Fit Holt's method to ``y``; return (forecast array, alpha, beta)."""
-    y = np.asarray(y, dtype=float)
-    n = len(y)
-    if n == 0:
-        return np.full(horizon, np.nan), None, None
-    if n == 1:
-        return np.full(horizon, y[0]), None, None
+def _gapless(points: Column) -> Column:
+    """Values of sorted (t, v) points for every period, gaps filled linearly."""
+    def between(i):
+        a, b = F.element_at(points, i), F.element_at(points, i + 1)
+        gap = b["t"] - a["t"]
+        return F.transform(F.sequence(F.lit(1), gap), lambda j: a["v"] + (b["v"] - a["v"]) * j / gap)
+    first = F.array(F.element_at(points, 1)["v"])
+    return F.when(F.size(points) > 1, F.concat(first, F.flatten(
+        F.transform(F.sequence(F.lit(1), F.size(points) - 1), between)))).otherwise(first)
+
+
+def holt_fit(y: Column, trend: str = "add", grid=GRID) -> Column:
+    """struct(sse, a, b, level, trend) of the best fit to an array of two values or more."""
     mul = trend == "mul"
-    if mul:
-        y = np.maximum(y, EPS)
-    best = (np.inf, None, None, None, None)
-    for a in grid:
-        for b in grid:
-            level = y[0]
-            tr = y[1] / y[0] if mul else y[1] - y[0]
-            sse = 0.0
-            for t in range(1, n):
-                pred = level * tr if mul else level + tr
-                sse += (y[t] - pred) ** 2
-                new_level = a * y[t] + (1 - a) * pred
-                tr = (b * (new_level / level) + (1 - b) * tr) if mul else \
-                    (b * (new_level - level) + (1 - b) * tr)
-                level = new_level
-            if sse < best[0] - 1e-12:
-                best = (sse, a, b, level, tr)
-    _, a, b, level, tr = best
-    h = np.arange(1, horizon + 1)
-    fc = level * tr ** h if mul else level + h * tr
-    return fc, a, b
-
-
-def _series_fn(keys, time_col, value_col, horizon, trend):
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time_col)
-        years = pdf[time_col].astype(int).to_numpy()
-        full = np.arange(years.min(), years.max() + 1)
-        s = pd.Series(pdf[value_col].astype(float).to_numpy(), index=years).reindex(full)
-        s = s.interpolate(limit_area="inside")
-        fc, _, _ = holt(s.to_numpy(), horizon, trend)
-        out = pd.DataFrame({time_col: np.arange(full[-1] + 1, full[-1] + 1 + horizon),
-                            value_col: fc})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[list(keys) + [time_col, value_col]]
-    return fit
+    y0, y1 = F.get(y, F.lit(0)), F.get(y, F.lit(1))
+
+    def fit(a, b):
+        start = F.struct(F.lit(0.0).alias("sse"), y0.alias("level"), (y1 / y0 if mul else y1 - y0).alias("trend"))
+
+        def step(s, v):
+            pred = s["level"] * s["trend"] if mul else s["level"] + s["trend"]
+            level = a * v + (1 - a) * pred
+            new = b * (level / s["level"] if mul else level - s["level"]) + (1 - b) * s["trend"]
+            return F.struct((s["sse"] + (v - pred) * (v - pred)).alias("sse"), level.alias("level"), new.alias("trend"))
+        return F.aggregate(F.slice(y, 2, F.size(y) - 1), start, step,
+                           lambda s: F.struct(s["sse"].alias("sse"), a.alias("a"), b.alias("b"),
+                                              s["level"].alias("level"), s["trend"].alias("trend")))
+    values = F.array(*(F.lit(float(g)) for g in grid))
+    return F.array_min(F.flatten(F.transform(values, lambda a: F.transform(values, lambda b: fit(a, b)))))
 
 
 def holt_forecast(df: DataFrame, keys, time_col: str, value_col: str, horizon: int = 5,
                   trend: str = "add") -> DataFrame:
-    """Forecast ``horizon`` periods per series (O-M5); keys may be empty."""
+    """Forecast ``horizon`` periods per series (O-M5); keys may be empty.
+
+    A series of one value is carried forward; null values count as gaps.
+    """
     keys = list(keys)
-    schema = T.StructType(
-        [df.schema[k] for k in keys]
-        + [T.StructField(time_col, T.IntegerType()), T.StructField(value_col, T.DoubleType())])
-    # one value per (series, period): each group handed to Python then holds
-    # at most one row per period, whatever the grain of the input
-    src = (df.groupBy(*keys, F.col(time_col).cast("int").alias(time_col))
-           .agg(F.sum(F.col(value_col).cast("double")).alias(value_col)))
-    if not keys:
-        src = src.withColumn("_one", F.lit(1))
-        schema_one = T.StructType(list(schema.fields) + [T.StructField("_one", T.IntegerType())])
-        return (src.groupBy("_one").applyInPandas(
-            _series_fn(["_one"], time_col, value_col, horizon, trend), schema_one)
-            .drop("_one"))
-    return src.groupBy(*keys).applyInPandas(
-        _series_fn(keys, time_col, value_col, horizon, trend), schema)
+    yearly = (df.groupBy(*keys, F.col(time_col).cast("int").alias("t"))
+              .agg(F.sum(F.col(value_col).cast("double")).alias("v")).where(F.col("v").isNotNull()))
+    v = F.greatest(F.col("v"), F.lit(EPS)) if trend == "mul" else F.col("v")
+    points = F.sort_array(F.collect_list(F.struct("t", v.alias("v"))))  # one entry a period
+    series = yearly.groupBy(*keys).agg(points.alias("_p"), F.max("t").alias("_last")).where(F.size("_p") > 0)
+    series = series.withColumn("_y", _gapless(F.col("_p")))
+    series = series.withColumn("_f", F.when(F.size("_y") > 1, holt_fit(F.col("_y"), trend)))
+    h = F.col("_h").cast("double")
+    ahead = F.col("_f.level") * F.pow("_f.trend", h) if trend == "mul" else F.col("_f.level") + h * F.col("_f.trend")
+    return (series.withColumn("_h", F.explode(F.sequence(F.lit(1), F.lit(int(horizon)))))
+            .select(*keys, (F.col("_last") + F.col("_h")).alias(time_col),
+                    F.coalesce(ahead, F.element_at("_y", 1)).alias(value_col)))
 
 
 def share_forecast(df: DataFrame, cat_col: str, time_col: str, value_col: str,

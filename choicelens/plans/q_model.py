@@ -107,13 +107,20 @@ def q_autoencoder_fit(spark, d):
     return spark.createDataFrame(hist, "epoch int, train_mse double, val_mse double")
 
 
-@register("stratified_sample")
+@register("stratified_sample", """
+SELECT vec_id, label FROM embeddings
+QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR) || '|42'), vec_id) <= 1000
+""")
 def q_stratified_sample(spark, d):
     e = read_table(spark, d, "embeddings", ["vec_id", "label"])
-    return SM.stratified_sample(e, "label", 20, ["vec_id"], seed=42)
+    return SM.stratified_sample(e, "label", 1000, ["vec_id"], seed=42)
 
 
-@register("hash_split")
+@register("hash_split", """
+SELECT CASE WHEN CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || '|42'), 1, 8) AS BIGINT) % 100 < 80
+            THEN 'train' ELSE 'val' END AS split, CAST(count(*) AS BIGINT) AS n
+FROM orders GROUP BY 1
+""")
 def q_hash_split(spark, d):
     o = read_table(spark, d, "orders", ["o_orderkey"])
     return A.count_by(SM.hash_split(o, ["o_orderkey"], 80, seed=42), ["split"], "n")
@@ -125,30 +132,99 @@ def q_bernoulli_sample(spark, d):
                                0.15, 42)
 
 
-# -- forecasts (rows-only: fitted parameters are not SQL) -----------------------
+# -- forecasts ------------------------------------------------------------------
 
 def _yearly(spark, d, keys):
     return A.sum_by(sales_by_part(spark, d, geo="geo" in keys), keys + ["year"],
                     "registrations")
 
 
-@register("total_forecast")
+def _holt_sql(src: str, keys, value: str, trend: str = "add", name: str = "fc", horizon: int = 5) -> str:
+    """CTEs that fit Holt's method to gapless series of ``src`` (keys, year, value), giving ``name``."""
+    ks = "".join(f"{k}, " for k in keys)
+    on = " AND ".join([*(f"p.{k} IS NOT DISTINCT FROM s.{k}" for k in keys), "TRUE"])
+    sk = "".join(f"s.{k}, " for k in keys)
+    pk = "".join(f"p.{k}, " for k in keys)
+    v = f"greatest(CAST({value} AS DOUBLE), 1e-6)" if trend == "mul" else f"CAST({value} AS DOUBLE)"
+    pred = "p.level * p.trend" if trend == "mul" else "p.level + p.trend"
+    first = "y[2] / y[1]" if trend == "mul" else "y[2] - y[1]"
+    change = "level / old" if trend == "mul" else "level - old"
+    ahead = "level * pow(trend, CAST(h AS DOUBLE))" if trend == "mul" else "level + CAST(h AS DOUBLE) * trend"
+    part = f"PARTITION BY {ks[:-2]}" if keys else ""
+    return f"""{name}_s AS (
+  SELECT {ks}list({v} ORDER BY year) AS y, CAST(max(year) AS INTEGER) AS last FROM {src} GROUP BY {ks[:-2] or "()"}),
+{name}_g AS (SELECT CAST(round(0.05 * i, 2) AS DOUBLE) AS a, CAST(round(0.05 * j, 2) AS DOUBLE) AS b
+             FROM range(1, 20) t1(i), range(1, 20) t2(j)),
+{name}_r AS (
+  SELECT {sk}a, b, 1 AS t, CAST(0 AS DOUBLE) AS sse, y[1] AS level, {first} AS trend FROM {name}_s s, {name}_g
+  UNION ALL
+  SELECT {ks}a, b, t, sse, level, b * ({change}) + (1 - b) * trend FROM (
+    SELECT {pk}p.a, p.b, p.t + 1 AS t, p.sse + (y[p.t + 1] - ({pred})) * (y[p.t + 1] - ({pred})) AS sse,
+           p.a * y[p.t + 1] + (1 - p.a) * ({pred}) AS level, p.level AS old, p.trend
+    FROM {name}_r p JOIN {name}_s s ON {on} WHERE p.t < len(y)) q),
+{name} AS (
+  SELECT {sk}CAST(last + h AS INTEGER) AS year, {ahead} AS {value}
+  FROM (SELECT *, row_number() OVER ({part} ORDER BY sse, a, b) AS rn
+        FROM (SELECT p.* FROM {name}_r p JOIN {name}_s s ON {on} WHERE p.t = len(y)) z) p
+  JOIN {name}_s s ON {on}, range(1, {horizon + 1}) t(h) WHERE rn = 1)"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _yearly_sql(keys) -> str:
+    cols = ", ".join([*keys, "year"])
+    return f"yearly AS (SELECT {cols}, CAST(sum(registrations) AS BIGINT) AS registrations FROM sales GROUP BY {cols})"
+
+
+@register("total_forecast", _recursive(with_sales(f"""
+WITH {_yearly_sql(["geo", "energy"])}, {_holt_sql("yearly", ["geo", "energy"], "registrations")}
+SELECT geo, energy, year, round(registrations, 4) AS registrations FROM fc
+""", geo=True)))
 def q_total_forecast(spark, d):
-    return FC.holt_forecast(_yearly(spark, d, ["geo", "energy"]), ["geo", "energy"], "year",
-                            "registrations", horizon=5, trend="add")
-
-
-@register("share_forecast")
+    fc = FC.holt_forecast(_yearly(spark, d, ["geo", "energy"]), ["geo", "energy"], "year",
+                          "registrations", horizon=5, trend="add")
+    return fc.withColumn("registrations", F.round("registrations", 4))
+
+
+@register("market_forecast", _recursive(with_sales(f"""
+WITH {_yearly_sql([])}, {_holt_sql("yearly", [], "registrations")}
+SELECT year, round(registrations, 4) AS registrations FROM fc
+""")))
+def q_market_forecast(spark, d):
+    """The whole market as one series."""
+    fc = FC.holt_forecast(_yearly(spark, d, []), [], "year", "registrations", horizon=5, trend="add")
+    return fc.withColumn("registrations", F.round("registrations", 4))
+
+
+@register("share_forecast", _recursive(with_sales(f"""
+WITH {_yearly_sql(["energy"])},
+shares AS (SELECT energy, year, CAST(registrations AS DOUBLE) / sum(registrations) OVER (PARTITION BY year) AS share FROM yearly),
+totals AS (SELECT year, sum(registrations) AS total FROM yearly GROUP BY year),
+{_holt_sql("shares", ["energy"], "share", "mul", "sf")},
+{_holt_sql("totals", [], "total", "add", "tf")}
+SELECT energy, year, round(share, 8) AS share, CAST(round_even(share * total, 0) AS BIGINT) AS forecast_volume
+FROM (SELECT energy, year, share / sum(share) OVER (PARTITION BY year) AS share FROM sf) JOIN tf USING (year)
+""")))
 def q_share_forecast(spark, d):
     y = _yearly(spark, d, ["energy"])
-    return FC.share_forecast(y, "energy", "year", "registrations", horizon=5)
+    return FC.share_forecast(y, "energy", "year", "registrations", horizon=5).withColumn("share", F.round("share", 8))
 
 
-@register("history_plus_forecast")
+@register("history_plus_forecast", _recursive(with_sales(f"""
+WITH {_yearly_sql(["energy"])}, {_holt_sql("yearly", ["energy"], "registrations")},
+h AS (SELECT energy, year, CAST(registrations AS DOUBLE) AS registrations FROM yearly)
+SELECT energy, year, round(registrations, 4) AS registrations, kind FROM (
+  SELECT *, 'history' AS kind FROM h
+  UNION ALL SELECT *, 'forecast' FROM fc
+  UNION ALL SELECT energy, max(year), max_by(registrations, year), 'bridge' FROM h GROUP BY energy)
+""")))
 def q_history_plus_forecast(spark, d):
     y = _yearly(spark, d, ["energy"])
     fc = FC.holt_forecast(y, ["energy"], "year", "registrations", horizon=5)
-    return FC.history_plus_forecast(y, fc, ["energy"], "year", "registrations")
+    out = FC.history_plus_forecast(y, fc, ["energy"], "year", "registrations")
+    return out.withColumn("registrations", F.round("registrations", 4))
 
 
 # -- composed payloads -------------------------------------------------------

@@ -6,11 +6,34 @@ from choicelens.operators import latent as L
 from conftest import rows
 
 
-def test_holt_exact_on_linear_series():
-    fc, _, _ = FC.holt([10, 12, 14, 16, 18], 3)
-    assert np.allclose(fc, [20, 22, 24])
-    fcm, _, _ = FC.holt([1, 2, 4, 8, 16], 2, trend="mul")
-    assert np.allclose(fcm, [32, 64])
+def _holt(y, horizon, trend="add"):
+    """The recursion in plain Python, for comparison."""
+    best = None
+    for a in FC.GRID:
+        for b in FC.GRID:
+            level, tr, sse = y[0], (y[1] / y[0] if trend == "mul" else y[1] - y[0]), 0.0
+            for v in y[1:]:
+                pred = level * tr if trend == "mul" else level + tr
+                sse += (v - pred) * (v - pred)
+                new = a * v + (1 - a) * pred
+                tr = b * (new / level if trend == "mul" else new - level) + (1 - b) * tr
+                level = new
+            best = min(best, (sse, a, b, level, tr)) if best else (sse, a, b, level, tr)
+    _, _, _, level, tr = best
+    return [level * tr ** h if trend == "mul" else level + h * tr for h in range(1, horizon + 1)]
+
+
+def test_holt_equals_the_recursion(spark):
+    series = {"line": [10.0, 12, 14, 16, 18], "bent": [5.0, 9, 4, 30, 22, 25], "one": [7.0], "two": [3.0, 4.0]}
+    df = spark.createDataFrame([(k, 2000 + i, float(v)) for k, y in series.items() for i, v in enumerate(y)],
+                               "k string, year int, v double")
+    for trend in ("add", "mul"):
+        got = {}
+        for r in FC.holt_forecast(df, ["k"], "year", "v", 3, trend).orderBy("year").collect():
+            got.setdefault(r["k"], []).append(r["v"])
+        for k, y in series.items():
+            assert np.allclose(got[k], _holt(y, 3, trend) if len(y) > 1 else y * 3)
+    assert FC.holt_forecast(df.where("k = 'none'"), ["k"], "year", "v").count() == 0
 
 
 def test_holt_forecast_groups_and_gap(spark):
