@@ -140,16 +140,12 @@ def q_all_regions_filter(spark, d):
 
 
 @register("coverage_check", """
-SELECT n_nationkey, n_name FROM nation
-WHERE n_nationkey NOT IN (
-  SELECT c_nationkey FROM customer
-  WHERE c_mktsegment = 'AUTOMOBILE' AND c_acctbal > 9000 AND c_nationkey IS NOT NULL)
+SELECT doc_id, lang FROM documents
+WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)
 """)
 def q_coverage_check(spark, d):
-    c = read_table(spark, d, "customer", ["c_nationkey", "c_mktsegment", "c_acctbal"]).where(
-        (F.col("c_mktsegment") == "AUTOMOBILE") & (F.col("c_acctbal") > 9000))
-    n = read_table(spark, d, "nation", ["n_nationkey", "n_name"])
-    return P.missing_members(c, "c_nationkey", n, "n_nationkey")
+    docs = read_table(spark, d, "documents", ["doc_id", "lang"])
+    return P.missing_members(read_table(spark, d, "labels", ["doc_id"]), "doc_id", docs, "doc_id")
 
 
 @register("anti_membership", """
@@ -174,7 +170,7 @@ def q_membership_filter(spark, d):
 
 
 @register("constant_columns", """
-WITH r AS (SELECT * FROM lineitem WHERE l_returnflag = 'R')
+WITH r AS (SELECT * FROM lineitem)
 SELECT * FROM (VALUES
  ('l_orderkey', (SELECT count(l_orderkey) FROM r), (SELECT coalesce(min(l_orderkey) = max(l_orderkey), true) FROM r)),
  ('l_returnflag', (SELECT count(l_returnflag) FROM r), (SELECT coalesce(min(l_returnflag) = max(l_returnflag), true) FROM r)),
@@ -183,7 +179,7 @@ SELECT * FROM (VALUES
 ) t(column_name, non_null, is_constant)
 """)
 def q_constant_columns(spark, d):
-    li = read_table(spark, d, "lineitem").where(F.col("l_returnflag") == "R")
+    li = read_table(spark, d, "lineitem")
     return P.constant_columns(li, ["l_orderkey", "l_returnflag", "l_linestatus", "l_tax"])
 
 

@@ -39,12 +39,10 @@ WITH b AS (SELECT year, energy,
            FROM sales WHERE year IS NOT NULL AND energy IS NOT NULL GROUP BY ALL)
 SELECT year,
        {_pivot_cols_sql("CAST(first(u) FILTER (WHERE energy = '{t}') AS DOUBLE)", False)}
-FROM b WHERE year <> 1998 OR energy <> 'PROMO' GROUP BY year
+FROM b GROUP BY year
 """))
 def q_pivot_first(spark, d):
     b = choice.baseline_factors(sales_by_part(spark, d))
-    # one cell removed so the pivot shows a gap that must stay null
-    b = b.where((F.col("year") != 1998) | (F.col("energy") != "PROMO"))
     out = RS.pivot_wide(b, ["year"], "energy", TYPES, "unique_choices", "first")
     # cells may be null (no fill): published as double, one type in both engines
     return out.withColumns({t: F.col(t).cast("double") for t in TYPES})
@@ -58,34 +56,32 @@ WITH cells AS (
 g AS (SELECT geo, year, energy,
              CAST(sum(r) AS BIGINT) / count(*) FILTER (WHERE r >= 40) AS v
       FROM cells GROUP BY ALL HAVING count(*) FILTER (WHERE r >= 40) > 0)
-SELECT geo,
+SELECT geo, year,
        {_pivot_cols_sql("avg(v) FILTER (WHERE energy = '{t}')", True)}
-FROM g WHERE year = 1999 GROUP BY geo
+FROM g GROUP BY geo, year
 """, geo=True))
 def q_pivot_mean_fill(spark, d):
     g = choice.grid_normalisation(sales_lines(spark, d, geo=True),
                                   keys=("geo", "year", "energy"), min_registrations=40)
-    g = g.where(F.col("year") == 1999)
-    return RS.pivot_wide(g, ["geo"], "energy", TYPES, "normalized_registrations", "avg",
+    return RS.pivot_wide(g, ["geo", "year"], "energy", TYPES, "normalized_registrations", "avg",
                          fill=0.0)
 
 
 @register("unpivot_years", with_sales("""
-WITH s AS (SELECT geo, CAST(year AS VARCHAR) AS year_label,
+WITH s AS (SELECT geo, energy, CAST(year AS VARCHAR) AS year_label,
                   CAST(sum(registrations) AS BIGINT) AS registrations
-           FROM sales WHERE energy = 'SMALL' GROUP BY ALL),
-g AS (SELECT DISTINCT geo FROM sales WHERE energy = 'SMALL'),
+           FROM sales GROUP BY ALL),
+g AS (SELECT DISTINCT geo, energy FROM sales),
 y AS (SELECT * FROM (VALUES ('1995'), ('1996'), ('1997'), ('1998'), ('1999'), ('2000'),
                             ('2001'), ('2002')) t(year_label))
-SELECT g.geo, y.year_label, CAST(s.registrations AS DOUBLE) AS registrations
-FROM g CROSS JOIN y LEFT JOIN s ON g.geo = s.geo AND y.year_label = s.year_label
+SELECT g.geo, g.energy, y.year_label, CAST(s.registrations AS DOUBLE) AS registrations
+FROM g CROSS JOIN y LEFT JOIN s ON g.geo = s.geo AND g.energy = s.energy AND y.year_label = s.year_label
 """, geo=True))
 def q_unpivot_years(spark, d):
-    s = sales_by_part(spark, d, geo=True).where(F.col("energy") == "SMALL")
-    g = A.sum_by(s, ["geo", "year"], "registrations")
+    g = A.sum_by(sales_by_part(spark, d, geo=True), ["geo", "energy", "year"], "registrations")
     years = YEARS + [2002]   # 2002 has no data: its column is all null
-    wide = RS.pivot_wide(g, ["geo"], "year", years, "registrations", "sum")
-    long = RS.unpivot_long(wide, ["geo"], [str(y) for y in years], "year_label",
+    wide = RS.pivot_wide(g, ["geo", "energy"], "year", years, "registrations", "sum")
+    long = RS.unpivot_long(wide, ["geo", "energy"], [str(y) for y in years], "year_label",
                            "registrations")
     # values with gaps are published as double: one type in both engines
     return long.withColumn("registrations", F.col("registrations").cast("double"))
@@ -106,7 +102,7 @@ def q_dense_years(spark, d):
 
 @register("calendar_regularise", """
 WITH c AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n_events
-           FROM events WHERE event_type = 'purchase' GROUP BY ALL),
+           FROM events GROUP BY ALL),
 span AS (SELECT user_id, min(day) AS lo, max(day) AS hi FROM c GROUP BY user_id),
 cal AS (SELECT user_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day
         FROM span)
@@ -114,8 +110,7 @@ SELECT cal.user_id, CAST(cal.day AS VARCHAR) AS day, CAST(c.n_events AS DOUBLE)
 FROM cal LEFT JOIN c ON cal.user_id = c.user_id AND cal.day = c.day
 """)
 def q_calendar_regularise(spark, d):
-    e = read_table(spark, d, "events", ["user_id", "ts", "event_type"]).where(
-        F.col("event_type") == "purchase")
+    e = read_table(spark, d, "events", ["user_id", "ts"])
     c = A.count_by(e.select("user_id", F.to_date("ts").alias("day")), ["user_id", "day"],
                    "n_events")
     out = RS.calendar_regularise(c, ["user_id"], "day")
