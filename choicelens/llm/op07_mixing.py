@@ -52,10 +52,10 @@ def rates(docs: DataFrame, source_col: str, text_col: str, weights: dict[str, fl
     else:
         given = F.coalesce(*(F.when(F.col("_source") == F.lit(f"={s}"), F.lit(float(w))) for s, w in weights.items()), F.lit(0.0))
         sums = sums.withColumn("weight", given)
-    whole = sums.agg(F.sum("size").alias("all_size"), F.sum("weight").alias("all_weight"))
-    mean = F.when(F.col("all_weight") > 0, F.col("weight") / F.col("all_weight") * (F.col("all_size") * F.lit(float(epochs))) / F.col("size")) \
+    whole = sums.agg(F.struct(F.sum("size").alias("size"), F.sum("weight").alias("weight")).alias("s")).scalar()
+    mean = F.when(whole["weight"] > 0, F.col("weight") / whole["weight"] * (whole["size"] * F.lit(float(epochs))) / F.col("size")) \
         .otherwise(F.lit(0.0))
-    out = (sums.join(F.broadcast(whole)).select("_source", mean.alias("mean"))
+    out = (sums.select("_source", mean.alias("mean"))
            .withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("mean") / MEAN_LIMIT)).cast("int"))
            .withColumn("_m", F.col("mean") / F.col("parts")))
     start = F.struct(F.exp(-F.col("_m")).alias("term"), F.array(F.exp(-F.col("_m"))).alias("cdf"))
