@@ -27,6 +27,12 @@ def pivot_wide(df: DataFrame, row_keys, pivot_col: str, values, measure: str,
     return out
 
 
+def pivot_thousands(df: DataFrame, row_keys, pivot_col: str, values, measure: str, digits: int = 1) -> DataFrame:
+    """Summed pivot in thousands, rounded, nulls as 0, rows in key order (O-R4)."""
+    wide = pivot_wide(df, row_keys, pivot_col, values, measure, "sum", fill=0)
+    return wide.withColumns({str(v): F.round(F.col(f"`{v}`") / 1000.0, digits) for v in values}).orderBy(*row_keys)
+
+
 def unpivot_long(df: DataFrame, ids, value_cols, var: str = "variable", val: str = "value"
                  ) -> DataFrame:
     """Wide → long (O-R9, O-R11)."""

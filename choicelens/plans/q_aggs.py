@@ -131,7 +131,7 @@ def q_numeric_summary(spark, d):
                              approx=False)
 
 
-CORR_COLS = ["l_quantity", "l_discount", "l_tax"]
+CORR_COLS = ["registrations", "mass", "co2", "capacity", "power", "consumption", "year"]
 
 
 def _corr_sql(cols):
@@ -139,15 +139,16 @@ def _corr_sql(cols):
     for i, a in enumerate(cols):
         for b in cols[i:]:
             e = f"round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6)"
-            parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, {e} AS corr FROM lineitem")
+            parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, {e} AS corr FROM sales")
             if a != b:
-                parts.append(f"SELECT '{b}', '{a}', {e} FROM lineitem")
+                parts.append(f"SELECT '{b}', '{a}', {e} FROM sales")
     return "\nUNION ALL\n".join(parts)
 
 
-@register("correlation_matrix", _corr_sql(CORR_COLS))
+@register("correlation_matrix", with_sales(_corr_sql(CORR_COLS)))
 def q_correlation_matrix(spark, d):
-    return A.correlation_matrix(read_table(spark, d, "lineitem", CORR_COLS), CORR_COLS)
+    # co2 has nulls: each pair uses the rows where both are known
+    return A.correlation_matrix(sales_lines(spark, d), CORR_COLS)
 
 
 @register("mean_pivot", """

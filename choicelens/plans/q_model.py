@@ -300,17 +300,16 @@ def q_year_options(spark, d):
     return y.withColumn("selected", F.col("year") == clamp(F.lit(2005), lo, hi))
 
 
-@register("geo_options", """
+@register("geo_options", with_sales("""
 SELECT 'EU27_2020' AS code, 'All regions' AS label, 0 AS priority
 UNION ALL
-SELECT DISTINCT CAST(n_nationkey AS VARCHAR), n_name, 1 FROM nation
-""")
+SELECT DISTINCT CAST(geo AS VARCHAR), geo_name, 1 FROM sales WHERE CAST(geo AS VARCHAR) <> 'EU27_2020'
+""", geo=True))
 def q_geo_options(spark, d):
-    n = read_table(spark, d, "nation", ["n_nationkey", "n_name"])
-    opts = n.select(F.col("n_nationkey").cast("string").alias("code"),
-                    F.col("n_name").alias("label"), F.lit(1).alias("priority")).distinct()
-    pseudo = opts.limit(1).select(F.lit("EU27_2020").alias("code"),
-                                  F.lit("All regions").alias("label"),
-                                  F.lit(0).alias("priority"))
+    """The regions that the fact has, after the pseudo-region for all of them."""
+    s = sales_by_part(spark, d, geo=True)
+    opts = s.select(F.col("geo").cast("string").alias("code"), F.col("geo_name").alias("label"),
+                    F.lit(1).alias("priority")).where(F.col("code") != "EU27_2020").distinct()
+    pseudo = spark.range(1).select(F.lit("EU27_2020").alias("code"), F.lit("All regions").alias("label"),
+                                   F.lit(0).alias("priority"))
     return pseudo.unionByName(opts).orderBy("priority", "label")
-
