@@ -43,6 +43,8 @@ from choicelens.llm.textcols import mixed, pieces, span_hash, utf8
 GRAM = 16
 _TABLE = np.random.default_rng(50).integers(0, 2**64, 256, dtype=np.uint64)
 _NULL = -(1 << 63)
+# a context is told apart by its anchor's hash (32 bits and the destination) and 56 bits of its content's
+ENTRY_PLANES = {"c": 7, "lo": 4}
 _BLOB = "kind int, part int, g binary, c binary, doc binary, row binary, lo binary, n binary"
 
 
@@ -119,8 +121,24 @@ def _bucket_col(buckets: int) -> Column:
     return F.pmod(F.col("_doc").bitwiseXOR(F.col("_row")), F.lit(buckets)).cast("int")
 
 
-def _rows(kind: int, part: np.ndarray, **cols: np.ndarray):
-    """One row for each value of ``part``, with the columns' bytes."""
+def _planes(a: np.ndarray, keep: int) -> bytes:
+    """The ``keep`` low bytes of numbers, first bytes first: high bytes compress to little."""
+    a = np.ascontiguousarray(a)
+    return a.view(np.uint8).reshape(len(a), a.itemsize).T[:keep].tobytes()
+
+
+def _read_planes(col, kind, keep: int) -> np.ndarray:
+    parts = []
+    for x in col.to_pylist():
+        a = np.zeros((len(x) // keep, np.dtype(kind).itemsize), np.uint8)
+        a[:, :keep] = np.frombuffer(x, np.uint8).reshape(keep, -1).T
+        parts.append(a.view(kind).ravel())
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def _rows(kind: int, part: np.ndarray, planes: dict[str, int] | None = None, **cols: np.ndarray):
+    """One row for each value of ``part``, with the columns' bytes (some as byte planes)."""
+    planes = planes or {}
     if not len(part):
         return []
     by = np.argsort(part, kind="stable")
@@ -128,7 +146,8 @@ def _rows(kind: int, part: np.ndarray, **cols: np.ndarray):
     out = []
     for ix in np.split(by, cut):
         out.append({"kind": kind, "part": int(part[ix[0]]),
-                    **{k: np.ascontiguousarray(v[ix]).tobytes() for k, v in cols.items()}})
+                    **{k: _planes(v[ix], planes[k]) if k in planes else np.ascontiguousarray(v[ix]).tobytes()
+                       for k, v in cols.items()}})
     return out
 
 
@@ -165,7 +184,7 @@ def _emit_contexts(window: int, parts: int, buckets: int, flush: int = 400_000):
         keep = np.flatnonzero(~gone)
         keep = keep[np.lexsort((lo[keep], row[keep], doc[keep]))]  # near values next to each other compress well
         g, c, doc, row, lo, more = (x[keep] for x in (g, c, doc, row, lo, more))
-        entries = _rows(1, (g % np.uint64(parts)).astype(np.int64), g=(g // np.uint64(parts)).astype(np.uint32), c=c,
+        entries = _rows(1, (g % np.uint64(parts)).astype(np.int64), ENTRY_PLANES, g=(g // np.uint64(parts)).astype(np.uint32), c=c,
                         doc=doc, row=row, lo=lo, n=more)
         return _batch(spans + entries)
 
@@ -207,8 +226,8 @@ def _resolve(window: int, buckets: int, parts: int, hot: int):
         counts = np.array([len(x) for x in t["n"].to_pylist()])
         part = np.repeat(t["part"].to_numpy().astype(np.uint64), counts)
         g = _read(t["g"], np.uint32).astype(np.uint64) * np.uint64(parts) + part
-        c, doc, row = _read(t["c"], np.uint64), _read(t["doc"], np.int64), _read(t["row"], np.int32)
-        lo, more = _read(t["lo"], np.uint32), _read(t["n"], np.uint8)
+        c, lo = (_read_planes(t[k], kind, ENTRY_PLANES[k]) for k, kind in (("c", np.uint64), ("lo", np.uint32)))
+        doc, row, more = _read(t["doc"], np.int64), _read(t["row"], np.int32), _read(t["n"], np.uint8)
         by = np.lexsort((doc, c, g))
         g, c, doc, row, lo, more = (x[by] for x in (g, c, doc, row, lo, more))
         new_g = np.concatenate([[True], g[1:] != g[:-1]])
