@@ -1,10 +1,11 @@
 """Token ids of whole texts by a public tokenizer, with each word encoded once.
 
-The tokenizers library encodes chunks: white space and the word after it. A
-chunk starts where the library's own splitting always starts a new piece, so
-the ids of a text are those of its chunks, laid end to end; a worker keeps the
-ids of the chunks it has met, up to a bounded number. Texts with rare white
-space that the library treats in another way are encoded in one go.
+The tokenizers library encodes chunks: white space and the word after it, its
+closing symbols apart. A chunk starts where the library's own splitting always
+starts a new piece, so the ids of a text are those of its chunks, laid end to
+end; a worker keeps the ids of the chunks it has met, up to a bounded number.
+Texts with rare white space that the library treats in another way are encoded
+in one go.
 """
 
 from __future__ import annotations
@@ -15,8 +16,12 @@ import numpy as np
 
 # a space, tab or line break always ends a piece; other white space is not relied on
 _RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-_KEPT = re.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
-_DROPPED = re.compile(r"[^ \n\r\t]+")
+# letters and digits alone, and the ASCII symbols (not ') after them up to white space, are pieces apart
+_SYM = r"[!-&(-/:-@\[-^`{-~]"
+_END = rf"(?={_SYM}*+(?:[ \n\r\t]|\Z))"
+_STOP = rf"{_SYM}++(?=[ \n\r\t]|\Z)"
+_KEPT = re.compile(rf"[ \n\r\t]*+[^\W_]++{_END}|{_STOP}|[ \n\r\t]*+[^ \n\r\t]++|[ \n\r\t]++")
+_DROPPED = re.compile(rf"[^\W_]++{_END}|{_STOP}|[^ \n\r\t]++")
 
 
 class _Numbers(dict):
@@ -52,8 +57,8 @@ class ChunkEncoder:
     def _learn(self) -> None:
         """Encode the chunks that wait; each is a sequence of its own to the library."""
         new, self.known.new = self.known.new, []
-        for lo in range(0, len(new), 2048):
-            part = new[lo:lo + 2048]
+        for lo in range(0, len(new), 64):
+            part = new[lo:lo + 64]
             e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
             ids = np.array(e.ids, np.uint32)
             n = np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))
