@@ -92,6 +92,22 @@ def test_scaler_encode_and_fit(spark):
     assert len(hist) == 3 and hist[-1][1] <= hist[0][1] + 1e-9
 
 
+def test_fit_stops_early_and_keeps_the_best(spark, tmp_dir):
+    df = _feature_frame(spark, 120)
+    st = L.scaler_stats(df)
+    x = L.scale(df, st).select(*[f"s_{c}" for c in L.FEATURES])
+    cols = x.columns
+    one, hist = L.autoencoder_fit(x.coalesce(1), cols, epochs=12, lr=1e-2, stop_patience=3, min_delta=10.0)
+    assert len(hist) == 3                                   # no fall of ten in three epochs
+    a, ha = L.autoencoder_fit(x.coalesce(1), cols, epochs=4, lr=1e-2)
+    b, hb = L.autoencoder_fit(x.repartition(5), cols, epochs=4, lr=1e-2)
+    assert ha[-1][1] < ha[0][1]
+    assert np.allclose(L.flatten(a), L.flatten(b), atol=1e-6)
+    L.save_model(spark, f"{tmp_dir}/model", a, st)
+    params, stats = L.load_model(spark, f"{tmp_dir}/model")
+    assert np.array_equal(L.flatten(params), L.flatten(a)) and stats.first() == st.first()
+
+
 def _feature_frame(spark, n=300, seed=2):
     rng = np.random.default_rng(seed)
     rows = [(i, *[float(v) for v in rng.normal(size=5) * [100, 10, 500, 20, 30]])
