@@ -96,7 +96,21 @@ def q_pie_slices(spark, d):
     return S.pie_slices(g, "energy", "registrations", ["ECONOMY", "LARGE", "PROMO"])
 
 
-@register("training_prep")
+@register("training_prep", with_sales("""
+WITH z AS (
+  SELECT line_order, line_number, variant, mass, power,
+         CASE WHEN energy = 'MEDIUM' THEN 0.0 ELSE co2 END AS co2,
+         CASE WHEN energy = 'MEDIUM' THEN 0.0 ELSE capacity END AS capacity,
+         CASE WHEN energy IN ('ECONOMY', 'LARGE') THEN 0.0 ELSE consumption END AS consumption FROM sales),
+f AS (
+  SELECT *, CASE WHEN CAST('0x' || substr(md5(line_order || '|' || line_number || '|' || variant || '|42'), 1, 8) AS BIGINT) % 100 < 80
+                 THEN 'train' ELSE 'val' END AS split
+  FROM z WHERE mass IS NOT NULL AND co2 IS NOT NULL AND capacity IS NOT NULL AND power IS NOT NULL AND consumption IS NOT NULL),
+st AS (SELECT avg(mass) AS mean, CASE WHEN stddev_pop(mass) = 0 THEN 1.0::DOUBLE ELSE stddev_pop(mass) END AS sd
+       FROM f WHERE split = 'train')
+SELECT split, count(*) AS n, round(avg((mass - mean) / sd), 6) + 0.0::DOUBLE AS mean_scaled_mass
+FROM f CROSS JOIN st GROUP BY split
+"""))
 def q_training_prep(spark, d):
     """Zeroing → drop nulls → hash split → train-only scaler → scaled rows."""
     s = sales_lines(spark, d)
@@ -105,4 +119,4 @@ def q_training_prep(spark, d):
         zeroing=lambda x: C.structural_zeros(x, electric=["MEDIUM"],
                                              combustion=["ECONOMY", "LARGE"]))
     return scaled.groupBy("split").agg(F.count(F.lit(1)).alias("n"),
-                                       F.avg("s_mass").alias("mean_scaled_mass"))
+                                       (F.round(F.avg("s_mass"), 6) + F.lit(0.0)).alias("mean_scaled_mass"))
