@@ -80,11 +80,7 @@ def q_latent_mlp(spark, d):
 
 @register("pca_projection")
 def q_pca_projection(spark, d):
-    f = _features(spark, d)
-    s = L.scale(f, L.scaler_stats(f))
-    scols = [f"s_{c}" for c in FEATURES]
-    axes = L.pca_fit(s, scols, k=2)
-    z = L.latent_linear(f, axes.tolist(), L.scaler_stats(f))
+    z = L.pca_project(_features(spark, d), FEATURES, k=2)
     return z.select("year", "energy", "registrations", "z_1", "z_2")
 
 

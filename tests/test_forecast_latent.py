@@ -139,6 +139,15 @@ def test_pca_equals_numpy(spark):
         assert abs(abs(float(np.dot(a, b))) - 1.0) < 1e-9
 
 
+def test_pca_project_equals_numpy(spark):
+    df = _feature_frame(spark, seed=5)
+    got = np.array([[r["z_1"], r["z_2"]] for r in L.pca_project(df).orderBy("id").collect()])
+    x = df.toPandas().sort_values("id")[L.FEATURES].to_numpy()
+    x = (x - x.mean(axis=0)) / x.std(axis=0)
+    axes = L._top_axes(np.cov(x, rowvar=False, bias=True), 2)
+    assert np.allclose(got, x @ axes.T, atol=1e-9)
+
+
 def test_prepare_training_scales_on_train_split(spark):
     df = _feature_frame(spark, n=2000, seed=6).withColumn("energy", F.lit("x"))
     scaled, stats = L.prepare_training(df, L.FEATURES, key_cols=["id"])
