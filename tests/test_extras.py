@@ -79,3 +79,17 @@ def test_volume_series(spark):
         regs = [x["registrations"] for x in t]
         assert regs == sorted(regs, reverse=True)
     assert v["choices"].where("unique_choices <= 0").count() == 0
+
+
+def test_no_shared_folder_is_a_clear_error():
+    import pytest
+    from choicelens.session import checkpoint_dir
+
+    class Bare:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            getCheckpointDir = staticmethod(lambda: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Bare())
