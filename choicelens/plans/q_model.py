@@ -13,6 +13,7 @@ from choicelens.operators import forecast as FC
 from choicelens.operators import latent as L
 from choicelens.operators import sampling as SM
 from choicelens.operators.filters import drop_null_rows, region_filter
+from choicelens.operators.reshape import pivot_wide
 from choicelens.plans.bindings import sales_by_part, sales_lines
 from choicelens.plans.registry import register, with_sales
 from choicelens.sources.readers import read_table
@@ -309,3 +310,40 @@ def q_geo_options(spark, d):
     pseudo = spark.range(1).select(F.lit("EU27_2020").alias("code"), F.lit("All regions").alias("label"),
                                    F.lit(0).alias("priority"))
     return pseudo.unionByName(opts).orderBy("priority", "label")
+
+
+_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
+def _wide_sql(metric: str, value: str, fill: bool) -> str:
+    cols = ", ".join((f"coalesce(max({value}) FILTER (WHERE energy = '{t}'), 0.0::DOUBLE)" if fill else
+                      f"max({value}) FILTER (WHERE energy = '{t}')") + f' AS "{t}"' for t in _TYPES)
+    return f"SELECT '{metric}' AS metric, year, {cols} FROM j GROUP BY year"
+
+
+@register("overview_wide", with_sales(f"""
+WITH s AS (SELECT * FROM sales WHERE geo = 5 AND year BETWEEN 1996 AND 2000),
+raw AS (SELECT year, energy, CAST(sum(registrations) AS DOUBLE) AS registrations,
+               CAST(sum(registrations) AS BIGINT) / count(DISTINCT (commercial_name, capacity, power)) AS baseline
+        FROM s GROUP BY ALL),
+cells AS (SELECT year, energy, floor(z_1 / 0.2::DOUBLE) AS cx, floor(z_2 / 0.2::DOUBLE) AS cy,
+                 sum(registrations) AS r FROM s GROUP BY ALL),
+g AS (SELECT year, energy, CAST(sum(r) AS BIGINT) / count(*) FILTER (WHERE r >= 5) AS grid
+      FROM cells GROUP BY ALL HAVING count(*) FILTER (WHERE r >= 5) > 0),
+j AS (SELECT raw.*, g.grid FROM raw LEFT JOIN g ON raw.year = g.year AND raw.energy = g.energy)
+{_wide_sql("raw", "registrations", True)}
+UNION ALL {_wide_sql("baseline", "baseline", False)}
+UNION ALL {_wide_sql("grid", "grid", True)}
+""", geo=True))
+def q_overview_wide(spark, d):
+    """The overview as charts read it: a row a metric and year, a column a category.
+
+    Raw and grid values are filled with 0, baseline values are not.
+    """
+    long = q_overview_payload(spark, d)
+    out = None
+    for metric, value, fill in (("raw", "registrations", 0.0), ("baseline", "baseline", None), ("grid", "grid", 0.0)):
+        part = pivot_wide(long.withColumn("_v", F.col(value).cast("double")), ["year"], "energy", _TYPES, "_v", "max", fill)
+        part = part.select(F.lit(metric).alias("metric"), "year", *_TYPES)
+        out = part if out is None else out.unionByName(part)
+    return out
