@@ -145,7 +145,23 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_inner_product(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
-@query("op10_previous_factors")
+@query("op10_previous_factors", """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), 100) AS k
+      FROM (SELECT doc_id, h, unnest(range(greatest(0, len(h) // 2 - 49))) AS i FROM d)),
+m AS (SELECT k, min(doc_id) AS first FROM w GROUP BY k),
+hit AS (SELECT doc_id, i FROM w JOIN m USING (k) WHERE first < doc_id),
+turn AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM hit),
+run AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM turn),
+span AS (SELECT doc_id, span, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY doc_id, span),
+gap AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM span),
+cut AS (SELECT g.doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS last,
+               string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS head
+        FROM gap g JOIN d ON g.doc_id = d.doc_id GROUP BY g.doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE head || substr(h, CAST(2 * last + 1 AS BIGINT)) END)) AS kept_sha256
+FROM d LEFT JOIN cut ON d.doc_id = cut.doc_id
+""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without 50-byte strings of earlier ones."""
     cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
