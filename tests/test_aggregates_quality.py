@@ -64,7 +64,7 @@ def test_profile_and_reconcile(spark):
     d = spark.createDataFrame([(1, "A", 2), (1, "B", 3), (1, "T", 6), (2, "A", 1), (2, "T", 1)],
                               "y int, c string, v int")
     dv = rows(detail_vs_total(d, ["y"], "c", "v", ["A", "B"], "T"))
-    assert dv == [(1, 5, 6, -1), (2, None, 1, None)]
+    assert dv == [(1, 5, 6, 1), (2, None, 1, None)]
 
 
 def test_sketch_paths_close_to_exact(spark):
