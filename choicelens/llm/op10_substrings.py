@@ -170,7 +170,7 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> Data
                        F.hash(text).alias("_row"), text.cast("binary").alias("_text")).withColumn("_b", _bucket_col(buckets))
 
 
-def _emit_contexts(window: int, parts: int, buckets: int, flush: int = 400_000):
+def _emit_contexts(window: int, parts: int, buckets: int, flush: int = 200_000):
     """Task of step 1: packed contexts by destination; local copies become spans (kind 0)."""
     def packed(held):
         g, c, doc, row, lo, more = (np.concatenate(x) for x in zip(*held))
@@ -395,7 +395,7 @@ def _cut(as_text: bool):
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50,
-                   bytes_per_part: int = 16 << 20, bytes_per_group: int = 6 << 20, hot: int = 50_000,
+                   bytes_per_part: int = 8 << 20, bytes_per_group: int = 4 << 20, hot: int = 50_000,
                    as_text: bool = False) -> DataFrame:
     """``docs`` without ``text_col``, with ``n_bytes``, ``removed_spans`` and ``kept_bytes``.
 
