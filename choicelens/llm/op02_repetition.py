@@ -139,12 +139,13 @@ def repetition_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8,
-                     max_covered: float = 0.45, max_longest: float = 0.3, floor_words: int = 50) -> DataFrame:
+                     max_covered: float = 0.30, max_longest: float = 0.15, floor_words: int = 50) -> DataFrame:
     """Counts, ``base_failed`` and ``kept`` of every document.
 
     The method's verdict keeps a document if maximal repeats of ``min_words``
     words or more cover at most ``max_covered`` of its words and the longest is
-    at most ``max_longest`` of them.
+    at most ``max_longest`` of them. Two plain copies cover twice their length;
+    the second limit acts alone on runs that overlap themselves.
     """
     c = F.col
     base = (c("n_words") < floor_words) | (100 * c("n_repeat_words") > 50 * c("n_words"))

@@ -62,6 +62,19 @@ def test_repetition_verdict(spark):
     assert repetition_rules(empty_docs(spark)).count() == 0
 
 
+def test_repetition_limits_decide_alone(spark):
+    def doc(copies, length, n=200, run=0):
+        fill = [f"u{k}" for k in range(n - copies * length - run)]
+        return " ".join([f"w{k}" for k in range(length)] + fill[:9] + [f"w{k}" for k in range(length)] * (copies - 1)
+                        + fill[9:] + ["la"] * run)
+    rows = [(1, doc(2, 38)), (2, doc(2, 20)), (3, doc(0, 0, run=36)), (4, doc(4, 16))]
+    got = {r.doc_id: r for r in repetition_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    # coverage 0.38; 0.20; 0.18 with a longest repeat of 0.175; 0.32 with a longest of 0.16 or more
+    assert {k: r.kept for k, r in got.items()} == {1: False, 2: True, 3: False, 4: False}
+    assert got[3].n_covered_words <= 0.30 * got[3].n_words
+
+
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("documents", "labels"))
     rows = score_quality(docs, fit_quality(docs, labels)).join(labels, "doc_id").collect()
