@@ -12,6 +12,7 @@ from choicelens.operators import choice
 from choicelens.operators import forecast as FC
 from choicelens.operators import latent as L
 from choicelens.operators import sampling as SM
+from choicelens.operators.cleaning import structural_zeros
 from choicelens.operators.filters import drop_null_rows, region_filter
 from choicelens.operators.reshape import pivot_wide
 from choicelens.plans.bindings import sales_by_part, sales_lines
@@ -70,12 +71,31 @@ def q_latent_linear(spark, d):
                     F.round("z_1", 4).alias("z_1"), F.round("z_2", 4).alias("z_2"))
 
 
+def _zeroed(df):
+    return structural_zeros(df, electric=["MEDIUM"], combustion=["ECONOMY", "LARGE"])
+
+
+def _fitted(spark, d):
+    """(weights of the full fit, loss curve, scaler of the training part) of the zeroed features."""
+    s, st = L.prepare_training(sales_lines(spark, d), FEATURES, zeroing=_zeroed,
+                               key_cols=("line_order", "line_number", "variant"))
+    scols = [f"s_{c}" for c in FEATURES]
+    # every epoch scans this frame: spread it over all cores, then keep it
+    s = s.select("split", *scols).repartition(spark.sparkContext.defaultParallelism)
+    s = s.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        params, hist = L.autoencoder_fit(s, scols, split_col="split")
+    finally:
+        s.unpersist()
+    return params, hist, st
+
+
 @register("latent_mlp")
 def q_latent_mlp(spark, d):
-    """Encoder with seeded weights → grid normalisation on its latent plane."""
-    f = _features(spark, d)
-    z = L.mlp_encode(f, L.init_params(42), L.scaler_stats(f),
-                     keep=["year", "energy", "registrations", "variant"])
+    """Fit → structural zeros → drop nulls → scale → encode → grid normalisation."""
+    params, _, st = _fitted(spark, d)
+    f = drop_null_rows(_zeroed(sales_lines(spark, d)), FEATURES)
+    z = L.mlp_encode(f, params, st, keep=["year", "energy", "registrations", "variant"])
     return choice.grid_normalisation(z, grid_size=0.05, min_registrations=10)
 
 
@@ -87,20 +107,8 @@ def q_pca_projection(spark, d):
 
 @register("autoencoder_fit")
 def q_autoencoder_fit(spark, d):
-    """Full-batch fit on the 80 % hash split; returns the loss curve."""
-    f = _features(spark, d)
-    st = L.scaler_stats(SM.hash_split(f, ["line_order", "line_number", "variant"])
-                        .where(F.col("split") == "train"))
-    s = L.scale(SM.hash_split(f, ["line_order", "line_number", "variant"]), st)
-    scols = [f"s_{c}" for c in FEATURES]
-    s = s.select("split", *scols)
-    # every epoch scans this frame: spread it over all cores, then keep it
-    s = s.repartition(spark.sparkContext.defaultParallelism)
-    s = s.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        _, hist = L.autoencoder_fit(s, scols, epochs=5, lr=1e-2, split_col="split")
-    finally:
-        s.unpersist()
+    """Full-batch fit on the 80 % hash split by the whole rule; returns the loss curve."""
+    _, hist, _ = _fitted(spark, d)
     return spark.createDataFrame(hist, "epoch int, train_mse double, val_mse double")
 
 

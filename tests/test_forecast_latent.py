@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from choicelens.operators import forecast as FC
 from choicelens.operators import latent as L
-from conftest import rows
+from conftest import SF001, rows
 
 
 def _holt(y, horizon, trend="add"):
@@ -156,3 +156,25 @@ def test_prepare_training_scales_on_train_split(spark):
     s = tr.agg(*[F.stddev_pop(f"s_{c}").alias(c) for c in L.FEATURES]).first()
     assert all(abs(m[c]) < 1e-9 and abs(s[c] - 1) < 1e-9 for c in L.FEATURES)
     assert 0.75 < tr.count() / 2000 < 0.85
+
+
+def test_queries_fit_by_the_whole_rule_and_encode_with_its_weights(spark, monkeypatch):
+    from choicelens.plans import q_model
+    fit, encode, seen = L.autoencoder_fit, L.mlp_encode, {}
+
+    def short(data, cols, **kw):
+        seen["rule"] = kw
+        seen["weights"], hist = fit(data, cols, **{**kw, "epochs": 2})
+        return seen["weights"], hist
+
+    def watch(df, params, stats, **kw):
+        seen["encoded"] = params
+        seen["co2"] = df.where("energy = 'MEDIUM'").agg(F.max(F.abs("co2"))).first()[0]
+        return encode(df, params, stats, **kw)
+
+    monkeypatch.setattr(L, "autoencoder_fit", short)
+    monkeypatch.setattr(L, "mlp_encode", watch)
+    assert len(q_model.q_autoencoder_fit(spark, SF001).collect()) == 2
+    assert seen["rule"] == {"split_col": "split"}          # epochs, rate and patience are the defaults
+    assert set(q_model.q_latent_mlp(spark, SF001).columns) >= {"year", "energy"}
+    assert seen["encoded"] is seen["weights"] and seen["co2"] == 0.0
