@@ -83,20 +83,21 @@ def knapsack(size: np.ndarray, value: np.ndarray, capacity: int) -> Counter:
 
 
 def configurations(hist: dict[int, int], capacity: int, step: float = 0.1, rate: float = 0.3,
-                   power: float = 1.1, rounds: int = 6000) -> list[tuple[dict[int, int], float]]:
+                   power: float = 1.1) -> list[tuple[dict[int, int], float]]:
     """Amounts of configurations that cover the histogram, by multiplicative weights.
 
     Lengths start priced by their size to the ``power`` (above 1, so that long ones
     go first and short ones are kept to fill up); covering a share s of a length's
     count multiplies its price by exp(-rate * s). A step covers at most the share
-    ``step`` of any length it holds, and never more than what is open.
+    ``step`` of any length it holds, and never more than what is open. Each step
+    covers that share of some length, which bounds the steps by the lengths.
     """
     size = np.array(sorted(hist), np.int64)
     need = np.array([hist[s] for s in size], float)
     done, price = np.zeros(len(size)), (size / capacity) ** power
     place = {int(s): i for i, s in enumerate(size)}
     found: dict = {}
-    for _ in range(rounds):
+    for _ in range(len(size) * (math.ceil(1 / step) + 1)):
         open_ = done < 1 - 1e-9
         if not open_.any():
             break
@@ -113,39 +114,65 @@ def configurations(hist: dict[int, int], capacity: int, step: float = 0.1, rate:
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> Counter:
-    """Best-fit decreasing; sequences as tuples of lengths, counted."""
-    room: dict[int, list] = {}
-    mask, full = 0, Counter()
+    """Best-fit decreasing; sequences as tuples of lengths, counted.
+
+    Equal sequences are kept as one entry with their number. A step places as
+    many copies of a length as there are sequences of the tightest room that
+    still takes it, and as many in each as fit, so the steps grow with the
+    number of lengths and rooms and not with the number of pieces.
+    """
+    room: dict[int, Counter] = {}
+    mask, out = 0, Counter()
+
+    def put(items, r, m):
+        nonlocal mask
+        if m and r:
+            room.setdefault(r, Counter())[items] += m
+            mask |= 1 << r
+        elif m:
+            out[items] += m
+
     for s in sorted(counts, reverse=True):
-        for _ in range(counts[s]):
+        n = counts[s]
+        while n:
             fit = mask >> s
-            if fit:
-                r = s + (fit & -fit).bit_length() - 1
-                items = room[r].pop()
-                if not room[r]:
-                    mask &= ~(1 << r)
-            else:
-                r, items = capacity, ()
-            items, r = (*items, s), r - s
-            if r == 0:
-                full[items] += 1
-            else:
-                room.setdefault(r, []).append(items)
-                mask |= 1 << r
+            if not fit:
+                # new sequences, filled with this length one after another
+                k = capacity // s
+                put((s,) * k, capacity - k * s, n // k)
+                if n % k:
+                    put((s,) * (n % k), capacity - n % k * s, 1)
+                break
+            r = s + (fit & -fit).bit_length() - 1
+            items, have = room[r].popitem()
+            if not room[r]:
+                del room[r]
+                mask &= ~(1 << r)
+            # the tightest room stays the tightest while it takes the length
+            k = r // s
+            m = min(have, n // k)
+            put(items + (s,) * k, r - k * s, m)
+            n -= m * k
+            if m < have and n:
+                put(items + (s,) * n, r - n * s, 1)
+                m, n = m + 1, 0
+            put(items, r, have - m)
     for rest in room.values():
-        full.update(rest)
-    return full
+        out.update(rest)
+    return out
 
 
 def plan(hist: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Whole numbers of configurations that hold each length exactly as often as it occurs."""
+    """Whole numbers of configurations that hold each length exactly as often as it occurs.
+
+    The amounts of all configurations are rounded down; at most one of each
+    configuration, and what rounding takes from its lengths, is left to best fit.
+    """
     left = {s: n for s, n in hist.items() if n > 0}
     out: Counter = Counter()
     if capacity in left:
         out[(capacity,)] = left.pop(capacity)
     for config, x in sorted(configurations(left, capacity), key=lambda r: -r[1]) if left else []:
-        if sum(s * a for s, a in config.items()) < capacity:
-            continue  # best fit may do better with these
         m = min([int(x + 1e-9), *(left.get(s, 0) // a for s, a in config.items())])
         if m:
             out[tuple(s for s, a in sorted(config.items(), reverse=True) for _ in range(a))] += m
@@ -159,7 +186,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, rows_per_part: int = 50_000) -
     """``pieces`` with ``sequence_id`` and ``offset``. Lengths lie in 1 .. capacity.
 
     The plan has a row for each length of each configuration; configurations are
-    bounded by the program's rounds and the best-fit rest, not by the data.
+    bounded by the number of lengths, and so is the best-fit rest.
     """
     hist = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     base, rows = 0, []  # (length, first rank, sequence, count in one sequence, offset)

@@ -201,6 +201,40 @@ def test_plan_is_complete_and_near_the_bound():
     assert pk.plan({}, 1024) == []
 
 
+def test_plan_of_a_dominant_length_does_not_grow_with_the_pieces(monkeypatch):
+    rng = np.random.default_rng(5)
+    base = Counter([60] * 300 + rng.integers(1, 65, 600).tolist() + [40] * 900)
+    fit, rest = pk.best_fit, []
+    monkeypatch.setattr(pk, "best_fit", lambda c, capacity: rest.append(sum(c.values())) or fit(c, capacity))
+    for times in (1, 1000):
+        hist = Counter({s: n * times for s, n in base.items()})
+        plan = pk.plan(hist, 64)
+        held = Counter()
+        for config, m in plan:
+            assert sum(s * a for s, a in config.items()) <= 64
+            for s, a in config.items():
+                held[s] += a * m
+        assert held == hist
+    assert rest[1] < 1000 and len(plan) < 1000
+
+
+def test_best_fit_by_counts_equals_piece_by_piece():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        counts = Counter(rng.choice(rng.integers(1, 65, 12), 200).tolist())
+        open_ = []
+        for s in sorted(counts.elements(), reverse=True):
+            at = min((k for k, r in enumerate(open_) if r >= s), key=lambda k: open_[k], default=None)
+            if at is None:
+                open_.append(64 - s)
+            else:
+                open_[at] -= s
+        got = pk.best_fit(counts, 64)
+        assert sorted(64 - sum(x) for x in got.elements()) == sorted(open_)
+        assert Counter(s for x in got.elements() for s in x) == counts
+    assert pk.best_fit({700: 10**9, 40: 10**9}, 1024).total() >= 10**9
+
+
 def brute_top(rows, k=5):
     ok = [(i, tuple(math.floor(256 * x) for x in v)) for i, v in rows
           if v is not None and i is not None and all(x is not None and math.isfinite(x) for x in v)]
