@@ -15,6 +15,9 @@ from choicelens.llm.op07_mixing import mix, positions
 from choicelens.llm.op08_packing import pack_documents
 from choicelens.llm.op09_topk import topk_inner_product
 from choicelens.llm.op10_substrings import remove_repeats
+from choicelens.llm.op11_divergence import source_divergence
+from choicelens.llm.op12_alignment import MEASURES, align_tokenizers
+from choicelens.llm.op13_lines import drop_repeated_lines
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -168,3 +171,76 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept_bytes")).alias("n_removed"),
         F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+@query("op11_source_divergence", r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+numbered AS (SELECT *, row_number() OVER () AS row FROM d),
+t AS (
+  SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM numbered),
+v AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+size AS (SELECT lang, count(*) AS v FROM v GROUP BY lang),
+n AS (SELECT lang, source, term, count(*) AS n FROM t JOIN v USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+total AS (
+  SELECT g.lang, g.source, CAST(coalesce(sum(n.n), 0) AS HUGEINT) AS total
+  FROM g LEFT JOIN n ON g.lang = n.lang AND g.source = n.source GROUP BY g.lang, g.source),
+rates AS (
+  SELECT total.lang, total.source, v.term, coalesce(n.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(n.n, 0) + 2)) // (total.total + 2 * size.v) AS p
+  FROM total JOIN v ON total.lang = v.lang JOIN size ON size.lang = total.lang
+  LEFT JOIN n ON n.lang = total.lang AND n.source = total.source AND n.term = v.term),
+n_lang AS (SELECT lang, term, sum(n) AS n FROM n GROUP BY lang, term),
+q_lang AS (
+  SELECT n_lang.lang, n_lang.term, 1 + (1000000000::HUGEINT * (n_lang.n + 2)) // (s.total + 2 * size.v) AS q
+  FROM n_lang JOIN size ON n_lang.lang = size.lang
+  JOIN (SELECT lang, CAST(sum(n) AS HUGEINT) AS total FROM n GROUP BY lang) s ON s.lang = n_lang.lang),
+term AS (
+  SELECT r.lang, r.source, 'term' AS part, r.term AS item, CAST(((r.p - q.q) * (r.p - q.q)) // (r.p + q.q) AS BIGINT) AS value
+  FROM rates r JOIN q_lang q ON r.lang = q.lang AND r.term = q.term WHERE r.n > 0 AND r.p > q.q),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM rates a JOIN rates b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every pair of sources of a language, and each group's ten most typical terms."""
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+@query("op12_tokenizer_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of two public tokenizers in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = align_tokenizers(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+    return found.select("doc_id", *MEASURES, "groups_sha256")
+
+
+@query("op13_line_filters", r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i
+  FROM documents),
+k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, min(doc_id) AS first FROM k WHERE len(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+m AS (SELECT k.*, r.first IS NOT NULL AND k.doc_id > r.first AS gone FROM k LEFT JOIN r ON k.key = r.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that an earlier one has."""
+    found = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))

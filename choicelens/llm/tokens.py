@@ -4,8 +4,9 @@ The tokenizers library encodes chunks: white space and the word after it, its
 closing symbols apart. A chunk starts where the library's own splitting always
 starts a new piece, so the ids of a text are those of its chunks, laid end to
 end; a worker keeps the ids of the chunks it has met, up to a bounded number.
-Texts with rare white space that the library treats in another way are encoded
-in one go.
+Texts with rare white space that the library treats in another way, with the
+one letter that grows when lowered, or with a special token's string are
+encoded in one go.
 """
 
 from __future__ import annotations
@@ -38,14 +39,19 @@ class _Numbers(dict):
 
 
 class ChunkEncoder:
-    """Encodes texts; ``drops_space`` if the tokenizer discards white space."""
+    """Encodes texts; ``drops_space`` if the tokenizer discards white space.
 
-    def __init__(self, path: str, drops_space: bool, keep: int = 600_000):
+    A special token's string in a text gives its id, as by the library, or with
+    ``plain_specials`` is ordinary text.
+    """
+
+    def __init__(self, path: str, drops_space: bool, plain_specials: bool = False, keep: int = 250_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_specials
         self.find = (_DROPPED if drops_space else _KEPT).findall
-        self.whole = None if drops_space else _RARE.search
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join(["İ" if drops_space else _RARE.pattern, *added]), re.IGNORECASE).search
         self.keep = keep
         self._reset()
 
@@ -80,7 +86,7 @@ class ChunkEncoder:
         n = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             if text:
-                found = [text] if self.whole and self.whole(text) else self.find(text)
+                found = [text] if self.whole(text) else self.find(text)
                 chunks += found
                 n[i] = len(found)
         at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
@@ -109,8 +115,9 @@ def text_groups(texts: list[str | None], limit: int = 1 << 20):
 _ENCODERS: dict = {}
 
 
-def encoder(path: str, drops_space: bool) -> ChunkEncoder:
+def encoder(path: str, drops_space: bool, plain_specials: bool = False) -> ChunkEncoder:
     """The worker process's encoder for a file."""
-    if (path, drops_space) not in _ENCODERS:
-        _ENCODERS[path, drops_space] = ChunkEncoder(path, drops_space)
-    return _ENCODERS[path, drops_space]
+    key = path, drops_space, plain_specials
+    if key not in _ENCODERS:
+        _ENCODERS[key] = ChunkEncoder(*key)
+    return _ENCODERS[key]

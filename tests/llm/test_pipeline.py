@@ -12,7 +12,7 @@ from edge import edge_docs, empty_docs
 
 def test_registry():
     names = E.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(re.match(rf"op{n}_", q) is not None for q in names) == 1
     assert "pipeline" in names and len(P.STAGES) == 5
 
