@@ -1,6 +1,7 @@
 """Token files, shards, mixing, packing and top-k search."""
 
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -17,10 +18,11 @@ from choicelens.llm.queries import tokenizer_file
 from edge import edge_docs, empty_docs, texts
 
 
-def library(name):
+def library(name, plain=False):
+    """The library as it comes; ``plain``: special tokens' strings are ordinary text."""
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(tokenizer_file(name))
-    t.encode_special_tokens = True
+    t.encode_special_tokens = plain
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
@@ -28,11 +30,27 @@ TRICKY = ["a\n\n b  c  d\t\te \n", "  x", "don't 'LL x\x1cy", "\n\n\n", "É é
           "a  b  c", "日本語\r\n\r\nx", "​ x ­", "#$%&*** x*** ||"]
 
 
-@pytest.mark.parametrize("name,drops", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
-def test_chunks_encode_as_whole_texts(name, drops):
+FILES = [("byte_bpe_50k.json", False, False), ("byte_bpe_50k.json", False, True), ("word_bpe_49k.json", True, False)]
+
+
+@pytest.mark.parametrize("name,drops,plain", FILES)
+def test_random_strings_encode_as_by_the_library(name, drops, plain):
+    from choicelens.llm.tokens import ChunkEncoder
+    r = random.Random(3)
+    signs = [*"aAbéÉßİıſKΣσçŒ0192²½ \n\t-%')(.,'!_*#<|>\r\x0b\xa0\u2028\u200b\u0301\u0307漢字한글🙂ﬁ", "<|endoftext|>", "<|startoftext|>", "'s", "'LL", "  "]
+    some = ["".join(r.choice(signs) for _ in range(r.randrange(1, 14))) for _ in range(20_000)]
+    want, enc = library(name, plain), ChunkEncoder(tokenizer_file(name), drops, plain)
+    ids, n = enc.encode(some)
+    at = np.concatenate([[0], np.cumsum(n)])
+    bad = [t for k, t in enumerate(some) if ids[at[k]:at[k + 1]].tolist() != want(t)]
+    assert bad == []
+
+
+@pytest.mark.parametrize("name,drops,plain", FILES)
+def test_chunks_encode_as_whole_texts(name, drops, plain):
     from choicelens.llm.tokens import ChunkEncoder
-    want = library(name)
-    enc = ChunkEncoder(tokenizer_file(name), drops, keep=50)
+    want = library(name, plain)
+    enc = ChunkEncoder(tokenizer_file(name), drops, plain, keep=50)
     for group in (TRICKY, [t for _, t in texts()], TRICKY):
         ids, n = enc.encode(group)
         at = np.concatenate([[0], np.cumsum(n)])
