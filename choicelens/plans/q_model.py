@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from choicelens.functions.constants import FEATURES
@@ -15,7 +14,7 @@ from choicelens.operators import sampling as SM
 from choicelens.operators.cleaning import structural_zeros
 from choicelens.operators.filters import drop_null_rows, region_filter
 from choicelens.operators.reshape import pivot_wide
-from choicelens.plans.bindings import sales_by_part, sales_lines
+from choicelens.plans.bindings import _source_signature, sales_by_part, sales_lines
 from choicelens.plans.registry import register, with_sales
 from choicelens.sources.readers import read_table
 
@@ -75,19 +74,22 @@ def _zeroed(df):
     return structural_zeros(df, electric=["MEDIUM"], combustion=["ECONOMY", "LARGE"])
 
 
+_FITS: dict = {}
+
+
 def _fitted(spark, d):
-    """(weights of the full fit, loss curve, scaler of the training part) of the zeroed features."""
+    """(weights of the full fit, loss curve, scaler of the training part) of the zeroed features.
+
+    The fit is kept for the application (some thousand numbers), so the queries
+    that need it train once for the same input files.
+    """
+    key = spark.sparkContext.applicationId, _source_signature(spark, d, ["lineitem", "orders", "part"])
     s, st = L.prepare_training(sales_lines(spark, d), FEATURES, zeroing=_zeroed,
                                key_cols=("line_order", "line_number", "variant"))
-    scols = [f"s_{c}" for c in FEATURES]
-    # every epoch scans this frame: spread it over all cores, then keep it
-    s = s.select("split", *scols).repartition(spark.sparkContext.defaultParallelism)
-    s = s.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        params, hist = L.autoencoder_fit(s, scols, split_col="split")
-    finally:
-        s.unpersist()
-    return params, hist, st
+    if key not in _FITS:
+        _FITS[key] = L.autoencoder_fit(s.select("split", *[f"s_{c}" for c in FEATURES]),
+                                       [f"s_{c}" for c in FEATURES], split_col="split")
+    return *_FITS[key], st
 
 
 @register("latent_mlp")

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -108,6 +110,51 @@ def test_fit_stops_early_and_keeps_the_best(spark, tmp_dir):
     assert np.array_equal(L.flatten(params), L.flatten(a)) and stats.first() == st.first()
 
 
+def test_fit_is_the_same_for_any_tasks_and_for_repeated_rows(spark):
+    """Against a plain loop over all rows: one and four tasks, jobs of few epochs, rows repeated."""
+    df = _feature_frame(spark, 90, seed=11)
+    cols = [f"s_{c}" for c in L.FEATURES]
+    x = L.scale(df, L.scaler_stats(df)).withColumn("split", F.when(F.col("id") % 5 == 0, "val").otherwise("train"))
+    x = x.select("id", "split", *cols)
+    many = x.unionByName(x.where("id < 30")).unionByName(x.where("id < 30"))
+    rows = many.collect()
+    data = np.array([[r[c] for c in cols] for r in rows])
+    train = np.array([r["split"] == "train" for r in rows])
+    state = L.FitState(L.flatten(L.init_params(42)), 1e-2)
+    rule = dict(weight_decay=1e-4, plateau_factor=0.5, plateau_patience=3, stop_patience=10, min_delta=1e-3)
+    while not state.done:
+        params = L.unflatten(state.vec)
+        loss, grads = L.loss_and_grad(params, data[train])
+        err = L._forward(params, data[~train])[0][-1] - data[~train]
+        state.step(np.concatenate([[loss, train.sum(), np.sum(err * err), (~train).sum()], L.flatten(grads)]), 5, 30, rule)
+    for tasks, span in ((1, 50), (4, 7)):
+        got, hist = L.autoencoder_fit(many, cols, epochs=30, lr=1e-2, split_col="split", tasks=tasks, epochs_per_job=span)
+        assert len(hist) == len(state.history) == 30
+        assert np.allclose(L.flatten(got), state.best_vec, rtol=0, atol=1e-9)
+        assert np.allclose(hist, state.history, rtol=0, atol=1e-9)
+
+
+def test_fit_resumes_from_its_last_state(spark, tmp_dir):
+    df = _feature_frame(spark, 60, seed=12)
+    x = L.scale(df, L.scaler_stats(df)).select(*[f"s_{c}" for c in L.FEATURES])
+    whole, hist = L.autoencoder_fit(x, x.columns, epochs=12, lr=1e-2, tasks=2, epochs_per_job=5)
+    path = f"{tmp_dir}/states"
+    L.autoencoder_fit(x, x.columns, epochs=12, lr=1e-2, tasks=2, epochs_per_job=5, state_path=path)
+    states = sorted(int(p.split("=")[1]) for p in os.listdir(path) if p.startswith("epoch="))
+    assert states == [6, 11, 13]
+    # what a driver that died in the last job leaves behind
+    early = spark.read.parquet(f"{path}/epoch=6")
+    early.write.parquet(f"{tmp_dir}/left/epoch=6")
+    got, curve = L.autoencoder_fit(x, x.columns, epochs=12, lr=1e-2, tasks=2, epochs_per_job=5, state_path=f"{tmp_dir}/left")
+    assert np.array_equal(L.flatten(got), L.flatten(whole)) and curve == hist
+
+
+def test_fit_without_training_rows(spark):
+    df = _feature_frame(spark, 10).where("id < 0").select(*L.FEATURES)
+    params, hist = L.autoencoder_fit(df, L.FEATURES, tasks=2)
+    assert hist == [] and np.array_equal(L.flatten(params), L.flatten(L.init_params(42)))
+
+
 def _feature_frame(spark, n=300, seed=2):
     rng = np.random.default_rng(seed)
     rows = [(i, *[float(v) for v in rng.normal(size=5) * [100, 10, 500, 20, 30]])
@@ -172,6 +219,7 @@ def test_queries_fit_by_the_whole_rule_and_encode_with_its_weights(spark, monkey
         seen["co2"] = df.where("energy = 'MEDIUM'").agg(F.max(F.abs("co2"))).first()[0]
         return encode(df, params, stats, **kw)
 
+    monkeypatch.setattr(q_model, "_FITS", {})
     monkeypatch.setattr(L, "autoencoder_fit", short)
     monkeypatch.setattr(L, "mlp_encode", watch)
     assert len(q_model.q_autoencoder_fit(spark, SF001).collect()) == 2
