@@ -7,6 +7,7 @@ pass runs over the data (inference reads the whole input once more).
 from __future__ import annotations
 
 import csv
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -63,10 +64,7 @@ def read_csv_title_line(spark: SparkSession, path: str, n_title_lines: int = 1)
              .select("_file", F.col("value").alias("_header"), F.struct("_block", "_row_idx").alias("_at")))
     out = None
     for (header,) in heads.select("_header").distinct().orderBy("_header").collect():
-        names = []
-        for i, cell in enumerate(next(csv.reader([header]))):
-            name = cell.strip() or f"_c{i}"
-            names.append(name if name not in names else f"{name}_{i}")
+        names = _csv_names(header)
         body = (lines.join(heads.where(F.col("_header") == header), "_file")
                 .where((F.struct("_block", "_row_idx") > F.col("_at")) & (F.trim("value") != ""))
                 .select(F.from_csv("value", _csv_schema(names)).alias("r"), "_file", "_row_idx")
@@ -77,26 +75,76 @@ def read_csv_title_line(spark: SparkSession, path: str, n_title_lines: int = 1)
     return out.select(*[c for c in out.columns if c not in ("_file", "_row_idx")], "_file", "_row_idx")
 
 
+def _csv_names(header: str) -> list[str]:
+    """Column names of a header line: blank ones by place, repeated ones with it."""
+    names: list[str] = []
+    for i, cell in enumerate(next(csv.reader([header.lstrip("\ufeff")]), [])):
+        name = cell.strip() or f"_c{i}"
+        names.append(name if name not in names else f"{name}_{i}")
+    return names
+
+
 def _csv_schema(names: list[str]) -> str:
     return ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
 
 
 def read_csv_glob(spark: SparkSession, directory: str, pattern: str = "*.csv",
                   exclude_prefix: str | None = None) -> DataFrame:
-    """All CSVs of a folder in one scan (O-S9), tagged with their file name.
-
-    Files starting with ``exclude_prefix`` are filtered on file metadata, so
-    they are never parsed. Bad records land in ``_corrupt_record`` instead of
-    failing the job (per-file error isolation without a driver loop).
+    """All CSVs of a folder, each by its own header (O-S9), all columns strings.
+
+    Files are grouped by their header line (one row a file reaches the driver);
+    each group is one scan with that header's schema, and the groups are united
+    by name (missing columns: null). A record with too few or too many fields
+    keeps what could be read and stands whole in ``_corrupt_record``; it never
+    fails the job. ``_file_name`` tells the file. Files whose name starts with
+    ``exclude_prefix`` are left out on file metadata; files without any line
+    give no rows (``csv_file_report`` names them).
     """
-    df = (spark.read.option("header", True).option("pathGlobFilter", pattern)
-          .option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record")
-          .csv(directory)
-          .withColumn("_file_name", F.col("_metadata.file_name")))
+    out = None
+    for header, paths in sorted(_files_by_header(spark, directory, pattern, exclude_prefix).items()):
+        schema = _csv_schema([*_csv_names(header), "_corrupt_record"])
+        body = (spark.read.schema(schema).option("header", True).option("pathGlobFilter", pattern)
+                .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").csv(directory)
+                .where(F.col("_metadata.file_path").isin(paths))
+                .withColumn("_file_name", F.col("_metadata.file_name")))
+        out = body if out is None else out.unionByName(body, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"{directory}: no file with a header matches {pattern}")
+    tags = ["_corrupt_record", "_file_name"]
+    return out.select(*[f"`{c.replace('`', '``')}`" for c in out.columns if c not in tags], *tags)
+
+
+def _files_by_header(spark, directory, pattern, exclude_prefix) -> dict[str, list[str]]:
+    lines = spark.read.option("pathGlobFilter", pattern).text(directory).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
     if exclude_prefix:
-        df = df.where(~F.col("_file_name").startswith(exclude_prefix))
-    return df
+        lines = lines.where(~F.col("name").startswith(exclude_prefix))
+    found: dict[str, list[str]] = {}
+    for r in lines.groupBy("path").agg(F.min_by("value", "at").alias("header")).collect():
+        found.setdefault(r["header"], []).append(r["path"])
+    return found
+
+
+def csv_file_report(spark: SparkSession, directory: str, pattern: str = "*.csv",
+                    exclude_prefix: str | None = None) -> DataFrame:
+    """One row a file: records read, those without a value, those that did not fit, ``error`` (null: the file is sound)."""
+    # the listing has files without any byte, which no scan returns
+    found = spark.read.option("pathGlobFilter", pattern).text(directory).inputFiles()
+    names = sorted(unquote(p.rsplit("/", 1)[-1]) for p in found)
+    names = [(n,) for n in names if not (exclude_prefix and n.startswith(exclude_prefix))]
+    files = spark.createDataFrame(names, "_file_name string")
+    rows = read_csv_glob(spark, directory, pattern, exclude_prefix)
+    fields = [F.col(f"`{c.replace('`', '``')}`") for c in rows.columns[:-2]]
+    read = rows.groupBy("_file_name").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("_corrupt_record").alias("n_corrupt"),
+        F.count(F.coalesce(*fields, F.lit(None))).alias("n_filled"))
+    none = F.coalesce("n_rows", F.lit(0))
+    bad = F.coalesce("n_corrupt", F.lit(0))
+    return files.join(read, "_file_name", "left").select(
+        F.col("_file_name").alias("file_name"), none.alias("n_rows"), (none - F.coalesce("n_filled", F.lit(0))).alias("n_blank"), bad.alias("n_corrupt"),
+        F.when(none == 0, F.lit("no records"))
+        .when(bad > 0, F.lit("records that do not fit the header")).alias("error"))
 
 
 def cached_table(spark: SparkSession, path: str, view: str | None = None) -> DataFrame:

@@ -68,6 +68,36 @@ def test_title_line_and_glob(spark, tmp_dir):
     assert sorted(r[0] for r in g.select("_file_name").distinct().collect()) == ["a.csv", "b.csv"]
 
 
+def _write(folder, files):
+    os.makedirs(folder)
+    for name, text in files.items():
+        with open(os.path.join(folder, name), "w") as f:
+            f.write(text)
+    return folder
+
+
+def test_glob_reads_each_file_by_its_own_header(spark, tmp_dir):
+    d = _write(os.path.join(tmp_dir, "own heads %41"), {
+        "one.csv": "a,b,c\n1,2,3\n", "two.csv": "b,a,c\n20,10,30\n", "three.csv": 'a,d\n"x, y",z\n'})
+    got = readers.read_csv_glob(spark, d)
+    assert got.columns == ["a", "b", "c", "d", "_corrupt_record", "_file_name"]
+    assert {tuple(r) for r in got.collect()} == {
+        ("1", "2", "3", None, None, "one.csv"), ("10", "20", "30", None, None, "two.csv"),
+        ("x, y", None, None, "z", None, "three.csv")}
+
+
+def test_glob_keeps_records_that_do_not_fit(spark, tmp_dir):
+    d = _write(os.path.join(tmp_dir, "bad"), {
+        "good.csv": "a,b\n1,2\n", "long.csv": "a,b\n1,2,3\n4,5\n", "short.csv": "a,b\n7\n", "empty.csv": "", "head.csv": "a,b\n"})
+    got = {(r["_file_name"], r["a"], r["b"], r["_corrupt_record"]) for r in readers.read_csv_glob(spark, d).collect()}
+    assert got == {("good.csv", "1", "2", None), ("long.csv", "1", "2", "1,2,3"), ("long.csv", "4", "5", None),
+                   ("short.csv", "7", None, "7")}
+    report = {r["file_name"]: (r["n_rows"], r["n_corrupt"], r["error"]) for r in readers.csv_file_report(spark, d).collect()}
+    assert report == {"good.csv": (1, 0, None), "long.csv": (2, 1, "records that do not fit the header"),
+                      "short.csv": (1, 1, "records that do not fit the header"), "empty.csv": (0, 0, "no records"),
+                      "head.csv": (0, 0, "no records")}
+
+
 def test_parquet_sink_partitioned(spark, tmp_dir):
     o = readers.read_table(spark, SF001, "orders", ["o_orderkey", "o_orderdate"]).withColumn(
         "year", F.year("o_orderdate"))
