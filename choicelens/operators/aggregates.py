@@ -118,22 +118,27 @@ def numeric_summary(df: DataFrame, cols, digits: int | None = 6, approx: bool =
 
     One aggregate for all columns. By default the median is a bounded-memory
     sketch (``percentile_approx``). ``approx=False`` gives the exact,
-    interpolated median, which keeps a value→count map per column — use it
-    for low-cardinality columns only (memory grows with distinct values and
-    the maps merge in one task).
+    interpolated median by radix selection (``selection.exact_quantiles``): four
+    passes of bounded bin counts, for columns of any number of values.
     """
+    from choicelens.operators.selection import exact_quantiles
+
     def r(c):
         return F.round(c, digits) if digits is not None else c
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        med = F.percentile_approx(x, 0.5, 10000) if approx else F.median(x)
+        med = F.percentile_approx(x, 0.5, 10000) if approx else F.lit(None).cast("double")
         aggs.append(F.struct(
             F.lit(c).alias("column_name"), F.count(x).alias("count"), r(F.avg(x)).alias("mean"),
             r(F.stddev_samp(x)).alias("stddev"), F.min(x).alias("min"),
             r(med).alias("median"), F.max(x).alias("max")).alias(c))
     wide = df.agg(*aggs)
-    return wide.select(F.explode(F.array(*[F.col(c) for c in cols])).alias("s")).select("s.*")
+    out = wide.select(F.explode(F.array(*[F.col(c) for c in cols])).alias("s")).select("s.*")
+    if approx:
+        return out
+    exact = exact_quantiles(df, cols, [0.5]).select("column_name", r(F.col("value")).alias("median"))
+    return out.drop("median").join(exact, "column_name", "left").select(*out.columns)
 
 
 def correlation_matrix(df: DataFrame, cols, digits: int | None = 6) -> DataFrame:

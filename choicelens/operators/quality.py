@@ -6,6 +6,8 @@ reshape to long form; no per-column jobs and no driver loops.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,6 +74,23 @@ def column_overview(df: DataFrame) -> DataFrame:
                         for i, c in enumerate(cols)])
 
 
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def _exact_quartiles(df: DataFrame, num, digits: int, keys) -> DataFrame:
+    """The p25, p50 and p75 rows of a profile (null where a column has no value)."""
+    from choicelens.operators.selection import exact_quantiles
+    q = exact_quantiles(df, num, QUARTILES, keys)
+    cells = [F.struct(F.lit(c).alias("column_name"), F.lit(p).alias("prob")) for c in num for p in QUARTILES]
+    every = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+    every = every.select(*keys, F.explode(F.array(*cells)).alias("c")).select(*keys, "c.column_name", "c.prob")
+    on = reduce(lambda a, b: a & b, (F.col(f"e.{k}").eqNullSafe(F.col(f"q.{k}")) for k in [*keys, "column_name", "prob"]))
+    return every.alias("e").join(q.alias("q"), on, "left").select(
+        *[F.col(f"e.{k}") for k in keys], F.col("e.column_name"),
+        F.concat(F.lit("p"), (F.col("e.prob") * 100).cast("int").cast("string")).alias("metric"),
+        F.round("q.value", digits).alias("value"), F.lit(None).cast("string").alias("text"))
+
+
 def profile(df: DataFrame, top_n: int = 3, digits: int = 6, quantiles: str | None = "approx",
             accuracy: int = 10000, approx_distinct: bool = False) -> DataFrame:
     """Column profile as a long table (column_name, metric, value, text) (O-M8).
@@ -79,9 +98,8 @@ def profile(df: DataFrame, top_n: int = 3, digits: int = 6, quantiles: str | Non
     Metrics: count, nulls, distinct; numeric columns add min, max, mean,
     std and, unless ``quantiles`` is None, p25/p50/p75. ``"approx"`` uses a
     bounded-memory sketch (``percentile_approx``, relative rank error
-    1/accuracy) — the right choice for large, high-cardinality columns;
-    ``"exact"`` keeps a value→count map per column (memory grows with the
-    distinct values, merged in one task). String columns add the ``top_n``
+    1/accuracy); ``"exact"`` selects the values digit by digit
+    (``selection.exact_quantiles``: four more passes, bounded memory). String columns add the ``top_n``
     most frequent values ("top1".., ``text`` = value, ``value`` = count,
     ties by value). Two jobs: one aggregate for all scalar metrics, one
     grouped count for the top values. Exact distinct counts of N columns
@@ -101,11 +119,8 @@ def profile(df: DataFrame, top_n: int = 3, digits: int = 6, quantiles: str | Non
             xd = x.cast("double")
             m += [("min", F.min(xd)), ("max", F.max(xd)), ("mean", F.round(F.avg(xd), digits)),
                   ("std", F.round(F.stddev_samp(xd), digits))]
-            if quantiles:
-                ps = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-                q = (F.percentile_approx(xd, ps, accuracy) if quantiles == "approx"
-                     else F.percentile(xd, ps))
-                m.append(("_q", q))
+            if quantiles == "approx":
+                m.append(("_q", F.percentile_approx(xd, F.array(*map(F.lit, QUARTILES)), accuracy)))
         for name, e in m:
             if name == "_q":
                 alias = f"{c}|_q"
@@ -126,6 +141,8 @@ def profile(df: DataFrame, top_n: int = 3, digits: int = 6, quantiles: str | Non
                                  val(a).alias("value"),
                                  F.lit(None).cast("string").alias("text"))
                         for c, n, a in metrics])
+    if quantiles == "exact" and num:
+        scal = scal.unionByName(_exact_quartiles(df, num, digits, ()))
     if top_n <= 0 or not strs:
         return scal
     pairs = df.select(F.explode(F.array(*[
@@ -142,20 +159,21 @@ def profile(df: DataFrame, top_n: int = 3, digits: int = 6, quantiles: str | Non
 
 
 def profile_by(df: DataFrame, group_col: str, top_n: int = 3, digits: int = 6,
-               accuracy: int = 10000, approx_distinct: bool = True) -> DataFrame:
+               accuracy: int = 10000, approx_distinct: bool = True, quantiles: str = "approx") -> DataFrame:
     """``profile`` for every group at once, e.g. every file of a folder (O-M8 + O-S9).
 
     One grouped aggregate computes all scalar metrics of all groups (sketch
     quantiles and, by default, sketch distinct counts keep the state per
     group bounded), one grouped count gives the top values — no driver loop
-    over groups. Output: (group, column_name, metric, value, text).
+    over groups; ``quantiles="exact"`` adds four passes of bin counts instead
+    of the sketches. Output: (group, column_name, metric, value, text).
     """
     cols = [c for c in df.columns if c != group_col]
     fields = {f.name: f.dataType for f in df.schema.fields}
     num = [c for c in cols if isinstance(fields[c], T.NumericType)]
     strs = [c for c in cols if isinstance(fields[c], T.StringType)]
     aggs, metrics = [], []
-    ps = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    ps = F.array(*map(F.lit, QUARTILES))
     for c in cols:
         x = F.col(f"`{c}`")
         m = [("count", F.count(x)), ("nulls", F.count_if(x.isNull())),
@@ -168,7 +186,7 @@ def profile_by(df: DataFrame, group_col: str, top_n: int = 3, digits: int = 6,
         for name, e in m:
             aggs.append(e.cast("double").alias(f"{c}|{name}"))
             metrics.append((c, name, f"{c}|{name}", None))
-        if c in num:
+        if c in num and quantiles == "approx":
             aggs.append(F.percentile_approx(x.cast("double"), ps, accuracy).alias(f"{c}|_q"))
             for i, pn in enumerate(["p25", "p50", "p75"]):
                 metrics.append((c, pn, f"{c}|_q", i))
@@ -181,6 +199,8 @@ def profile_by(df: DataFrame, group_col: str, top_n: int = 3, digits: int = 6,
         F.struct(F.lit(c).alias("column_name"), F.lit(n).alias("metric"),
                  val(a, i).alias("value"), F.lit(None).cast("string").alias("text"))
         for c, n, a, i in metrics])).alias("s")).select(group_col, "s.*")
+    if quantiles == "exact" and num:
+        scal = scal.unionByName(_exact_quartiles(df, num, digits, [group_col]))
     if top_n <= 0 or not strs:
         return scal
     pairs = df.select(group_col, F.explode(F.array(*[

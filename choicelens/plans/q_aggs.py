@@ -111,24 +111,30 @@ def q_min_max(spark, d):
     return A.min_max(o, "o_totalprice", keys=["o_orderstatus"])
 
 
-def _summary_sql(cols):
+def _summary_sql(cols, table="lineitem"):
     parts = []
     for c in cols:
         x = f"CAST({c} AS DOUBLE)"
         parts.append(f"""SELECT '{c}' AS column_name, count({x}) AS count,
   round(avg({x}), 6) AS mean, round(stddev_samp({x}), 6) AS stddev, min({x}) AS min,
-  round(median({x}), 6) AS median, max({x}) AS max FROM lineitem""")
+  round(median({x}), 6) AS median, max({x}) AS max FROM {table}""")
     return "\nUNION ALL\n".join(parts)
 
 
-SUMMARY_COLS = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+SUMMARY_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+MEASURES = ["mass", "co2", "capacity", "power", "consumption"]
 
 
 @register("numeric_summary", _summary_sql(SUMMARY_COLS))
 def q_numeric_summary(spark, d):
-    # these columns have at most 50 distinct values: the exact median is bounded
-    return A.numeric_summary(read_table(spark, d, "lineitem", SUMMARY_COLS), SUMMARY_COLS,
-                             approx=False)
+    """Summary with exact medians of all numeric columns of lineitem."""
+    return A.numeric_summary(read_table(spark, d, "lineitem", SUMMARY_COLS), SUMMARY_COLS, approx=False)
+
+
+@register("numeric_summary_measures", with_sales(_summary_sql(MEASURES, "sales")))
+def q_numeric_summary_measures(spark, d):
+    """Summary with exact medians of the fact's measures (one of them has nulls)."""
+    return A.numeric_summary(sales_lines(spark, d).select(*MEASURES), MEASURES, approx=False)
 
 
 CORR_COLS = ["registrations", "mass", "co2", "capacity", "power", "consumption", "year"]

@@ -169,34 +169,25 @@ def q_membership_filter(spark, d):
                       ["c_mktsegment"], "n")
 
 
-@register("constant_columns", """
-WITH r AS (SELECT * FROM lineitem)
-SELECT * FROM (VALUES
- ('l_orderkey', (SELECT count(l_orderkey) FROM r), (SELECT coalesce(min(l_orderkey) = max(l_orderkey), true) FROM r)),
- ('l_returnflag', (SELECT count(l_returnflag) FROM r), (SELECT coalesce(min(l_returnflag) = max(l_returnflag), true) FROM r)),
- ('l_linestatus', (SELECT count(l_linestatus) FROM r), (SELECT coalesce(min(l_linestatus) = max(l_linestatus), true) FROM r)),
- ('l_tax', (SELECT count(l_tax) FROM r), (SELECT coalesce(min(l_tax) = max(l_tax), true) FROM r))
-) t(column_name, non_null, is_constant)
-""")
+LINE_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+             "l_returnflag", "l_linestatus", "l_shipdate"]
+ORDER_TYPES = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double",
+               "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}
+
+
+@register("constant_columns", "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, count({c}) AS non_null, coalesce(min({c}) = max({c}), true) AS is_constant FROM lineitem"
+    for c in LINE_COLS))
 def q_constant_columns(spark, d):
-    li = read_table(spark, d, "lineitem")
-    return P.constant_columns(li, ["l_orderkey", "l_returnflag", "l_linestatus", "l_tax"])
-
-
-@register("column_overview", """
-SELECT * FROM (VALUES
- (0, 'o_orderkey', 'bigint', (SELECT count(o_orderkey) FROM orders)),
- (1, 'o_custkey', 'bigint', (SELECT count(o_custkey) FROM orders)),
- (2, 'o_orderstatus', 'string', (SELECT count(o_orderstatus) FROM orders)),
- (3, 'o_totalprice', 'double', (SELECT count(o_totalprice) FROM orders)),
- (4, 'o_orderpriority', 'string', (SELECT count(o_orderpriority) FROM orders))
-) t(position, column_name, data_type, non_null)
-""")
+    return P.constant_columns(read_table(spark, d, "lineitem"), LINE_COLS)
+
+
+@register("column_overview", "\nUNION ALL\n".join(
+    f"SELECT {i} AS position, '{c}' AS column_name, '{t}' AS data_type, count({c}) AS non_null FROM orders"
+    for i, (c, t) in enumerate(ORDER_TYPES.items())))
 def q_column_overview(spark, d):
     from choicelens.operators.quality import column_overview
-    o = read_table(spark, d, "orders", ["o_orderkey", "o_custkey", "o_orderstatus",
-                                        "o_totalprice", "o_orderpriority"])
-    return column_overview(o)
+    return column_overview(read_table(spark, d, "orders", list(ORDER_TYPES)))
 
 
 @register("drop_null_rows", with_sales("""

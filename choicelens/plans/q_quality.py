@@ -73,29 +73,34 @@ def q_flag_counts(spark, d):
     return Q.flag_counts(o, ["year"], "flag")
 
 
-PROFILE_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+PROFILE_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 PROFILE_NUM = ["o_orderkey", "o_custkey", "o_totalprice"]
 PROFILE_STR = ["o_orderstatus", "o_orderpriority"]
 
 
-def _profile_sql():
+def _profile_sql(cols=PROFILE_COLS, top=3, quartiles=False, group=None):
+    """The long profile of orders in DuckDB, of the whole table or of each ``group``."""
+    key, by = (f"{group}, ", f" GROUP BY {group}") if group else ("", "")
     parts = []
-    for c in PROFILE_COLS:
+    for c in cols:
         ms = [("count", f"count({c})"), ("nulls", f"count(*) FILTER (WHERE {c} IS NULL)"),
               ("distinct", f"count(DISTINCT {c})")]
         if c in PROFILE_NUM:
             x = f"CAST({c} AS DOUBLE)"
             ms += [("min", f"min({x})"), ("max", f"max({x})"), ("mean", f"round(avg({x}), 6)"),
                    ("std", f"round(stddev_samp({x}), 6)")]
+            if quartiles:
+                ms += [(f"p{p}", f"round(quantile_cont({x}, {p / 100}), 6)") for p in (25, 50, 75)]
         for name, e in ms:
-            parts.append(f"SELECT '{c}' AS column_name, '{name}' AS metric, "
+            parts.append(f"SELECT {key}'{c}' AS column_name, '{name}' AS metric, "
                          f"CAST({e} AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS text "
-                         f"FROM orders")
-    for c in PROFILE_STR:
-        parts.append(f"""SELECT column_name, 'top' || CAST(rn AS VARCHAR), CAST(n AS DOUBLE), v
-FROM (SELECT '{c}' AS column_name, {c} AS v, count(*) AS n,
-             row_number() OVER (ORDER BY count(*) DESC, {c}) AS rn
-      FROM orders WHERE {c} IS NOT NULL GROUP BY {c}) t WHERE rn <= 3""")
+                         f"FROM orders{by}")
+    for c in [c for c in cols if c in PROFILE_STR]:
+        part = f"PARTITION BY {group} " if group else ""
+        parts.append(f"""SELECT {key}column_name, 'top' || CAST(rn AS VARCHAR), CAST(n AS DOUBLE), v
+FROM (SELECT {key}'{c}' AS column_name, {c} AS v, count(*) AS n,
+             row_number() OVER ({part}ORDER BY count(*) DESC, {c}) AS rn
+      FROM orders WHERE {c} IS NOT NULL GROUP BY {key}{c}) t WHERE rn <= {top}""")
     return "\nUNION ALL\n".join(parts)
 
 
@@ -104,11 +109,17 @@ def q_profile(spark, d):
     return Q.profile(read_table(spark, d, "orders", PROFILE_COLS), top_n=3, quantiles=None)
 
 
-@register("profile_quantiles")
+@register("profile_quantiles", _profile_sql(quartiles=True))
 def q_profile_quantiles(spark, d):
-    """Full profile with sketch quantiles (rows-only: sketches differ by engine)."""
-    return Q.profile(read_table(spark, d, "orders", PROFILE_COLS), top_n=3, quantiles="approx",
-                     approx_distinct=True)
+    """Full profile of all columns with exact quartiles."""
+    return Q.profile(read_table(spark, d, "orders", PROFILE_COLS), top_n=3, quantiles="exact")
+
+
+@register("profile_by_group", _profile_sql([c for c in PROFILE_COLS if c != "o_orderstatus"], 2, True, "o_orderstatus"))
+def q_profile_by_group(spark, d):
+    """One profile with exact quartiles and distinct counts for each order status, in grouped jobs."""
+    return Q.profile_by(read_table(spark, d, "orders", PROFILE_COLS), "o_orderstatus", top_n=2, approx_distinct=False,
+                        quantiles="exact")
 
 
 # -- cross-source reconciliation ---------------------------------------------
@@ -288,11 +299,3 @@ def q_cross_source_validation(spark, d):
                     by=["label", "year"])
     return out.withColumn("total_a", F.col("total_a").cast("bigint")).withColumn(
         "total_b", F.col("total_b").cast("bigint"))
-
-
-@register("profile_by_group")
-def q_profile_by_group(spark, d):
-    """One profile per order status in one grouped job (sketch metrics: rows-only)."""
-    o = read_table(spark, d, "orders", ["o_orderstatus", "o_totalprice", "o_orderpriority",
-                                        "o_custkey"])
-    return Q.profile_by(o, "o_orderstatus", top_n=2)

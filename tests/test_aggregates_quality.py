@@ -95,3 +95,29 @@ def test_profile_by_file(spark, tmp_dir):
     assert p[("a.csv", "s", "top1")] == (2.0, "x")
     assert p[("b.csv", "s", "nulls")][0] == 1.0 and p[("b.csv", "n", "p50")][0] in (10.0, 20.0)
     assert not any(k[0] == "_skip.csv" for k in p)
+
+
+def test_exact_quantiles_of_any_values(spark):
+    """Against a plain sort: ties, infinities, NaN, -0.0, nulls, null keys, many distinct values."""
+    import random
+
+    from choicelens.operators.selection import exact_quantiles
+    r = random.Random(4)
+    special = [0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, float("inf"), float("-inf"), 1.0, 1.0 + 2**-52]
+    data = [(r.choice(["a", "b", None]), r.choice([r.gauss(0, 1e3), r.choice(special), 7.25, 7.25, None]), r.randrange(-9, 9))
+            for _ in range(900)] + [("one", 3.5, None), ("none", None, 4), ("nan", float("nan"), 1), ("nan", 2.0, 2)]
+    df = spark.createDataFrame(data, "`k.1` string, x double, n int").repartition(5)
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {(q["k.1"], q["column_name"], q["prob"]): q["value"] for q in exact_quantiles(df, ["x", "n"], probs, ["k.1"]).collect()}
+    want = {}
+    for k in {d[0] for d in data}:
+        for at, c in ((1, "x"), (2, "n")):
+            v = sorted((d[at] for d in data if d[0] == k and d[at] is not None), key=lambda y: (y != y, y))
+            for p in probs if v else []:
+                h = p * (len(v) - 1)
+                lo, hi = v[int(h)], v[-int(-h // 1)]
+                want[k, c, p] = lo if lo == hi else lo + (hi - lo) * (h - int(h))
+    assert got.keys() == want.keys()
+    for key, w in want.items():
+        assert got[key] == w or (got[key] != got[key] and w != w) or abs(got[key] - w) < 1e-9 * abs(w), (key, got[key], w)
+    assert exact_quantiles(df.where("false"), ["x"], [0.5]).count() == 0
