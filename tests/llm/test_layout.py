@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -280,3 +281,26 @@ def test_topk_against_brute_force(spark, cb, qb):
     got = topk_inner_product(df.withColumn("score", F.lit("x")), F.col("id") % 50 == 0, candidate_block=cb, query_block=qb)
     assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == brute_top(rows)
     assert topk_inner_product(df.limit(0), F.col("id") % 50 == 0).count() == 0
+
+
+def test_topk_of_large_components(spark):
+    """Finite components of any size take part; scores beyond a long rank by their true value."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(120, 6)) * 10.0 ** rng.integers(-2, 12, (120, 1))
+    v[::7] = rng.normal(size=(18, 6)) * 1e30
+    rows = [(k, [float(x) for x in r]) for k, r in enumerate(v)]
+    rows += [(200, [1e306] * 6), (250, [-1e306, 1.0, 0.0, -0.0, 2.0**19, 5e-324]), (300, [2.0**19] * 6), (301, [2.0**19] * 6),
+             (300, [2.0**19] * 6), (350, [1e25, 0.0, 0.0, 0.0, 0.0, 0.0]), (351, [1e300, 0.0, 0.0, 0.0, 0.0, 0.0])]
+    whole = {}
+    for k, (i, x) in enumerate(rows):
+        whole[k] = i, [math.floor(Fraction(c) * 256) for c in x]
+    want, seen = [], set()
+    for k, (i, q) in whole.items():
+        if i % 50 or (i, tuple(q)) in seen:
+            continue
+        seen.add((i, tuple(q)))
+        score = [(-sum(a * b for a, b in zip(q, y)), j) for m, (j, y) in whole.items() if m != k]
+        want += [(i, r, j, max(min(-s, 2**63 - 1), -2**63)) for r, (s, j) in enumerate(sorted(score)[:5], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = topk_inner_product(df, F.col("id") % 50 == 0, candidate_block=50, query_block=3)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
