@@ -49,21 +49,12 @@ def order_by_mean(df: DataFrame, key: str, value: str, descending: bool = True
                   ) -> DataFrame:
     """Keys with their mean and a rank by it (ties by key) (O-T10).
 
-    The means are dealt into 64 parts of their value range; a key's rank is its
-    place in its part plus the sizes of the parts before (one row a part).
+    One global sort by (mean, key) numbers the keys (``ordering.global_rank``), so
+    many keys of one mean are spread over the sort's partitions.
     """
+    from choicelens.operators.ordering import global_rank
     means = df.groupBy(key).agg(F.avg(value).alias("mean"))
-    o = F.col("mean").desc() if descending else F.col("mean").asc()
-    bound = means.select(F.percentile_approx("mean", F.array(*[F.lit(i / 64) for i in range(1, 64)]), 10000).alias("cuts"))
-    # the part of the value range that a mean lies in: a partition key that follows the order
-    part = F.size(F.filter("_cuts", lambda c: c < F.col("mean")))
-    parted = means.withColumn("_cuts", bound.scalar()).withColumn("_part", -part if descending else part).drop("_cuts")
-    sizes = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)   # 64 rows at most
-    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(o, F.col(key)))
-    return (parted.withColumn("_r", place).join(sizes, "_part")
-            .select(key, "mean", (F.col("_first") + F.col("_r")).cast("int").alias("position")))
+    return global_rank(means, [F.col("mean").desc() if descending else F.col("mean").asc(), F.col(key).asc()])
 
 
 def dedup_rows(df: DataFrame, subset=None) -> DataFrame:

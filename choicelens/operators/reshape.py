@@ -70,10 +70,17 @@ def hierarchical_fill(df: DataFrame, label_col: str, order_col: str, partition_c
     ``rules(label)`` returns (parent_set, child_set) Columns: the new state
     for this row or null for "unchanged"; ``none_marker`` resets a state to
     none. State is carried in source order (``order_col``) within each
-    partition with ``last(..., ignorenulls)``; rows whose parent is none are
-    dropped.
+    partition with ``last(..., ignorenulls)``; without ``partition_cols`` it runs
+    over all rows (``ordering.carry_last``: no task sees more than its part). Rows
+    whose parent is none are dropped.
     """
     p_set, c_set = rules(F.col(label_col))
+    if not partition_cols:
+        from choicelens.operators.ordering import carry_last
+        out = carry_last(df, [order_col] if isinstance(order_col, str) else order_col, {"_p": p_set, "_c": c_set})
+        return (out.withColumn(out_parent, F.nullif(F.col("_p"), F.lit(none_marker)))
+                .withColumn(out_child, F.nullif(F.col("_c"), F.lit(none_marker)))
+                .drop("_p", "_c").where(F.col(out_parent).isNotNull()))
     w = (Window.partitionBy(*partition_cols).orderBy(order_col)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = (df.withColumn("_p", F.last(p_set, ignorenulls=True).over(w))

@@ -20,11 +20,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from choicelens.functions.constants import GRID_MIN_REGISTRATIONS, GRID_SIZE
-from choicelens.functions.expr import log_colour
+from choicelens.functions.constants import GRID_MIN_REGISTRATIONS, GRID_SIZE, MOTOR_ENERGY_CATEGORIES
+from choicelens.functions.expr import grid_cell, log_colour
 from choicelens.operators.choice import country_normalisation
 from choicelens.operators.filters import region_filter
-from choicelens.operators.ranking import arg_max
+from choicelens.operators.ranking import arg_max, top_k, top_k_nested
+from choicelens.operators.reshape import pivot_wide
+from choicelens.operators.sampling import _hash
 
 METRICS = ("raw", "baseline", "autoencoder")
 
@@ -85,18 +87,49 @@ def volume_series(df: DataFrame, years, region, categories=None, top_n: int = 3,
     ``choices``: distinct configurations per (year, energy); ``latent``:
     latent volume and ratio per (year, energy), dense over the years with
     data × ``categories``; ``top_makers``: per year an ordered array of the
-    ``top_n`` manufacturers by registrations (ties by name).
+    ``top_n`` manufacturers by registrations (ties by name), names trimmed,
+    blank and unknown ones left out. ``choices_wide`` and ``latent_wide`` have
+    a row a year and a column a category; the second has every year of the
+    range, null where there is no ratio.
     """
     from choicelens.functions.constants import LATENT_MIN_REGISTRATIONS
     from choicelens.operators.aggregates import sum_by
     from choicelens.operators.choice import baseline_factors, latent_volumes
-    from choicelens.operators.ranking import top_k_nested
     f = region_filter(df, region, years, geo_col)
     latent = latent_volumes(
         f, grid_size=grid_size, categories=categories,
         min_registrations=LATENT_MIN_REGISTRATIONS if min_registrations is None
         else min_registrations)
-    makers = sum_by(f, ["year", "manufacturer"], "registrations")
+    named = f.withColumn("manufacturer", F.trim("manufacturer")).where(
+        (F.col("manufacturer") != "") & F.col("year").isNotNull() & F.col("registrations").isNotNull())
+    makers = sum_by(named, ["year", "manufacturer"], "registrations")
     top = top_k_nested(makers, ["year"], ["-registrations", "manufacturer"], top_n,
                        ["manufacturer", "registrations"], alias="top_makers")
-    return {"choices": baseline_factors(f), "latent": latent, "top_makers": top}
+    categories = list(categories or MOTOR_ENERGY_CATEGORIES)
+    choices = baseline_factors(f)
+    every = f.sparkSession.range(int(years[0]), int(years[1]) + 1).select(F.col("id").cast("int").alias("year"))
+    ratios = pivot_wide(latent.withColumn("year", F.col("year").cast("int")), ["year"], "energy", categories,
+                        "normalized_registrations", "max", None)
+    return {"choices": choices, "latent": latent, "top_makers": top,
+            "choices_wide": pivot_wide(choices, ["year"], "energy", categories, "unique_choices", "max", None),
+            "latent_wide": every.join(ratios, "year", "left")}
+
+
+def scatter_points(df: DataFrame, year: int, years, region, geo_col: str = "geo", per_cell: int | None = None,
+                   grid_size: float = GRID_SIZE, id_cols=("line_order", "line_number", "variant"), seed: int = 42) -> DataFrame:
+    """Points of one year with what a hover shows: year, energy, maker, name, registrations, z_1, z_2 (O-M13).
+
+    ``years`` and ``region`` filter first. With ``per_cell`` each (category, grid
+    cell) gives at most so many points: a weighted sample without replacement
+    (weight: registrations) by the keys -ln(u) / weight, with u the hash of the
+    row's ids, so a task that is run again draws the same points.
+    """
+    f = region_filter(df, region, years, geo_col).where(F.col("year") == int(year))
+    out = ["year", "energy", "manufacturer", "commercial_name", "registrations", "z_1", "z_2"]
+    if per_cell is None:
+        return f.select(*out)
+    u = (F.conv(F.substring(_hash(id_cols, seed), 1, 12), 16, 10).cast("long") + 1) / F.lit(2.0**48 + 1)
+    drawn = f.where("registrations > 0").withColumns({
+        "_x": grid_cell("z_1", grid_size), "_y": grid_cell("z_2", grid_size), "_key": -F.log(u) / F.col("registrations")})
+    return top_k(drawn, ["energy", "_x", "_y"], ["_key", "manufacturer", "commercial_name", "registrations", "z_1", "z_2"],
+                 per_cell, "_rank").select(*out)

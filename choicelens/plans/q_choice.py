@@ -127,12 +127,16 @@ def q_cell_variants(spark, d):
     return choice.cell_stats(sales_lines(spark, d))
 
 
-@register("embedding_grid", """
-WITH cells AS (
-  SELECT label, CAST(floor(CAST(embedding[1] AS DOUBLE) / 0.02::DOUBLE) AS BIGINT) AS cell_x,
-         CAST(floor(CAST(embedding[2] AS DOUBLE) / 0.02::DOUBLE) AS BIGINT) AS cell_y,
-         count(*) AS n
-  FROM embeddings GROUP BY ALL)
+def _axis_sql(k: int) -> str:
+    weight = f"(((i - 1) * 7 + {3 * k}) % 11 - 5)"
+    return f"CAST(list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * {weight})) AS DOUBLE)"
+
+
+@register("embedding_grid", f"""
+WITH z AS (SELECT label, {_axis_sql(1)} AS z_1, {_axis_sql(2)} AS z_2 FROM embeddings),
+cells AS (
+  SELECT label, CAST(floor(z_1 / 0.5::DOUBLE) AS BIGINT) AS cell_x, CAST(floor(z_2 / 0.5::DOUBLE) AS BIGINT) AS cell_y, count(*) AS n
+  FROM z GROUP BY ALL)
 SELECT label, CAST(count(*) FILTER (WHERE n >= 2) AS BIGINT) AS latent_volume,
        CAST(sum(n) FILTER (WHERE n >= 2) AS BIGINT) AS active_registrations,
        CAST(sum(n) AS BIGINT) AS total_raw_registrations,
@@ -140,12 +144,16 @@ SELECT label, CAST(count(*) FILTER (WHERE n >= 2) AS BIGINT) AS latent_volume,
 FROM cells GROUP BY label HAVING count(*) FILTER (WHERE n >= 2) > 0
 """)
 def q_embedding_grid(spark, d):
-    e = read_table(spark, d, "embeddings", ["embedding", "label"]).select(
-        "label",
-        F.col("embedding")[0].cast("double").alias("z_1"),
-        F.col("embedding")[1].cast("double").alias("z_2"),
-        F.lit(1).alias("registrations"))
-    return choice.grid_normalisation(e, keys=("label",), grid_size=0.02, min_registrations=2)
+    """Grid normalisation of a linear projection of all dimensions.
+
+    The weights are whole numbers of a rule, so that sums are exact and the
+    cells do not depend on the order of addition.
+    """
+    from choicelens.operators.latent import project_vectors
+    e = read_table(spark, d, "embeddings", ["embedding", "label"])
+    z = project_vectors(e, "embedding", [lambda i: (i * 7 + 3) % 11 - 5, lambda i: (i * 7 + 6) % 11 - 5])
+    z = z.select("label", "z_1", "z_2", F.lit(1).alias("registrations"))
+    return choice.grid_normalisation(z, keys=("label",), grid_size=0.5, min_registrations=2)
 
 
 @register("country_normalised_total", with_sales("""
@@ -191,3 +199,25 @@ def q_country_log_value(spark, d):
     t = t.withColumn("value", F.round("normalised_total", 6)).drop("normalised_total")
     return t.withColumn("colour_value", F.round(log_colour("value"), 6))
 
+
+_RANGES = [(a, b) for a in range(1995, 2002) for b in range(a, 2002)]
+
+
+def _range_sql(columns: str, names: str) -> str:
+    """Every range of years by every region and all of them, counted anew from the rows."""
+    spans = ", ".join(f"({a}, {b})" for a, b in _RANGES)
+    return f"""
+WITH span(lo, hi) AS (VALUES {spans}),
+rows AS (
+  SELECT CAST(geo AS VARCHAR) AS region, * FROM sales UNION ALL SELECT 'all' AS region, * FROM sales)
+SELECT CAST(lo AS INTEGER) AS lo, CAST(hi AS INTEGER) AS hi, region, {names}, CAST(count(DISTINCT ({columns})) AS BIGINT) AS unique_choices,
+       CAST(sum(registrations) AS BIGINT) AS registrations_count
+FROM span JOIN rows ON year BETWEEN lo AND hi GROUP BY ALL"""
+
+
+@register("baseline_any_range", with_sales(_range_sql("commercial_name, capacity, power", "energy"), geo=True))
+def q_baseline_any_range(spark, d):
+    """Distinct choices and registrations of all year ranges and regions from one table of bitmaps."""
+    from choicelens.operators.rollup import choice_rollup, distinct_by_range
+    maps = choice_rollup(sales_by_part(spark, d, geo=True), ["geo", "year", "energy"], ["commercial_name", "capacity", "power"])
+    return distinct_by_range(maps, _RANGES)

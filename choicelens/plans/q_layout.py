@@ -106,9 +106,12 @@ f AS (
   SELECT *, CASE WHEN CAST('0x' || substr(md5(line_order || '|' || line_number || '|' || variant || '|42'), 1, 8) AS BIGINT) % 100 < 80
                  THEN 'train' ELSE 'val' END AS split
   FROM z WHERE mass IS NOT NULL AND co2 IS NOT NULL AND capacity IS NOT NULL AND power IS NOT NULL AND consumption IS NOT NULL),
-st AS (SELECT avg(mass) AS mean, CASE WHEN stddev_pop(mass) = 0 THEN 1.0::DOUBLE ELSE stddev_pop(mass) END AS sd
+st AS (SELECT """ + ", ".join(f"""avg({c}) AS mean_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1.0::DOUBLE ELSE stddev_pop({c}) END AS sd_{c}"""
+                              for c in FEATURES) + """
        FROM f WHERE split = 'train')
-SELECT split, count(*) AS n, round(avg((mass - mean) / sd), 6) + 0.0::DOUBLE AS mean_scaled_mass
+SELECT split, count(*) AS n, """ + ", ".join(
+    f"round(avg(({c} - mean_{c}) / sd_{c}), 6) + 0.0::DOUBLE AS mean_scaled_{c}, round(max(({c} - mean_{c}) / sd_{c}), 6) AS max_scaled_{c}"
+    for c in FEATURES) + """
 FROM f CROSS JOIN st GROUP BY split
 """))
 def q_training_prep(spark, d):
@@ -118,5 +121,7 @@ def q_training_prep(spark, d):
         s, FEATURES, key_cols=("line_order", "line_number", "variant"),
         zeroing=lambda x: C.structural_zeros(x, electric=["MEDIUM"],
                                              combustion=["ECONOMY", "LARGE"]))
-    return scaled.groupBy("split").agg(F.count(F.lit(1)).alias("n"),
-                                       (F.round(F.avg("s_mass"), 6) + F.lit(0.0)).alias("mean_scaled_mass"))
+    aggs = []
+    for c in FEATURES:
+        aggs += [(F.round(F.avg(f"s_{c}"), 6) + F.lit(0.0)).alias(f"mean_scaled_{c}"), F.round(F.max(f"s_{c}"), 6).alias(f"max_scaled_{c}")]
+    return scaled.groupBy("split").agg(F.count(F.lit(1)).alias("n"), *aggs)

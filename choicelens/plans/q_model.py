@@ -14,6 +14,7 @@ from choicelens.operators import sampling as SM
 from choicelens.operators.cleaning import structural_zeros
 from choicelens.operators.filters import drop_null_rows, region_filter
 from choicelens.operators.reshape import pivot_wide
+from choicelens.plans import payloads
 from choicelens.plans.bindings import _source_signature, sales_by_part, sales_lines
 from choicelens.plans.registry import register, with_sales
 from choicelens.sources.readers import read_table
@@ -236,6 +237,9 @@ def q_history_plus_forecast(spark, d):
 
 # -- composed payloads -------------------------------------------------------
 
+_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
 @register("overview_payload", with_sales("""
 WITH s AS (SELECT * FROM sales WHERE geo = 5 AND year BETWEEN 1996 AND 2000),
 raw AS (SELECT year, energy, CAST(sum(registrations) AS BIGINT) AS registrations,
@@ -282,12 +286,79 @@ def q_volume_payload(spark, d):
     return u.join(v.select("year", "energy", "latent_volume"), ["year", "energy"])
 
 
+_PAGE_YEARS, _PAGE_REGION = (1996, 2003), 5
+
+
+def _page(spark, d):
+    return payloads.volume_series(sales_lines(spark, d, geo=True, years=_PAGE_YEARS), _PAGE_YEARS, _PAGE_REGION,
+                                  categories=_TYPES, min_registrations=10)
+
+
+_PAGE_SQL = f"page AS (SELECT * FROM sales WHERE geo = {_PAGE_REGION} AND year BETWEEN {_PAGE_YEARS[0]} AND {_PAGE_YEARS[1]})"
+
+
+def _columns_sql(value: str) -> str:
+    return ", ".join(f"max({value}) FILTER (WHERE energy = '{t}') AS \"{t}\"" for t in _TYPES)
+
+
+@register("volume_choices", with_sales(f"""
+WITH {_PAGE_SQL},
+u AS (SELECT year, energy, CAST(count(DISTINCT (commercial_name, capacity, power)) AS DOUBLE) AS n FROM page GROUP BY ALL)
+SELECT year, {_columns_sql("n")} FROM u GROUP BY year
+""", geo=True))
+def q_volume_choices(spark, d):
+    """Distinct choices of a region, a row a year and a column a category."""
+    out = _page(spark, d)["choices_wide"]
+    return out.select("year", *[F.col(t).cast("double").alias(t) for t in _TYPES])
+
+
+@register("volume_latent_ratio", with_sales(f"""
+WITH {_PAGE_SQL},
+cells AS (SELECT year, energy, floor(z_1 / 0.2::DOUBLE) AS cx, floor(z_2 / 0.2::DOUBLE) AS cy, sum(registrations) AS r FROM page GROUP BY ALL),
+v AS (SELECT year, energy, CAST(sum(r) AS BIGINT) / nullif(count(*) FILTER (WHERE r >= 10), 0) AS n FROM cells GROUP BY ALL),
+w AS (SELECT year, {_columns_sql("n")} FROM v GROUP BY year)
+SELECT CAST(y.year AS INTEGER) AS year, {", ".join(f'w."{t}"' for t in _TYPES)}
+FROM range({_PAGE_YEARS[0]}, {_PAGE_YEARS[1] + 1}) y(year) LEFT JOIN w ON y.year = w.year
+""", geo=True))
+def q_volume_latent_ratio(spark, d):
+    """Latent ratio of a region for every year of the range, a column a category."""
+    return _page(spark, d)["latent_wide"].select("year", *_TYPES)
+
+
+@register("volume_top_makers", with_sales(f"""
+WITH {_PAGE_SQL},
+m AS (SELECT year, trim(manufacturer) AS manufacturer, CAST(sum(registrations) AS BIGINT) AS registrations
+      FROM page WHERE trim(manufacturer) <> '' AND registrations IS NOT NULL GROUP BY ALL)
+SELECT year, CAST(row_number() OVER w AS INTEGER) AS rank, manufacturer, registrations FROM m
+WINDOW w AS (PARTITION BY year ORDER BY registrations DESC, manufacturer) QUALIFY row_number() OVER w <= 3
+""", geo=True))
+def q_volume_top_makers(spark, d):
+    """The three largest makers of each year of a region."""
+    top = _page(spark, d)["top_makers"].select("year", F.explode("top_makers").alias("m")).select("year", "m.*")
+    return top.select("year", "rank", "manufacturer", F.col("registrations").cast("bigint").alias("registrations"))
+
+
 @register("latent_scatter_points", with_sales("""
-SELECT energy, commercial_name, registrations, z_1, z_2 FROM sales WHERE year = 1998
-"""))
+SELECT year, energy, manufacturer, commercial_name, registrations, z_1, z_2 FROM sales
+WHERE year = 1998 AND geo = 5
+""", geo=True))
 def q_latent_scatter_points(spark, d):
-    s = sales_lines(spark, d, years=(1998, 1998)).where(F.col("year") == 1998)
-    return s.select("energy", "commercial_name", "registrations", "z_1", "z_2")
+    """All points of one region and year with their hover fields."""
+    return payloads.scatter_points(sales_lines(spark, d, geo=True, years=(1996, 2000)), 1998, (1996, 2000), 5)
+
+
+@register("latent_scatter_sample", with_sales("""
+WITH p AS (
+  SELECT *, floor(z_1 / 0.2::DOUBLE) AS cx, floor(z_2 / 0.2::DOUBLE) AS cy,
+         -ln((CAST('0x' || substr(md5(line_order || '|' || line_number || '|' || variant || '|42'), 1, 12) AS BIGINT) + 1)
+             / 281474976710657.0::DOUBLE) / registrations AS key
+  FROM sales WHERE year = 1998 AND registrations > 0)
+SELECT year, energy, manufacturer, commercial_name, registrations, z_1, z_2 FROM p
+QUALIFY row_number() OVER (PARTITION BY energy, cx, cy ORDER BY key, manufacturer, commercial_name, registrations, z_1, z_2) <= 3
+""", geo=True))
+def q_latent_scatter_sample(spark, d):
+    """At most three points a category and grid cell, drawn by their registrations."""
+    return payloads.scatter_points(sales_lines(spark, d, geo=True, years=(1996, 2000)), 1998, (1996, 2000), "EU27_2020", per_cell=3)
 
 
 @register("year_options", """
@@ -322,9 +393,6 @@ def q_geo_options(spark, d):
     return pseudo.unionByName(opts).orderBy("priority", "label")
 
 
-_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-
-
 def _wide_sql(metric: str, value: str, fill: bool) -> str:
     cols = ", ".join((f"coalesce(max({value}) FILTER (WHERE energy = '{t}'), 0.0::DOUBLE)" if fill else
                       f"max({value}) FILTER (WHERE energy = '{t}')") + f' AS "{t}"' for t in _TYPES)

@@ -8,7 +8,7 @@ from choicelens.operators import aggregates as A
 from choicelens.operators import choice
 from choicelens.operators import reshape as RS
 from choicelens.plans.bindings import sales_by_part, sales_lines
-from choicelens.plans.registry import register, with_sales
+from choicelens.plans.registry import ORACLE_SQL, register, with_sales
 from choicelens.sources.readers import read_table
 
 TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -209,3 +209,13 @@ def q_hierarchical_fill(spark, d):
     rows = _label_rows(sales_by_part(spark, d, geo=True))
     return RS.hierarchical_fill(rows, "label", "idx", ["geo_name", "year"],
                                 RS.fuel_hierarchy_rules())
+
+
+# the same table without the total of odd years: a state then runs on from the rows before
+@register("hierarchical_fill_file", ORACLE_SQL["hierarchical_fill"].replace(
+    "PARTITION BY geo_name, year ORDER BY idx", "ORDER BY geo_name, year, idx").replace(
+    "FROM rows),", "FROM rows WHERE NOT (idx = 0 AND year % 2 = 1)),"))
+def q_hierarchical_fill_file(spark, d):
+    """The state machine over the order of a whole file."""
+    rows = _label_rows(sales_by_part(spark, d, geo=True)).where(~((F.col("idx") == 0) & (F.col("year") % 2 == 1)))
+    return RS.hierarchical_fill(rows, "label", ["geo_name", "year", "idx"], [], RS.fuel_hierarchy_rules())

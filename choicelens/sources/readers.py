@@ -7,6 +7,7 @@ pass runs over the data (inference reads the whole input once more).
 from __future__ import annotations
 
 import csv
+import re
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -100,17 +101,21 @@ def read_csv_glob(spark: SparkSession, directory: str, pattern: str = "*.csv",
     ``exclude_prefix`` are left out on file metadata; files without any line
     give no rows (``csv_file_report`` names them).
     """
+    return _read_csv_glob(spark, directory, pattern, exclude_prefix).drop("_file_path")
+
+
+def _read_csv_glob(spark, directory, pattern, exclude_prefix) -> DataFrame:
     out = None
     for header, paths in sorted(_files_by_header(spark, directory, pattern, exclude_prefix).items()):
         schema = _csv_schema([*_csv_names(header), "_corrupt_record"])
         body = (spark.read.schema(schema).option("header", True).option("pathGlobFilter", pattern)
                 .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").csv(directory)
                 .where(F.col("_metadata.file_path").isin(paths))
-                .withColumn("_file_name", F.col("_metadata.file_name")))
+                .withColumns({"_file_name": F.col("_metadata.file_name"), "_file_path": F.col("_metadata.file_path")}))
         out = body if out is None else out.unionByName(body, allowMissingColumns=True)
     if out is None:
         raise ValueError(f"{directory}: no file with a header matches {pattern}")
-    tags = ["_corrupt_record", "_file_name"]
+    tags = ["_corrupt_record", "_file_name", "_file_path"]
     return out.select(*[f"`{c.replace('`', '``')}`" for c in out.columns if c not in tags], *tags)
 
 
@@ -130,19 +135,22 @@ def csv_file_report(spark: SparkSession, directory: str, pattern: str = "*.csv",
                     exclude_prefix: str | None = None) -> DataFrame:
     """One row a file: records read, those without a value, those that did not fit, ``error`` (null: the file is sound)."""
     # the listing has files without any byte, which no scan returns
-    found = spark.read.option("pathGlobFilter", pattern).text(directory).inputFiles()
-    names = sorted(unquote(p.rsplit("/", 1)[-1]) for p in found)
-    names = [(n,) for n in names if not (exclude_prefix and n.startswith(exclude_prefix))]
-    files = spark.createDataFrame(names, "_file_name string")
-    rows = read_csv_glob(spark, directory, pattern, exclude_prefix)
-    fields = [F.col(f"`{c.replace('`', '``')}`") for c in rows.columns[:-2]]
-    read = rows.groupBy("_file_name").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count("_corrupt_record").alias("n_corrupt"),
+    paths = spark.read.option("pathGlobFilter", pattern).text(directory).inputFiles()
+    paths = [(re.sub("^file:/+", "file:/", p), unquote(p.rsplit("/", 1)[-1])) for p in sorted(paths)]
+    files = spark.createDataFrame([p for p in paths if not (exclude_prefix and p[1].startswith(exclude_prefix))],
+                                  "file_path string, file_name string")
+    rows = _read_csv_glob(spark, directory, pattern, exclude_prefix)
+    fields = [F.col(f"`{c.replace('`', '``')}`") for c in rows.columns[:-3]]
+    # Spark reads the record column only beside others
+    whole = F.when(F.length(F.concat_ws("", *fields)) >= 0, F.col("_corrupt_record"))
+    read = rows.groupBy(F.regexp_replace("_file_path", "^file:/+", "file:/").alias("file_path")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(whole.isNotNull()).alias("n_corrupt"),
         F.count(F.coalesce(*fields, F.lit(None))).alias("n_filled"))
     none = F.coalesce("n_rows", F.lit(0))
     bad = F.coalesce("n_corrupt", F.lit(0))
-    return files.join(read, "_file_name", "left").select(
-        F.col("_file_name").alias("file_name"), none.alias("n_rows"), (none - F.coalesce("n_filled", F.lit(0))).alias("n_blank"), bad.alias("n_corrupt"),
+    return files.join(read, "file_path", "left").select(
+        "file_path", "file_name", none.alias("n_rows"), (none - F.coalesce("n_filled", F.lit(0))).alias("n_blank"),
+        bad.alias("n_corrupt"),
         F.when(none == 0, F.lit("no records"))
         .when(bad > 0, F.lit("records that do not fit the header")).alias("error"))
 

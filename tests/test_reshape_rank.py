@@ -1,3 +1,7 @@
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from choicelens.operators import ordering as O
 from choicelens.operators import ranking as R
 from choicelens.operators import reshape as RS
 from choicelens.operators import shares as S
@@ -57,3 +61,44 @@ def test_shares(spark):
     assert by == [(1, "a", 25.0), (1, "b", 75.0), (2, "a", 100.0)]
     rn = S.renormalise(df, "v", ["y"]).where("y = 1").agg({"v": "sum"}).first()[0]
     assert abs(rn - 1.0) < 1e-12
+
+
+def test_state_runs_over_a_whole_file_in_parts(spark):
+    """Against last_value over one global window, with states that live on over several sort partitions."""
+    import random as rnd
+    r = rnd.Random(2)
+    data = [(i, r.choice(["Total", "Petrol cars", "- small", "- LPG", "Alternative fuels", "x", "x", "x"]) if i % 97 == 0 else "- leaf")
+            for i in range(3000)]
+    df = spark.createDataFrame(data, "idx int, label string").repartition(6)
+    p_set, c_set = RS.fuel_hierarchy_rules()(F.col("label"))
+    w = Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    want = (df.withColumns({"parent": F.nullif(F.last(p_set, ignorenulls=True).over(w), F.lit("__none__")),
+                            "child": F.nullif(F.last(c_set, ignorenulls=True).over(w), F.lit("__none__"))})
+            .where(F.col("parent").isNotNull()))
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = RS.hierarchical_fill(df, "label", "idx", [], RS.fuel_hierarchy_rules())
+        assert rows(got) == rows(want.select(*got.columns))
+        parts = O.ordered_parts(df, ["idx"])
+        assert parts.select("_part").distinct().count() > 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
+def test_ranks_of_equal_means_are_spread(spark):
+    """Half of the keys have one mean: their ranks are still by key, from several sort partitions."""
+    data = [(k, 5.0 if k % 2 else float(k)) for k in range(2000)] + [(None, 5.0), (7, 5.0)]
+    df = spark.createDataFrame(data, "k int, v double").repartition(5)
+    want = {k: i for i, (_, k) in enumerate(sorted(((-5.0 if k is None or k % 2 else -float(k)), -1 if k is None else k)
+                                                   for k in [*range(2000), None]), 1)}
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {-1 if r["k"] is None else r["k"]: r["position"] for r in R.order_by_mean(df, "k", "v").collect()}
+        assert got == want
+        means = df.groupBy("k").agg(F.avg("v").alias("mean"))
+        tied = O.ordered_parts(means, [F.col("mean").desc(), F.col("k")]).where("mean = 5.0")
+        assert tied.select("_part").distinct().count() > 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
