@@ -39,6 +39,7 @@ from pyspark.sql import types as T
 from choicelens.llm.carry import packed, unpacked
 from choicelens.llm.staging import staged
 from choicelens.llm.textcols import mixed, pieces, span_hash, utf8
+from choicelens.llm.workers import released
 
 GRAM = 16
 _TABLE = np.random.default_rng(50).integers(0, 2**64, 256, dtype=np.uint64)
@@ -167,7 +168,7 @@ def _read(col, kind) -> np.ndarray:
 def _prepared(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(packed(docs, text_col), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("_doc"),
-                       F.hash(text).alias("_row"), text.cast("binary").alias("_text")).withColumn("_b", _bucket_col(buckets))
+                       F.xxhash64(F.lit(10), text).alias("_row"), text.cast("binary").alias("_text")).withColumn("_b", _bucket_col(buckets))
 
 
 def _emit_contexts(window: int, parts: int, buckets: int, flush: int = 200_000):
@@ -208,26 +209,16 @@ def _emit_contexts(window: int, parts: int, buckets: int, flush: int = 200_000):
 
 def _resolve(window: int, buckets: int, parts: int, hot: int):
     """Task of step 2: spans of equal contexts (kind 0), requests for the bytes of others (kind 1, hot 2)."""
-    def run(batches):
-        spans, entries = [], []
-        for batch in batches:
-            kind = batch.column(0).to_numpy()
-            whole = pa.Table.from_batches([batch])
-            for k, to in ((0, spans), (1, entries)):
-                at = np.flatnonzero(kind == k)
-                if len(at):
-                    to.append(whole.take(at))
-        for t in spans:
-            for b in t.to_batches():
-                yield b
-        if not entries:
-            return
-        t = pa.concat_tables(entries)
+    def run(table: pa.Table) -> pa.Table:
+        kind = table["kind"].to_numpy()
+        spans, t = (table.take(np.flatnonzero(kind == k)) for k in (0, 1))
+        if not len(t):
+            return spans
         counts = np.array([len(x) for x in t["n"].to_pylist()])
         part = np.repeat(t["part"].to_numpy().astype(np.uint64), counts)
         g = _read(t["g"], np.uint32).astype(np.uint64) * np.uint64(parts) + part
         c, lo = (_read_planes(t[k], kind, ENTRY_PLANES[k]) for k, kind in (("c", np.uint64), ("lo", np.uint32)))
-        doc, row, more = _read(t["doc"], np.int64), _read(t["row"], np.int32), _read(t["n"], np.uint8)
+        doc, row, more = _read(t["doc"], np.int64), _read(t["row"], np.int64), _read(t["n"], np.uint8)
         by = np.lexsort((doc, c, g))
         g, c, doc, row, lo, more = (x[by] for x in (g, c, doc, row, lo, more))
         new_g = np.concatenate([[True], g[1:] != g[:-1]])
@@ -245,22 +236,29 @@ def _resolve(window: int, buckets: int, parts: int, hot: int):
         for k, mask in ((1, ask & ~crowd), (2, crowd)):
             out += _rows(k, _bucket(doc[mask], row[mask], buckets), g=g[mask], doc=doc[mask], row=row[mask],
                          lo=lo[mask], n=more[mask])
-        if out:
-            yield _batch(out)
+        return pa.concat_tables([spans.select(_BLOB_ARROW.names).cast(_BLOB_ARROW), pa.Table.from_batches([_batch(out)])])
     return run
 
 
 def _text_places(t: pa.Table):
-    """Sorted (doc, row) of a group's texts with their place, and their bytes."""
+    """Sorted (doc, row) of a group's texts with their place, and their bytes.
+
+    Two texts of one id with one 64-bit hash would be taken for copies: they are
+    compared, and such a pair (one in 10^9 runs with 200,000 rows an id) ends the job.
+    """
     doc, row = t["_doc"].to_numpy(), t["_row"].to_numpy()
     by = np.lexsort((row, doc))
     buf, off = utf8(t["_text"])
+    same = np.flatnonzero((doc[by[1:]] == doc[by[:-1]]) & (row[by[1:]] == row[by[:-1]]))
+    for i, j in zip(by[same].tolist(), by[same + 1].tolist()):
+        if not np.array_equal(buf[off[i]:off[i + 1]], buf[off[j]:off[j + 1]]):
+            raise RuntimeError(f"two texts of id {doc[i]} have one hash; give their rows other ids")
     return doc, row, by, buf, off
 
 
 def _find(doc, row, by, want_doc, want_row) -> np.ndarray:
     """Place of each wanted (doc, row) among a group's texts."""
-    pair = np.dtype([("d", np.int64), ("r", np.int32)])
+    pair = np.dtype([("d", np.int64), ("r", np.int64)])
     have = np.empty(len(doc), pair)
     have["d"], have["r"] = doc[by], row[by]
     want = np.empty(len(want_doc), pair)
@@ -279,7 +277,7 @@ def _fetch(window: int, parts: int):
                 t = right.filter(pa.array(right["kind"].to_numpy() == kind))
                 if not len(t):
                     continue
-                g, d, r = _read(t["g"], np.uint64), _read(t["doc"], np.int64), _read(t["row"], np.int32)
+                g, d, r = _read(t["g"], np.uint64), _read(t["doc"], np.int64), _read(t["row"], np.int64)
                 lo, more = _read(t["lo"], np.uint32).astype(np.int64), _read(t["n"], np.uint8).astype(np.int64)
                 start = off[_find(doc, row, by, d, r)] + lo
                 if kind == 2:  # single windows, dealt by their own bytes
@@ -332,29 +330,27 @@ def previous_factors(buf: np.ndarray, at: np.ndarray, doc: np.ndarray, window: i
 
 def _suffixes(window: int, buckets: int):
     """Task of step 4: spans of the windows with a longest previous factor of ``window`` or more."""
-    def run(batches):
-        tables = [pa.Table.from_batches([b]) for b in batches]
-        if not tables:
-            return
-        t = pa.concat_tables(tables)
-        doc, row, lo = _read(t["doc"], np.int64), _read(t["row"], np.int32), _read(t["lo"], np.uint32)
+    none = pa.Table.from_batches([_batch([])])
+
+    def run(t: pa.Table) -> pa.Table:
+        doc, row, lo = _read(t["doc"], np.int64), _read(t["row"], np.int64), _read(t["lo"], np.uint32)
         more, buf = _read(t["n"], np.uint8).astype(np.int64), _read(t["c"], np.uint8)
         if not len(doc):
-            return
+            return none
         size = more + window
         base = np.cumsum(size) - size
         of = np.repeat(np.arange(len(doc)), more + 1)
         o = np.arange(len(of)) - np.repeat(np.cumsum(more + 1) - (more + 1), more + 1)
         hit = np.flatnonzero(previous_factors(buf, base[of] + o, doc[of], window))
         if not len(hit):
-            return
+            return none
         # the windows of one context overlap, so those hit unite to one span
         e, o = of[hit], o[hit]
         first = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
         last = np.concatenate([first[1:], [len(e)]]) - 1
         e, a, b = e[first], o[first], o[last]
-        yield _batch(_rows(0, _bucket(doc[e], row[e], buckets), doc=doc[e], row=row[e],
-                           lo=lo[e] + a.astype(np.uint32), n=(b - a + window).astype(np.int32)))
+        return pa.Table.from_batches([_batch(_rows(0, _bucket(doc[e], row[e], buckets), doc=doc[e], row=row[e],
+                                                   lo=lo[e] + a.astype(np.uint32), n=(b - a + window).astype(np.int32)))])
     return run
 
 
@@ -365,7 +361,7 @@ def _cut(as_text: bool):
         edge = np.zeros(len(buf) + 1, np.int32)
         texts = np.arange(len(doc))
         if len(right) and len(left):
-            d, r = _read(right["doc"], np.int64), _read(right["row"], np.int32)
+            d, r = _read(right["doc"], np.int64), _read(right["row"], np.int64)
             lo, n = _read(right["lo"], np.uint32).astype(np.int64), _read(right["n"], np.int32)
             place = _find(doc, row, by, d, r)
             np.add.at(edge, off[place] + lo, 1)
@@ -407,12 +403,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     parts, groups = (max(1, math.ceil(total / size)) | 1 for size in (bytes_per_part, bytes_per_group))
     rows = _prepared(docs, id_col, text_col, groups)
-    anchors = rows.select("_doc", "_row", "_text").mapInArrow(_emit_contexts(window, parts, groups), _BLOB)
-    found = staged(anchors.repartition(parts, "part").mapInArrow(_resolve(window, groups, parts, hot), _BLOB), "spans")
-    texts = rows.repartition(groups, "_b")
+    anchors = rows.select("_doc", "_row", "_text").mapInArrow(released(_emit_contexts(window, parts, groups)), _BLOB)
+    # parts and groups are keys: a shuffle partition holds many, a task looks at one after another
+    found = staged(anchors.groupBy("part").applyInArrow(_resolve(window, groups, parts, hot), _BLOB), "spans")
+    texts = rows
     asked = found.where("kind > 0")
     bytes_of = texts.groupBy("_b").cogroup(asked.groupBy("part")).applyInArrow(_fetch(window, groups), _BLOB)
-    more = bytes_of.repartition(groups, "part").mapInArrow(_suffixes(window, groups), _BLOB)
+    more = bytes_of.groupBy("part").applyInArrow(_suffixes(window, groups), _BLOB)
     spans = found.where("kind = 0").unionByName(more)
     added = {"kept_text": T.StringType()} if as_text else \
         {"n_bytes": T.LongType(), "removed_spans": T.ArrayType(T.ArrayType(T.LongType())), "kept_bytes": T.BinaryType()}
