@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from choicelens.llm.carry import packed, unpacked
+from choicelens.llm.workers import released
 
 _XXH = partial(xxhash.xxh64_intdigest, seed=42)
 
@@ -76,7 +77,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                                              ["doc_id", "row", "fp"])
     text = F.col(text_col).cast("string")
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
-            .mapInArrow(run, "doc_id long, row long, fp long"))
+            .mapInArrow(released(run), "doc_id long, row long, fp long"))
 
 
 def ball(width: int, radius: int) -> list[int]:

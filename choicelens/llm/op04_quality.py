@@ -27,6 +27,7 @@ from choicelens.llm.carry import packed, unpacked
 from choicelens.llm.labels import held_out, training_sample
 from choicelens.llm.op02_repetition import SYMBOLS
 from choicelens.llm.textcols import SPACE, by_range, mixed, per_doc, pieces, segments, span_hash, utf8, words
+from choicelens.llm.workers import released
 
 FEATURES = ["log_words", "word_chars", "upper", "symbols", "digits", "stops", "shouts", "distinct", "repeat3",
             "dup_lines", "top_word", "line_words", "short_words", "non_ascii", "symbol_ends", "pipes"]
@@ -211,7 +212,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
             x = text_features(batch.column(2))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
-    found = (rows.mapInArrow(run, "doc_id long, label int, x array<double>")
+    found = (rows.mapInArrow(released(run), "doc_id long, label int, x array<double>")
              .groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("r")).select("doc_id", "r.*").collect())
     found.sort(key=lambda r: r["doc_id"])
     x = np.array([r["x"] for r in found]).reshape(-1, len(FEATURES))
@@ -227,7 +228,7 @@ def score_quality(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))],
                 ["doc_id", "score", "predicted"])
-    rows = _plain(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int")
+    rows = _plain(docs, id_col, text_col).mapInArrow(released(run), "doc_id long, score double, predicted int")
     return rows.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
@@ -239,4 +240,4 @@ def keep_quality(docs: DataFrame, model: AdditiveModel, text_col: str = "text",
         for batch in batches:
             keep = model.score(text_features(batch.column(1))) >= threshold
             yield batch.select([0]).filter(pa.array(keep))
-    return rows.mapInArrow(run, T.StructType([rows.schema["_in"]])).select(*unpacked(docs))
+    return rows.mapInArrow(released(run), T.StructType([rows.schema["_in"]])).select(*unpacked(docs))

@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from choicelens.llm.ranks import numbered
 from choicelens.llm.staging import staged
-from choicelens.llm.tokens import encoder, text_groups
+from choicelens.llm.textcols import pieces, utf8
+from choicelens.llm.tokens import encoder
+from choicelens.llm.workers import released
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -39,9 +41,10 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 10
     def run(batches):
         enc = encoder(path, drops_space)
         for batch in batches:
-            docs_, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, j in text_groups(texts):
-                ids, n = enc.encode(texts[i:j])
+            docs_ = batch.column(0).to_pylist()
+            buf, off = utf8(batch.column(1))
+            for i, j in pieces(off):
+                ids, n = enc.encode_bytes(buf[off[i]:off[j]], off[i:j + 1] - off[i])
                 rows, at = [], 0
                 for d, size in zip(docs_[i:j], n.tolist()):
                     own = np.append(ids[at:at + size], np.uint32(end_id)).astype("<u4")
@@ -56,7 +59,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 10
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
                                                  ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:len(cols)])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, _PIECE + (", ids binary" if with_ids else ""))
+    return rows.mapInArrow(released(run), _PIECE + (", ids binary" if with_ids else ""))
 
 
 def knapsack(size: np.ndarray, value: np.ndarray, capacity: int) -> Counter:
@@ -219,7 +222,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, rows_per_part: int = 50_000) -
                 [*batch.columns[:len(names)], pa.array(t[:, 2] + turn), pa.array(t[:, 4] + spot * size)],
                 [*names, "sequence_id", "offset"])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.select(*names, "_slot").mapInArrow(place, schema + ", sequence_id long, offset long")
+    return ranked.select(*names, "_slot").mapInArrow(released(place), schema + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 1024, drops_space: bool = False,

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from choicelens.llm.staging import staged
+from choicelens.llm.workers import released
 
 # ASCII bytes outside A-Z and a-z separate terms; A-Z are lowered
 TABLE = bytes(b if b >= 128 or 97 <= b < 123 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
@@ -76,7 +77,7 @@ def kept_terms(docs: DataFrame, min_docs: int, text_col: str, lang_col: str, sou
     """
     text, lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (text_col, lang_col, source_col))
     found = docs.select(lang.alias("lang"), source.alias("source"), text.alias("text")).mapInArrow(
-        _counts(), "lang string, source string, term string, n long, docs long")
+        released(_counts()), "lang string, source string, term string, n long, docs long")
     groups = found.repartition("lang", "term").groupBy("lang", "source", "term").agg(
         F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     term = Window.partitionBy("lang", "term")
