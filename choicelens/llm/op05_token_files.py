@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from choicelens.llm.staging import shared_path, staged
-from choicelens.llm.tokens import encoder, text_groups
+from choicelens.llm.textcols import pieces, utf8
+from choicelens.llm.tokens import encoder
+from choicelens.llm.workers import released
 
 # bytes of the four numbers of each control byte
 LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.uint8) + 1
@@ -61,15 +63,20 @@ def decode_numbers(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def token_ids(docs: DataFrame, path: str, end_id: int, drops_space: bool, id_col: str = "doc_id",
               text_col: str = "text", wide: bool = False) -> DataFrame:
-    """(doc_id, crc, ids): little-endian ids with the end id, 16 bits each, or 32 if ``wide``."""
+    """(doc_id, crc, ids): little-endian ids with the end id, 16 bits each, or 32 if ``wide``.
+
+    An id that 16 bits can't hold is an error without ``wide``.
+    """
     kind = "<u4" if wide else "<u2"
 
     def run(batches):
         enc = encoder(path, drops_space)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i, j in text_groups(texts):
-                ids, n = enc.encode(texts[i:j])
+            buf, off = utf8(batch.column(1))
+            for i, j in pieces(off):
+                ids, n = enc.encode_bytes(buf[off[i]:off[j]], off[i:j + 1] - off[i])
+                if not wide and max(int(ids.max(initial=0)), end_id) > 0xFFFF:
+                    raise ValueError(f"{path}: an id needs more than 16 bits; set wide=True")
                 out, crc, at = [], [], 0
                 for size in n.tolist():
                     own = np.append(ids[at:at + size], np.uint32(end_id))
@@ -79,7 +86,7 @@ def token_ids(docs: DataFrame, path: str, end_id: int, drops_space: bool, id_col
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[i:j], pa.array(crc, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "crc", "ids"])
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-            .mapInArrow(run, "doc_id long, crc long, ids binary"))
+            .mapInArrow(released(run), "doc_id long, crc long, ids binary"))
 
 
 def ranking(ids: DataFrame, wide: bool = False) -> list[int]:
@@ -96,7 +103,7 @@ def ranking(ids: DataFrame, wide: bool = False) -> list[int]:
                 total[:len(n)] += n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
-    rows = ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    rows = ids.select("ids").mapInArrow(released(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return [r["id"] for r in sorted(rows.collect(), key=lambda r: (-r["n"], r["id"]))]
 
 
@@ -137,7 +144,7 @@ def write_token_files(docs: DataFrame, out: str, path: str, end_id: int = 1, dro
         if held:
             yield flush()
     (ids.repartitionByRange("doc_id", "crc").sortWithinPartitions("doc_id", "crc")
-     .select(F.spark_partition_id().alias("part"), "doc_id", "ids").mapInArrow(run, _BLOCK)
+     .select(F.spark_partition_id().alias("part"), "doc_id", "ids").mapInArrow(released(run), _BLOCK)
      .write.option("compression", "none").parquet(f"{out}/blocks"))
 
 
@@ -162,7 +169,7 @@ def read_token_files(spark: SparkSession, out: str) -> DataFrame:
                     [pa.array(b["doc_ids"], pa.int64()), pa.array(at + before[b["part"]] + b["first"]), pa.array(n),
                      pa.array([ids[i:i + k].tobytes() for i, k in zip(at.tolist(), n.tolist())], pa.binary())],
                     ["doc_id", "start", "n_tokens", "ids"])
-    return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.mapInArrow(released(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_files(docs: DataFrame, path: str, **options) -> DataFrame:

@@ -32,13 +32,12 @@ from pyspark.sql import types as T
 
 from choicelens.llm.carry import packed, unpacked
 from choicelens.llm.staging import staged
-from choicelens.llm.textcols import SPACE, mixed, pieces, utf8
+from choicelens.llm.textcols import SPACE, pieces, span_hashes, utf8
+from choicelens.llm.workers import released
 
 _NULL = -(1 << 63)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_CODES = np.random.default_rng(13).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
 _PROBES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 SEGMENT_BITS = 22
 _PARTIAL = "segment int, once binary, twice binary"
@@ -60,28 +59,6 @@ def lines(buf: np.ndarray, off: np.ndarray):
     return starts, ends, doc, np.arange(len(ends)) - first[doc]
 
 
-_POWERS: dict = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash's base and of its inverse modulo 2**64, for ``n`` places at least."""
-    if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            run = np.full(size, base, np.uint64)
-            run[0] = 1
-            _POWERS[name] = np.multiply.accumulate(run)
-    return _POWERS["up"], _POWERS["down"]
-
-
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span's bytes, from running sums over the buffer (equal bytes: equal hash)."""
-    up, down = _powers(len(buf) + 1)
-    run = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_CODES[buf] * up[:len(buf)], out=run[1:])
-    return mixed((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(_BASE))
-
-
 def line_keys(buf: np.ndarray, off: np.ndarray, min_chars: int):
     """Keys of ``min_chars`` code points or more: lowered bytes, starts, ends, document, line number, hash."""
     low = _LOWER[buf]
@@ -178,12 +155,12 @@ def twice_seen(docs: DataFrame, text_col: str = "text", min_chars: int = 10, bit
                max_bits: int = 1 << 31) -> tuple[int, bytes]:
     """Size (as a power of two) and bits of the filter of line keys that more than one row may have."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    n = docs.agg(F.sum(F.length(text) - F.length(F.translate(text, "\n", "")) + 1)).first()[0] or 0
+    n = docs.agg(F.sum(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
     log_bits = max(16, min(max(1, n * bits_per_line - 1).bit_length(), max_bits.bit_length() - 1))
     size = 1 << min(SEGMENT_BITS, log_bits)
     segments = (1 << log_bits) // size
     merge = _merged(log_bits)
-    partial = docs.select(text).mapInArrow(_partial_filters(log_bits, min_chars), _PARTIAL)
+    partial = docs.select(text).mapInArrow(released(_partial_filters(log_bits, min_chars)), _PARTIAL)
     # many tasks' bits of a segment are merged in parts first
     some = partial.repartition("segment", F.pmod(F.xxhash64("once"), F.lit(16))).mapInArrow(merge, _PARTIAL)
     whole = some.repartition(segments, "segment").mapInArrow(merge, _PARTIAL)
@@ -254,7 +231,7 @@ def repeated_lines(rows: DataFrame, min_chars: int, bits_per_line: int, max_bits
     log_bits, bits = twice_seen(rows, "_text", min_chars, bits_per_line, max_bits)
     twice = rows.sparkSession.sparkContext.broadcast(bits)
     found = staged(rows.select("_doc", "_k1", "_k2", "_text")
-                   .mapInArrow(_suspects(log_bits, twice, min_chars), _SUSPECT), "suspects")
+                   .mapInArrow(released(_suspects(log_bits, twice, min_chars)), _SUSPECT), "suspects")
     # the least id keeps the lines; a key of one document only was a false alarm, or repeats within it
     keeps = (found.groupBy("key").agg(F.min("first").alias("keeps"), F.max("last").alias("_last"))
              .where("keeps < _last").select("key", "keeps"))
@@ -279,4 +256,4 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     both = rows.join(gone, ["_doc", "_k1", "_k2"], "left").select("_in", "_text", "_lines")
     added = {"n_lines": T.LongType(), "n_dropped": T.LongType(), "kept_text": T.StringType()}
     schema = T.StructType([rows.schema["_in"], *(T.StructField(c, k) for c, k in added.items())])
-    return both.mapInArrow(_cut, schema).select(*unpacked(docs, *added, without=text_col))
+    return both.mapInArrow(released(_cut), schema).select(*unpacked(docs, *added, without=text_col))

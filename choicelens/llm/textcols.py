@@ -81,6 +81,28 @@ def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return mixed(h + size.astype(np.uint64) * _STEP)
 
 
+_POWERS: dict = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base and of its inverse modulo 2**64, for ``n`` places at least."""
+    if len(_POWERS.get("up", ())) < n:
+        size = 1 << max(16, int(n - 1).bit_length())
+        for name, base in (("up", int(_STEP)), ("down", pow(int(_STEP), -1, 1 << 64))):
+            run = np.full(size, base, np.uint64)
+            run[0] = 1
+            _POWERS[name] = np.multiply.accumulate(run)
+    return _POWERS["up"], _POWERS["down"]
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span's bytes, from running sums over the buffer (equal bytes: equal hash)."""
+    up, down = _powers(len(buf) + 1)
+    run = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_MIX[buf] * up[:len(buf)], out=run[1:])
+    return mixed((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _STEP)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Bit mixer: every output bit depends on every input bit."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from choicelens.llm.op11_divergence import source_divergence
 from choicelens.llm.op12_alignment import MEASURES, Aligner, align_tokenizers
-from choicelens.llm.op13_lines import drop_repeated_lines, line_keys, lines, span_hashes, twice_seen
+from choicelens.llm.op13_lines import drop_repeated_lines, line_keys, lines, twice_seen
 from choicelens.llm.queries import table, tokenizer_file
-from choicelens.llm.textcols import utf8
+from choicelens.llm.textcols import span_hashes, utf8
 from conftest import SF001
 from edge import SCHEMA, edge_docs, empty_docs, prose, texts
 
