@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next one's docs.
+
+Defined results: all stages but the last return the columns of ``documents``;
+further columns are dropped by the first. Null ids, sources and texts are kept as
+they are where a stage does not say otherwise; a null text is scored, hashed, cut
+and packed as an empty one. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,29 +26,50 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the additive quality model rejects."""
+    """Drop the documents that the additive quality model rejects (score below 0.3).
+
+    Repeated rows are judged alike. Without labels nothing tells the documents
+    apart, and all have one score.
+    """
     docs = docs.select(*COLUMNS)
     return keep_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of each SimHash component."""
+    """Keep the document of least id of each SimHash component.
+
+    Documents without words have one fingerprint and are one component; of
+    repeated rows of that id one stays; a null id stays only where its component
+    has no other.
+    """
     return keep_first(docs.select(*COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut 50-byte strings that an earlier document has; ``n_chars`` follows."""
+    """Cut 50-byte strings that a document of smaller id has; ``n_chars`` follows.
+
+    Documents cut to nothing stay, with an empty text; null texts become empty; a
+    null id is smaller than any other.
+    """
     cut = remove_repeats(docs.select(*COLUMNS), as_text=True).withColumnRenamed("kept_text", "text")
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat documents to square-root source weights, in a global shuffle."""
+    """Repeat documents to square-root source weights, in a global shuffle.
+
+    A null source is a source of its own; copies keep their document's id, so the
+    order of rows alone tells them apart.
+    """
     return in_shuffled_order(mix(docs.select(*COLUMNS), alpha=0.5, seed=17)).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the tokens of all documents into sequences of at most 1024."""
+    """Pack the tokens of all documents into sequences of at most 1024.
+
+    Every copy is a document of its own, an empty text the end id alone. Which
+    pieces share a sequence follows from their lengths, not from the shuffled order.
+    """
     return pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
