@@ -46,11 +46,56 @@ def holt_fit(y: Column, trend: str = "add", grid=GRID) -> Column:
     return F.array_min(F.flatten(F.transform(values, lambda a: F.transform(values, lambda b: fit(a, b)))))
 
 
+def holt_refine(y: Column, start: Column, trend: str = "add", rounds: int = 80, shrink: float = 0.9) -> Column:
+    """``start`` (a ``holt_fit``) improved over α, β, first level and first trend.
+
+    A bounded descent as one array fold: a round tries a step either way in each
+    of the four parameters (α and β inside 0 to 1) and takes the least squared
+    error, its own point included, so the error never rises; a round without a
+    gain makes the step smaller. Same struct, with first level and trend.
+    """
+    mul = trend == "mul"
+    rest = F.slice(y, 2, F.size(y) - 1)
+    names = ("sse", "a", "b", "l0", "t0", "level", "trend")
+
+    def fit(a, b, l0, t0):
+        begin = F.struct(F.lit(0.0).alias("sse"), l0.alias("level"), t0.alias("trend"))
+
+        def step(s, v):
+            pred = s["level"] * s["trend"] if mul else s["level"] + s["trend"]
+            level = a * v + (1 - a) * pred
+            new = b * (level / s["level"] if mul else level - s["level"]) + (1 - b) * s["trend"]
+            return F.struct((s["sse"] + (v - pred) * (v - pred)).alias("sse"), level.alias("level"), new.alias("trend"))
+        return F.aggregate(rest, begin, step, lambda s: F.struct(*(
+            c.alias(n) for n, c in zip(names, (s["sse"], a, b, l0, t0, s["level"], s["trend"])))))
+    first, second = F.get(y, F.lit(0)), F.get(y, F.lit(1))
+    # a step in the level or trend is measured by the series' mean size
+    size = F.aggregate(F.transform(y, lambda v: F.abs(v)), F.lit(0.0), lambda p, q: p + q) / F.size(y)
+    unit = F.greatest(size, F.lit(EPS))
+    point = fit(start["a"], start["b"], first, second / first if mul else second - first)
+    moves = F.array(*(F.struct(*(F.lit(float(x)).alias(n) for n, x in zip("abls", m)))
+                      for m in [[sign * (i == k) for i in range(4)] for k in range(4) for sign in (-1, 1)]))
+
+    def descend(state, _):
+        s, h = state["s"], state["h"]
+
+        def moved(m):
+            low = F.lit(EPS) if mul else F.lit(-1e300)
+            return fit(F.greatest(F.lit(0.0), F.least(F.lit(1.0), s["a"] + m["a"] * h)),
+                       F.greatest(F.lit(0.0), F.least(F.lit(1.0), s["b"] + m["b"] * h)),
+                       F.greatest(low, s["l0"] + m["l"] * h * unit), s["t0"] + m["s"] * h * (F.lit(1.0) if mul else unit))
+        best = F.array_min(F.concat(F.array(s), F.transform(moves, moved)))
+        return F.struct(best.alias("s"), F.when(best["sse"] < s["sse"], h).otherwise(h * F.lit(shrink)).alias("h"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(int(rounds))), F.struct(point.alias("s"), F.lit(0.05).alias("h")),
+                       descend, lambda state: state["s"])
+
+
 def holt_forecast(df: DataFrame, keys, time_col: str, value_col: str, horizon: int = 5,
-                  trend: str = "add") -> DataFrame:
+                  trend: str = "add", refine_rounds: int = 0) -> DataFrame:
     """Forecast ``horizon`` periods per series (O-M5); keys may be empty.
 
-    A series of one value is carried forward; null values count as gaps.
+    A series of one value is carried forward; null values count as gaps. With
+    ``refine_rounds`` the grid's best fit is improved by ``holt_refine``.
     """
     keys = list(keys)
     yearly = (df.groupBy(*keys, F.col(time_col).cast("int").alias("t"))
@@ -60,6 +105,8 @@ def holt_forecast(df: DataFrame, keys, time_col: str, value_col: str, horizon: i
     series = yearly.groupBy(*keys).agg(points.alias("_p"), F.max("t").alias("_last")).where(F.size("_p") > 0)
     series = series.withColumn("_y", _gapless(F.col("_p")))
     series = series.withColumn("_f", F.when(F.size("_y") > 1, holt_fit(F.col("_y"), trend)))
+    if refine_rounds:
+        series = series.withColumn("_f", F.when(F.size("_y") > 1, holt_refine(F.col("_y"), F.col("_f"), trend, refine_rounds)))
     h = F.col("_h").cast("double")
     ahead = F.col("_f.level") * F.pow("_f.trend", h) if trend == "mul" else F.col("_f.level") + h * F.col("_f.trend")
     return (series.withColumn("_h", F.explode(F.sequence(F.lit(1), F.lit(int(horizon)))))

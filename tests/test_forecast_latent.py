@@ -38,6 +38,36 @@ def test_holt_equals_the_recursion(spark):
     assert FC.holt_forecast(df.where("k = 'none'"), ["k"], "year", "v").count() == 0
 
 
+def _sse(y, a, b, level, tr, trend):
+    sse = 0.0
+    for v in y[1:]:
+        pred = level * tr if trend == "mul" else level + tr
+        sse += (v - pred) ** 2
+        new = a * v + (1 - a) * pred
+        tr = b * (new / level if trend == "mul" else new - level) + (1 - b) * tr
+        level = new
+    return sse
+
+
+def test_refined_holt_is_below_any_grid(spark):
+    """Never above the grid's error, and below a brute force over a fine grid with fixed start values."""
+    series = {"bent": [5.0, 9, 4, 30, 22, 25, 31, 12], "line": [10.0, 12, 14, 16, 18], "two": [3.0, 4.0],
+              "share": [0.4, 0.38, 0.41, 0.3, 0.28, 0.2, 0.21]}
+    df = spark.createDataFrame([(k, [float(v) for v in y]) for k, y in series.items()], "k string, y array<double>")
+    for trend in ("add", "mul"):
+        fits = df.withColumn("g", FC.holt_fit(F.col("y"), trend)).withColumn("r", FC.holt_refine(F.col("y"), F.col("g"), trend, 120))
+        for r in fits.collect():
+            y, p = series[r["k"]], r["r"]
+            start = y[1] / y[0] if trend == "mul" else y[1] - y[0]
+            fine = min(_sse(y, a / 100, b / 100, y[0], start, trend) for a in range(101) for b in range(101))
+            assert p["sse"] <= r["g"]["sse"] + 1e-12 and p["sse"] <= fine * (1 + 1e-6) + 1e-12
+            assert abs(_sse(y, p["a"], p["b"], p["l0"], p["t0"], trend) - p["sse"]) <= 1e-9 * max(1.0, p["sse"])
+            assert 0 <= p["a"] <= 1 and 0 <= p["b"] <= 1
+    long = spark.createDataFrame([(k, 2000 + i, float(v)) for k, y in series.items() for i, v in enumerate(y)], "k string, year int, v double")
+    ahead = FC.holt_forecast(long, ["k"], "year", "v", 2, refine_rounds=60)
+    assert {(r["k"], r["year"]): round(r["v"], 6) for r in ahead.where("k = 'line'").collect()} == {("line", 2005): 20.0, ("line", 2006): 22.0}
+
+
 def test_holt_forecast_groups_and_gap(spark):
     df = spark.createDataFrame(
         [("a", y, 100.0 + 10 * (y - 2010)) for y in (2010, 2011, 2013, 2014)]   # 2012 missing
@@ -111,7 +141,7 @@ def test_fit_stops_early_and_keeps_the_best(spark, tmp_dir):
 
 
 def test_fit_is_the_same_for_any_tasks_and_for_repeated_rows(spark):
-    """Against a plain loop over all rows: one and four tasks, jobs of few epochs, rows repeated."""
+    """Against a plain loop over all rows: one and eight tasks, rows repeated."""
     df = _feature_frame(spark, 90, seed=11)
     cols = [f"s_{c}" for c in L.FEATURES]
     x = L.scale(df, L.scaler_stats(df)).withColumn("split", F.when(F.col("id") % 5 == 0, "val").otherwise("train"))
@@ -127,8 +157,8 @@ def test_fit_is_the_same_for_any_tasks_and_for_repeated_rows(spark):
         loss, grads = L.loss_and_grad(params, data[train])
         err = L._forward(params, data[~train])[0][-1] - data[~train]
         state.step(np.concatenate([[loss, train.sum(), np.sum(err * err), (~train).sum()], L.flatten(grads)]), 5, 30, rule)
-    for tasks, span in ((1, 50), (4, 7)):
-        got, hist = L.autoencoder_fit(many, cols, epochs=30, lr=1e-2, split_col="split", tasks=tasks, epochs_per_job=span)
+    for tasks in (1, 8):
+        got, hist = L.autoencoder_fit(many, cols, epochs=30, lr=1e-2, split_col="split", tasks=tasks)
         assert len(hist) == len(state.history) == 30
         assert np.allclose(L.flatten(got), state.best_vec, rtol=0, atol=1e-9)
         assert np.allclose(hist, state.history, rtol=0, atol=1e-9)
@@ -137,15 +167,15 @@ def test_fit_is_the_same_for_any_tasks_and_for_repeated_rows(spark):
 def test_fit_resumes_from_its_last_state(spark, tmp_dir):
     df = _feature_frame(spark, 60, seed=12)
     x = L.scale(df, L.scaler_stats(df)).select(*[f"s_{c}" for c in L.FEATURES])
-    whole, hist = L.autoencoder_fit(x, x.columns, epochs=12, lr=1e-2, tasks=2, epochs_per_job=5)
+    whole, hist = L.autoencoder_fit(x, x.columns, epochs=12, lr=1e-2, tasks=2, save_every=5)
     path = f"{tmp_dir}/states"
-    L.autoencoder_fit(x, x.columns, epochs=12, lr=1e-2, tasks=2, epochs_per_job=5, state_path=path)
+    L.autoencoder_fit(x, x.columns, epochs=12, lr=1e-2, tasks=2, save_every=5, state_path=path)
     states = sorted(int(p.split("=")[1]) for p in os.listdir(path) if p.startswith("epoch="))
     assert states == [6, 11, 13]
     # what a driver that died in the last job leaves behind
     early = spark.read.parquet(f"{path}/epoch=6")
     early.write.parquet(f"{tmp_dir}/left/epoch=6")
-    got, curve = L.autoencoder_fit(x, x.columns, epochs=12, lr=1e-2, tasks=2, epochs_per_job=5, state_path=f"{tmp_dir}/left")
+    got, curve = L.autoencoder_fit(x, x.columns, epochs=12, lr=1e-2, tasks=2, save_every=5, state_path=f"{tmp_dir}/left")
     assert np.array_equal(L.flatten(got), L.flatten(whole)) and curve == hist
 
 
