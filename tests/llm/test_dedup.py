@@ -4,8 +4,10 @@ import hashlib
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from choicelens.llm import op03_simhash as sim
 from choicelens.llm.op10_substrings import contexts, previous_factors, remove_repeats
@@ -155,3 +157,15 @@ def test_previous_factors():
     buf = np.frombuffer(b"abcdefghijabcdefghijabcdefghix", np.uint8)
     at, doc = np.array([0, 10, 20, 1, 11]), np.array([3, 1, 0, 5, 5])
     assert previous_factors(buf, at, doc, 10).tolist() == [True, False, False, False, False]
+
+
+def test_rows_of_one_id_keep_their_own_text(spark):
+    """Many short texts without an id, or of one: 32 bits would confuse some of 200,000."""
+    rng = np.random.default_rng(4)
+    letters = rng.integers(97, 123, (200_000, 14)).astype(np.uint8)
+    texts = [bytes(x).decode() for x in letters]
+    df = spark.createDataFrame(pd.DataFrame({"doc_id": [None] * 100_000 + [7.0] * 100_000, "text": texts}))
+    df = df.select(F.when(~F.isnan("doc_id"), F.col("doc_id").cast("long")).alias("doc_id"), "text").repartition(4)
+    got = remove_repeats(df, as_text=True)
+    assert got.select(F.count(F.lit(1)), F.sum(F.xxhash64("doc_id", "kept_text") % 1_000_003)).first() == \
+        df.select(F.count(F.lit(1)), F.sum(F.xxhash64("doc_id", "text") % 1_000_003)).first()

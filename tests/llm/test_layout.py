@@ -304,3 +304,11 @@ def test_topk_of_large_components(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     got = topk_inner_product(df, F.col("id") % 50 == 0, candidate_block=50, query_block=3)
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_ids_beyond_16_bits_are_an_error(spark):
+    docs = spark.createDataFrame([(1, "a word")], "doc_id long, text string")
+    path = tokenizer_file("word_bpe_49k.json")
+    assert tf.token_ids(docs, path, 70_000, True, wide=True).count() == 1
+    with pytest.raises(Exception, match="16 bits"):
+        tf.token_ids(docs, path, 70_000, True).collect()
