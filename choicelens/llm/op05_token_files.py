@@ -86,7 +86,7 @@ def token_ids(docs: DataFrame, path: str, end_id: int, drops_space: bool, id_col
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[i:j], pa.array(crc, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "crc", "ids"])
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-            .mapInArrow(released(run), "doc_id long, crc long, ids binary"))
+            .mapInArrow(released(run, ("encoders",)), "doc_id long, crc long, ids binary"))
 
 
 def ranking(ids: DataFrame, wide: bool = False) -> list[int]:

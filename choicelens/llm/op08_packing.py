@@ -59,7 +59,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 10
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
                                                  ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:len(cols)])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(released(run), _PIECE + (", ids binary" if with_ids else ""))
+    return rows.mapInArrow(released(run, ("encoders",)), _PIECE + (", ids binary" if with_ids else ""))
 
 
 def knapsack(size: np.ndarray, value: np.ndarray, capacity: int) -> Counter:

@@ -34,7 +34,7 @@ from choicelens.llm.carry import packed, unpacked
 from choicelens.llm.staging import staged
 from choicelens.llm.textcols import utf8
 from choicelens.llm.tokens import encoder, text_groups
-from choicelens.llm.workers import released
+from choicelens.llm.workers import CACHES, released
 
 MEASURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 _ALIGNED = ("key binary, copies long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
@@ -144,7 +144,7 @@ class Aligner:
                 [times[i:j].tobytes() for i, j in zip(cut, cut[1:])])
 
 
-_ALIGNERS: dict = {}
+_ALIGNERS = CACHES.setdefault("aligners", {})
 
 
 def _aligner(byte_path: str, piece_path: str) -> Aligner:
@@ -168,7 +168,7 @@ def aligned_texts(docs: DataFrame, byte_path: str, piece_path: str, text_col: st
                     [c.split()[0] for c in _ALIGNED.split(", ")])
     text = F.col(text_col).cast("string")
     return (docs.select(text.alias("text")).where("text != ''").groupBy("text").agg(F.count(F.lit(1)).alias("copies"))
-            .select(F.unhex(F.sha2("text", 256)).alias("key"), "copies", "text").mapInArrow(released(run), _ALIGNED))
+            .select(F.unhex(F.sha2("text", 256)).alias("key"), "copies", "text").mapInArrow(released(run, ("encoders", "aligners")), _ALIGNED))
 
 
 def pair_counts(aligned: DataFrame, width: int, kind: str = "<u4", flush: int = 2_000_000) -> DataFrame:

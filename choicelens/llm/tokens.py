@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 
 from choicelens.llm.textcols import pieces, segments, span_hashes, utf8
+from choicelens.llm.workers import CACHES
 
 # FIXED VALUES: a space, tab or line break always ends a piece; other white space is not relied on
 _BREAK = np.zeros(256, bool)
@@ -257,7 +258,7 @@ def text_groups(texts: list[str | None], limit: int = 1 << 20):
         i = j
 
 
-_ENCODERS: dict = {}
+_ENCODERS = CACHES.setdefault("encoders", {})
 
 
 def encoder(path: str, drops_space: bool, plain_specials: bool = False) -> ChunkEncoder:

@@ -7,6 +7,16 @@ import functools
 
 import pyarrow as pa
 
+# what a worker process keeps for later tasks, by name
+CACHES: dict[str, dict] = {}
+
+
+def forget(keeps=()) -> None:
+    """Drop what earlier tasks kept, but the caches of these names."""
+    for name, cache in CACHES.items():
+        if name not in keeps:
+            cache.clear()
+
 
 def release() -> None:
     """Give freed memory back to the system (where the C library can)."""
@@ -17,10 +27,15 @@ def release() -> None:
         pass
 
 
-def released(run):
-    """``run`` of a mapInArrow, giving memory back when its task ends: workers live on with what they hold."""
+def released(run, keeps=()):
+    """``run`` of a mapInArrow with the memory of its worker looked after.
+
+    Workers live on from stage to stage: what earlier tasks kept goes when a task
+    begins (but the caches named in ``keeps``), freed memory goes back when it ends.
+    """
     @functools.wraps(run)
     def wrapped(batches):
+        forget(keeps)
         try:
             yield from run(batches)
         finally:
