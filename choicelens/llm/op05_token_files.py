@@ -65,46 +65,50 @@ def token_ids(docs: DataFrame, path: str, end_id: int, drops_space: bool, id_col
               text_col: str = "text", wide: bool = False) -> DataFrame:
     """(doc_id, crc, ids): little-endian ids with the end id, 16 bits each, or 32 if ``wide``.
 
-    An id that 16 bits can't hold is an error without ``wide``.
+    An id that 16 bits can't hold is an error without ``wide``. Each task adds a
+    row of its own with its ids' counts (``kinds``, ``counts``; null in documents).
     """
     kind = "<u4" if wide else "<u2"
+    none = [pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary())]
 
     def run(batches):
         enc = encoder(path, drops_space)
+        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
             buf, off = utf8(batch.column(1))
             for i, j in pieces(off):
                 ids, n = enc.encode_bytes(buf[off[i]:off[j]], off[i:j + 1] - off[i])
                 if not wide and max(int(ids.max(initial=0)), end_id) > 0xFFFF:
                     raise ValueError(f"{path}: an id needs more than 16 bits; set wide=True")
+                n_ids = np.bincount(ids)
+                if len(n_ids) > len(total):
+                    total = np.concatenate([total, np.zeros(len(n_ids) - len(total), np.int64)])
+                total[:len(n_ids)] += n_ids
+                if end_id >= len(total):
+                    total = np.concatenate([total, np.zeros(end_id + 1 - len(total), np.int64)])
+                total[end_id] += j - i
                 out, crc, at = [], [], 0
                 for size in n.tolist():
                     own = np.append(ids[at:at + size], np.uint32(end_id))
                     crc.append(zlib.crc32(own.astype("<u4").tobytes()))
                     out.append(own.astype(kind).tobytes())
                     at += size
+                empty = pa.nulls(j - i, pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i:j], pa.array(crc, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "crc", "ids"])
+                    [batch.column(0)[i:j], pa.array(crc, pa.int64()), pa.array(out, pa.binary()), empty, empty], names)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [*none, pa.array([at], pa.list_(pa.int64())), pa.array([total[at]], pa.list_(pa.int64()))], names)
+    names = ["doc_id", "crc", "ids", "kinds", "counts"]
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-            .mapInArrow(released(run, ("encoders",)), "doc_id long, crc long, ids binary"))
+            .mapInArrow(released(run, ("encoders",)), "doc_id long, crc long, ids binary, kinds array<bigint>, counts array<bigint>"))
 
 
-def ranking(ids: DataFrame, wide: bool = False) -> list[int]:
+def ranking(ids: DataFrame) -> list[int]:
     """Token ids by falling count over all documents, ties to the smaller id (one entry an id of the vocabulary)."""
-    kind = "<u4" if wide else "<u2"
-
-    def run(batches):
-        total = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                n = np.bincount(np.frombuffer(x, kind))
-                if len(n) > len(total):
-                    total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
-                total[:len(n)] += n
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
-    rows = ids.select("ids").mapInArrow(released(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    return [r["id"] for r in sorted(rows.collect(), key=lambda r: (-r["n"], r["id"]))]
+    rows = (ids.where("kinds IS NOT NULL").select(F.explode(F.arrays_zip("kinds", "counts")).alias("c"))
+            .groupBy("c.kinds").agg(F.sum("c.counts").alias("n")))
+    return [r["kinds"] for r in sorted(rows.collect(), key=lambda r: (-r["n"], r["kinds"]))]
 
 
 _BLOCK = ("part int, block int, first long, n_tokens long, doc_ids array<bigint>, doc_tokens array<bigint>, "
@@ -117,7 +121,8 @@ def write_token_files(docs: DataFrame, out: str, path: str, end_id: int = 1, dro
     """Write the block data set ``out/blocks`` and the ranking ``out/ranking``."""
     spark, kind = docs.sparkSession, "<u4" if wide else "<u2"
     ids = staged(token_ids(docs, path, end_id, drops_space, id_col, text_col, wide), "token-ids")
-    order = ranking(ids, wide)
+    order = ranking(ids)
+    ids = ids.where("kinds IS NULL").select("doc_id", "crc", "ids")
     spark.createDataFrame([(r, i) for r, i in enumerate(order)], "rank long, id long").coalesce(1).write.parquet(f"{out}/ranking")
     rank = np.zeros(max(order, default=0) + 1, np.uint32)
     rank[order] = np.arange(len(order))
