@@ -12,12 +12,14 @@ smaller id. A suffix array over all bytes is not needed to find these strings:
 3. Where different contexts share an anchor, the bytes of the contexts of
    smallest id are fetched from the texts and dealt again.
 4. Their windows are put in suffix order (to the depth of the window). In each
-   run of common prefix 50 or more, a suffix with a smaller previous or next
-   id has a longest previous factor of 50 or more: its window is removed.
+   run of common prefix 50, a window goes if the run's least id is below its own:
+   just then the previous or next smaller id in that order exists, so a longest
+   previous factor would reach 50. The array of these factors is not built.
 5. Spans meet the texts again, are united and cut out.
 
 An anchor met by very many different contexts is split: its contexts become
-single windows dealt by their own bytes.
+single windows dealt by their own bytes. Contexts of step 2 count as equal by 88
+bits of two hashes, their bytes are not compared; windows of step 4 are.
 
 Defined results: a null text is empty; texts below 50 bytes lose nothing; a null
 id counts as smaller than any other; rows of one id never remove each other's
@@ -305,8 +307,8 @@ def previous_factors(buf: np.ndarray, at: np.ndarray, doc: np.ndarray, window: i
     """Which windows start in a smaller document too.
 
     Windows are put in suffix order (prefixes of ``window`` bytes). Within a run
-    of common prefix ``window``, the smaller of the nearest smaller ids before
-    and after a suffix is below its own id just if the run's least id is.
+    of common prefix ``window``, a smaller id stands before or after a suffix just
+    if the run's least id is below its own, which one minimum a run tells.
     """
     if not len(at):
         return np.zeros(0, bool)
