@@ -158,10 +158,12 @@ def test_fit_is_the_same_for_any_tasks_and_for_repeated_rows(spark):
         err = L._forward(params, data[~train])[0][-1] - data[~train]
         state.step(np.concatenate([[loss, train.sum(), np.sum(err * err), (~train).sum()], L.flatten(grads)]), 5, 30, rule)
     for tasks in (1, 8):
-        got, hist = L.autoencoder_fit(many, cols, epochs=30, lr=1e-2, split_col="split", tasks=tasks)
+        got, hist = L.autoencoder_fit(many, cols, epochs=30, lr=1e-2, split_col="split", tasks=tasks, dtype="float64")
         assert len(hist) == len(state.history) == 30
         assert np.allclose(L.flatten(got), state.best_vec, rtol=0, atol=1e-9)
         assert np.allclose(hist, state.history, rtol=0, atol=1e-9)
+    single, hist = L.autoencoder_fit(many, cols, epochs=30, lr=1e-2, split_col="split")
+    assert np.allclose(hist, state.history, rtol=1e-3)
 
 
 def test_fit_resumes_from_its_last_state(spark, tmp_dir):
