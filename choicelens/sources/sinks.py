@@ -27,3 +27,16 @@ def write_parquet(df: DataFrame, path: str, partition_by=None, compression: str
 def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "overwrite") -> None:
     """CSV with header; one file per task (no single-task coalesce)."""
     df.write.mode(mode).option("header", header).csv(path)
+
+
+def write_bucketed(df: DataFrame, table: str, keys, buckets: int, mode: str = "overwrite") -> None:
+    """Table laid out by the hash of ``keys``: one sorted file a bucket.
+
+    Joins and aggregates on the keys of tables with the same number of buckets
+    read them in place, without a shuffle. Rows are dealt to the buckets first, so
+    the number of files does not grow with that of tasks; a hot key is one
+    bucket, so choose keys without any (an order, not a country).
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    (df.repartition(buckets, *keys).write.mode(mode).format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+     .saveAsTable(table))

@@ -16,6 +16,7 @@ def spark():
     from choicelens.session import get_spark
     s = get_spark(app="choicelens-tests", master="local[4]", shuffle_partitions=8,
                   extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="cl-test-ckpt-"),
+                         "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="cl-test-warehouse-"),
                          "spark.driver.memory": "6g"})
     yield s
     s.stop()

@@ -98,3 +98,25 @@ def test_no_query_plans_a_cross_join(spark):
         if hits:
             bad[name] = hits
     assert bad == {}
+
+
+def test_bucketed_facts_join_without_a_shuffle(spark):
+    """The line fact from bucketed tables: no exchange on the order key, the same rows."""
+    from choicelens.plans import bindings as B
+    want = rows(B.sales_lines(spark, SF001, geo=False))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    B.bucket_facts(spark, SF001, "by_order_", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plain = B.sales_lines(spark, SF001)._jdf.queryExecution().executedPlan().toString()
+        spark.conf.set(B.BUCKETED_CONF, "by_order_")
+        lines = B.sales_lines(spark, SF001)
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(l_orderkey" in plain and "hashpartitioning(o_orderkey" in plain
+        assert "hashpartitioning(l_orderkey" not in plan and "hashpartitioning(o_orderkey" not in plan
+        assert rows(lines) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.unset(B.BUCKETED_CONF)
+        for name in ("lineitem", "orders"):
+            spark.sql(f"DROP TABLE IF EXISTS by_order_{name}")
