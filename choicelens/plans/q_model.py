@@ -344,11 +344,11 @@ def q_volume_top_makers(spark, d):
 
 @register("latent_scatter_points", with_sales("""
 SELECT year, energy, manufacturer, commercial_name, registrations, z_1, z_2 FROM sales
-WHERE year = 1998 AND geo = 5
-""", geo=True))
+WHERE year = 1998
+"""))
 def q_latent_scatter_points(spark, d):
-    """All points of one region and year with their hover fields."""
-    return payloads.scatter_points(sales_lines(spark, d, geo=True, years=(1996, 2000)), 1998, (1996, 2000), 5)
+    """All points of a year, of every region, with their hover fields."""
+    return payloads.scatter_points(sales_lines(spark, d, years=(1996, 2000)), 1998, (1996, 2000), "EU27_2020")
 
 
 @register("latent_scatter_sample", with_sales("""

@@ -36,3 +36,49 @@ def test_encoding_after_a_fit_reads_the_fact_once(spark, monkeypatch):
     plan = _optimised(q_model.q_latent_mlp(spark, SF001))
     assert plan.count("l_extendedprice#") > 0
     assert sum("Relation" in line and "l_orderkey#" in line for line in plan.splitlines()) == 1
+
+
+def test_scatter_points_of_every_region(spark):
+    """The points of the year are not cut to one region."""
+    from choicelens.plans import q_model
+    from choicelens.plans.bindings import sales_lines
+    want = sales_lines(spark, SF001).where("year = 1998").select("manufacturer", "commercial_name", "registrations", "z_1", "z_2")
+    got = q_model.q_latent_scatter_points(spark, SF001)
+    assert got.count() == want.count() > 50
+    assert got.select(*want.columns).exceptAll(want).isEmpty()
+
+
+def test_summary_of_measures_joins_once(spark):
+    from choicelens.plans import q_aggs
+    assert "l_orderkey" not in _optimised(q_aggs.q_numeric_summary_measures(spark, SF001))
+
+
+def test_quantiles_do_not_depend_on_the_sketch(spark, monkeypatch):
+    """Marks that miss the ranks only cost another pass."""
+    from pyspark.sql import functions as F
+
+    from choicelens.operators import selection
+    sketches = selection._sketches
+    values = [float(v) for v in range(3_001)] + [float("inf"), float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    monkeypatch.setattr(selection, "_sketches", lambda df, cols, keys: sketches(df, cols, keys).withColumn(
+        "_g0", F.col("_g0").withField("marks", F.transform("_g0.marks", lambda m: m + 500))))
+    got = {r["prob"]: r["value"] for r in selection.exact_quantiles(df, ["x"], [0.25, 0.5, 1.0]).collect()}
+    assert got[0.25] == 750.5 and got[0.5] == 1501.0 and got[1.0] != got[1.0]
+
+
+def test_shuffles_of_a_large_fact_have_more_tasks(spark, monkeypatch):
+    """Partitions follow the rows, for the join and for the configurations of each group."""
+    from choicelens.plans import bindings, q_choice
+    assert bindings.fact_parts(spark, SF001) is None
+    key = lambda r: str(tuple(r))
+    small = [q(spark, SF001) for q in (q_choice.q_baseline_by_country, q_choice.q_baseline_any_range)]
+    small = [sorted(map(key, df.collect())) for df in small]
+    monkeypatch.setattr(bindings, "ROWS_A_TASK", 200)
+    parts = bindings.fact_parts(spark, SF001)
+    assert parts > spark.sparkContext.defaultParallelism
+    by_country = q_choice.q_baseline_by_country(spark, SF001)
+    plan = by_country._jdf.queryExecution().toString()
+    assert f"hashpartitioning(l_orderkey#" in plan and plan.count(f", {parts}), REPARTITION_BY_NUM") >= 3
+    assert sorted(map(key, by_country.collect())) == small[0]
+    assert sorted(map(key, q_choice.q_baseline_any_range(spark, SF001).collect())) == small[1]
