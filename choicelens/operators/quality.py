@@ -99,7 +99,7 @@ def profile(df: DataFrame, top_n: int = 3, digits: int = 6, quantiles: str | Non
     std and, unless ``quantiles`` is None, p25/p50/p75. ``"approx"`` uses a
     bounded-memory sketch (``percentile_approx``, relative rank error
     1/accuracy); ``"exact"`` selects the values digit by digit
-    (``selection.exact_quantiles``: four more passes, bounded memory). String columns add the ``top_n``
+    (``selection.exact_quantiles``: two more passes, bounded memory). String columns add the ``top_n``
     most frequent values ("top1".., ``text`` = value, ``value`` = count,
     ties by value). Two jobs: one aggregate for all scalar metrics, one
     grouped count for the top values. Exact distinct counts of N columns

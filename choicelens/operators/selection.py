@@ -1,91 +1,116 @@
-"""Exact order statistics by radix selection (O-A16, O-M8).
-
-A double has an image among the signed 64-bit numbers that keeps its order. The
-value of a rank is found digit by digit: each of four rounds counts the rows of
-the digits (16 bits) below the prefixes found so far, a running sum over at most
-65,536 counts tells the digit that holds the rank, and the next round looks below
-it. No task ever holds the values of a column, however many differ or tie; a
-round moves partial counts only.
+"""Exact order statistics from two passes of bounded state (O-A16, O-M8).
+
+The first pass sketches each column (``percentile_approx``) at evenly spaced
+marks, so the marks around a rank bracket its value. The second counts the rows
+below the bracket and, by value, those within it (some thousandths of the
+column); a running sum over these counts tells the value of the rank. Whether
+it lies in the bracket is checked by the counts, so the result is exact
+whatever the sketch gave: brackets that miss it are widened, at last to the
+whole column. No task holds the values of a column, and the second pass moves
+partial counts only.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from choicelens.session import stage
 
-_DIGIT = 16
-_ROUNDS = 64 // _DIGIT
+_MARKS = 2048        # marks of the sketch
+_ACCURACY = 10_000   # its ranks are off by a 10,000th of the rows at most, less than a mark
+_REACH = (1, 64, _MARKS + 1)   # marks on both sides of a rank, the last: the whole column
 
 
-def _flip(bits: np.ndarray) -> np.ndarray:
-    """Between the bits of doubles and signed numbers of the same order (its own inverse)."""
-    return bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
+def _same(a: str, b: str, names) -> Column:
+    """Equality of the named columns of two aliased frames, nulls equal."""
+    return reduce(lambda p, q: p & q, (F.col(f"{a}.`{n}`").eqNullSafe(F.col(f"{b}.`{n}`")) for n in names))
 
 
-@F.pandas_udf(T.LongType())
-def order_image(x: pd.Series) -> pd.Series:
-    """The 64-bit image of non-null doubles (-0.0 as 0.0, NaN above all)."""
-    return pd.Series(_flip((x.to_numpy(np.float64) + 0.0).view(np.int64)))
+def _value(name: str) -> Column:
+    return F.col(f"`{name}`").cast("double") + F.lit(0.0)   # -0.0 as 0.0
 
 
-@F.pandas_udf(T.DoubleType())
-def of_image(b: pd.Series) -> pd.Series:
-    return pd.Series(_flip(b.to_numpy(np.int64)).view(np.float64))
+def _sketches(df: DataFrame, cols, keys) -> DataFrame:
+    """A row a group: for the n-th column ``_g<n>`` (total, low: values of -inf, plain: finite values, marks)."""
+    at = F.expr(f"array({', '.join(f'{i / _MARKS}D' for i in range(_MARKS + 1))})")
+    inf = F.lit(float("inf"))
+    aggs = []
+    for n, c in enumerate(cols):
+        x = _value(c)
+        plain = F.when((x > -inf) & (x < inf), x)   # NaN is above all
+        aggs.append(F.struct(F.count(x).alias("total"), F.count_if(x == -inf).alias("low"), F.count(plain).alias("plain"),
+                             F.percentile_approx(plain, at, _ACCURACY).alias("marks")).alias(f"_g{n}"))
+    return df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(*aggs)
 
 
-def _same(a: str, b: str, names) -> Column:
-    """Equality of the named columns of two aliased frames, nulls equal."""
-    return reduce(lambda p, q: p & q, (F.col(f"{a}.`{n}`").eqNullSafe(F.col(f"{b}.`{n}`")) for n in names))
+def _place(g: str, prob: float) -> Column:
+    return F.lit(float(prob)) * (F.col(f"{g}.total") - 1)
+
+
+def _bracket(g: str, prob: float, reach: int) -> Column:
+    """struct(lo, hi) around the two ranks of a quantile, in the order -inf, finite, inf, NaN."""
+    h, inf = _place(g, prob), F.lit(float("inf"))
+    def mark(rank, low, up):
+        share = (rank - F.col(f"{g}.low")) / F.col(f"{g}.plain") * _MARKS
+        at = F.ceil(share) + reach if up else F.floor(share) - reach
+        inside = F.when((at >= 0) & (at <= _MARKS), F.get(f"{g}.marks", at.cast("int"))).otherwise(
+            F.lit(float("nan")) if up else -inf)
+        return F.when(rank < F.col(f"{g}.low"), -inf).when(rank >= F.col(f"{g}.low") + F.col(f"{g}.plain"), low).otherwise(inside)
+    return F.struct(mark(F.floor(h), inf, False).alias("lo"), mark(F.ceil(h), F.lit(float("nan")), True).alias("hi"))
 
 
 def exact_quantiles(df: DataFrame, cols, probs, keys=()) -> DataFrame:
     """(*keys, column_name, prob, value): interpolated quantiles of every group and column.
 
     Nulls are left out; a group without a value has no row. Null keys are a group.
+    ``df`` is read twice: stage it first if it is more than a scan.
     """
-    at = [*keys, "column_name"]
-    values = (df.select(*[F.col(f"`{k}`") for k in keys], F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("double").alias("x")) for c in cols])).alias("_v"))
-        .select(*[F.col(f"`{k}`") for k in keys], "_v.column_name", "_v.x").where(F.col("x").isNotNull()))
-    images = values.withColumn("_image", order_image("x")).drop("x")
-    names = [f"`{c}`" for c in at]
-    wanted = None   # (at, _prefix, _rank within it, _of: rank in the group)
-    for r in range(_ROUNDS):
-        low = 64 - _DIGIT * (r + 1)
-        rows = images.withColumns({
-            "_prefix": F.shiftright("_image", low + _DIGIT) if r else F.lit(0).cast("long"),
-            "_digit": F.shiftright("_image", low) if r == 0 else F.shiftright("_image", low).bitwiseAND((1 << _DIGIT) - 1)})
-        if r:
-            asked = wanted.select(*names, "_prefix").distinct()
-            rows = rows.alias("a").join(asked.alias("b"), _same("a", "b", [*at, "_prefix"]), "left_semi")
-        counts = rows.groupBy(*names, "_prefix", "_digit").agg(F.count(F.lit(1)).alias("_n"))
-        run = Window.partitionBy(*names, "_prefix").orderBy("_digit").rowsBetween(Window.unboundedPreceding, 0)
-        counts = counts.withColumn("_upto", F.sum("_n").over(run))
-        if r == 0:
-            counts = stage(counts)
-            total = counts.groupBy(*names).agg(F.sum("_n").alias("_total"))
-            place = [F.lit(float(p)) * (F.col("_total") - 1) for p in probs]
-            ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(h), F.ceil(h)) for h in place])))
-            wanted = total.select(*names, F.lit(0).cast("long").alias("_prefix"), F.explode(ranks).alias("_rank"))
-            wanted = wanted.withColumn("_of", F.col("_rank"))
-        hit = ((F.col("b._rank") >= F.col("a._upto") - F.col("a._n")) & (F.col("b._rank") < F.col("a._upto")))
-        found = counts.alias("a").join(wanted.alias("b"), _same("a", "b", [*at, "_prefix"]) & hit)
-        wanted = stage(found.select(
-            *[F.col(f"a.{n}") for n in names], (F.col("a._prefix") * (1 << _DIGIT) + F.col("a._digit")).alias("_prefix"),
-            (F.col("b._rank") - F.col("a._upto") + F.col("a._n")).alias("_rank"), F.col("b._of").alias("_of")))
-    # the prefix of all rounds is the image; pandas gives NaN back as null
-    by_rank = wanted.withColumn("_value", F.coalesce(of_image("_prefix"), F.lit(float("nan")))).groupBy(*names).agg(
-        F.map_from_entries(F.collect_list(F.struct("_of", "_value"))).alias("_at"))   # two ranks a quantile
-    total = total.alias("t").join(by_rank.alias("v"), _same("t", "v", at)).select(
-        *[F.col(f"t.{n}") for n in names], "_total", "_at")
-    out = total.select(*names, "_total", "_at", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
-    h = F.col("prob") * (F.col("_total") - 1)
-    lo, hi = F.element_at("_at", F.floor(h)), F.element_at("_at", F.ceil(h))
-    return out.select(*names, "prob", F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (h - F.floor(h))).alias("value"))
+    cols, probs, keys = list(cols), [float(p) for p in probs], list(keys)
+    groups = stage(_sketches(df, cols, keys))
+    found = None
+    for reach in _REACH:
+        found = stage(_within(df, groups, cols, probs, keys, reach))
+        if found.where("_lo_held = 0 OR _hi_held = 0").isEmpty():
+            break
+    lo, hi, h = F.col("_lo"), F.col("_hi"), F.col("_h")
+    return found.select(*[f"`{k}`" for k in keys], "column_name", F.element_at(
+        F.array(*[F.lit(p) for p in probs]), F.col("_prob") + 1).alias("prob"),
+        F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (h - F.floor(h))).alias("value"))
+
+
+def _within(df: DataFrame, groups: DataFrame, cols, probs, keys, reach: int) -> DataFrame:
+    """(*keys, column_name, _prob, _h, _lo, _hi, _lo_held, _hi_held): values at both ranks of each quantile, if held."""
+    brackets = groups.select(*[F.col(f"`{k}`") for k in keys], *[
+        _bracket(f"_g{n}", p, reach).alias(f"_b{n}_{i}") for n in range(len(cols)) for i, p in enumerate(probs)])
+    rows = df.select(*[F.col(f"`{k}`") for k in keys], *[_value(c).alias(f"_x{n}") for n, c in enumerate(cols)])
+    if keys:
+        both = rows.alias("a").join(brackets.alias("b"), _same("a", "b", keys))
+    else:
+        both = rows.crossJoin(F.broadcast(brackets))   # one row
+    def seen(n, i):
+        x, lo, hi = F.col(f"_x{n}"), F.col(f"_b{n}_{i}.lo"), F.col(f"_b{n}_{i}.hi")
+        def one(below, v):
+            return F.struct(F.lit(n).alias("n"), F.lit(i).alias("i"), F.lit(below).alias("below"), v.alias("v"))
+        return F.when(x < lo, one(True, F.lit(None).cast("double"))).when(x <= hi, one(False, x))
+    hits = both.select(*[F.col(f"a.`{k}`" if keys else f"`{k}`") for k in keys], F.explode(F.array_compact(F.array(
+        *[seen(n, i) for n in range(len(cols)) for i in range(len(probs))]))).alias("_s"))
+    kept = [F.col(f"`{k}`") for k in keys]
+    counts = (hits.select(*kept, "_s.n", "_s.i", "_s.below", "_s.v").groupBy(*kept, "n", "i", "below", "v")
+              .agg(F.count(F.lit(1)).alias("_n")))
+    run = Window.partitionBy(*kept, "n", "i").orderBy(F.desc("below"), "v").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("_upto", F.sum("_n").over(run))
+    places = groups.select(*kept, F.explode(F.array(*[F.struct(
+        F.lit(n).alias("n"), F.lit(i).alias("i"), F.lit(c).alias("column_name"), F.col(f"_g{n}.total").alias("total"),
+        _place(f"_g{n}", p).alias("_h")) for n, c in enumerate(cols) for i, p in enumerate(probs)])).alias("_p"))
+    places = places.select(*kept, "_p.*").where("total > 0")
+    def at(rank):
+        return (~F.col("below") & (rank >= F.col("_upto") - F.col("_n")) & (rank < F.col("_upto")))
+    hit = counts.alias("a").join(places.alias("b"), _same("a", "b", [*keys, "n", "i"]), "right").select(
+        *[F.col(f"b.`{k}`") for k in keys], "column_name", F.col("b.i").alias("_prob"), "_h", "below", "v", "_n", "_upto")
+    lo, hi = at(F.floor("_h")), at(F.ceil("_h"))
+    return hit.groupBy(*kept, "column_name", "_prob", "_h").agg(
+        F.max(F.when(lo, F.col("v"))).alias("_lo"), F.max(F.when(hi, F.col("v"))).alias("_hi"),
+        F.count_if(lo).alias("_lo_held"), F.count_if(hi).alias("_hi_held"))
