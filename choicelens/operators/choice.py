@@ -47,15 +47,28 @@ def baseline_factors(df: DataFrame, keys=("year", "energy"),
             .agg(F.count_distinct(F.struct(*choice_cols)).alias("unique_choices")))
 
 
+def choices_by_group(df: DataFrame, keys, choice_cols, registrations: str = "registrations",
+                     parts: int | None = None) -> DataFrame:
+    """(*keys, *choice_cols, _r): a row a configuration of each group with its registrations.
+
+    Nearly every row may have a configuration of its own. With ``parts`` the rows
+    are dealt to so many partitions first, so a task holds its share of the
+    configurations only; without, tasks merge what they can before the shuffle.
+    """
+    if parts:
+        df = df.select(*keys, *choice_cols, registrations).repartition(parts, *keys, *choice_cols)
+    return df.groupBy(*keys, *choice_cols).agg(F.sum(F.col(registrations).cast("bigint")).alias("_r"))
+
+
 def baseline_normalisation(df: DataFrame, keys=("year", "energy"),
                            choice_cols=("commercial_name", "capacity", "power"),
-                           registrations: str = "registrations") -> DataFrame:
-    """registrations / unique configurations per group, in one aggregate (O-A7)."""
+                           registrations: str = "registrations", parts: int | None = None) -> DataFrame:
+    """registrations / unique configurations per group, in two aggregates (O-A7)."""
     keys, choice_cols = list(keys), list(choice_cols)
     require_columns(df, keys + choice_cols + [registrations])
-    agg = (_non_null_keys(df, keys).groupBy(*keys).agg(
-        F.count_distinct(F.struct(*choice_cols)).alias("unique_choices"),
-        F.sum(F.col(registrations).cast("bigint")).alias("registrations_count")))
+    choices = choices_by_group(_non_null_keys(df, keys), keys, choice_cols, registrations, parts)
+    agg = choices.groupBy(*keys).agg(F.count(F.lit(1)).alias("unique_choices"),
+                                     F.sum("_r").alias("registrations_count"))
     return agg.withColumn("baseline_normalized_registrations",
                           F.col("registrations_count") / F.col("unique_choices"))
 

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from choicelens.operators.choice import choices_by_group
 from choicelens.operators.filters import require_columns
 from choicelens.session import stage
 
@@ -33,21 +34,26 @@ def dense_numbers(rows: DataFrame, cols, name: str = "number", parts: int = 256)
             .select(*cols, (F.col("_first") + F.col("_place")).cast("long").alias(name)))
 
 
-def choice_rollup(df: DataFrame, keys, choice_cols, registrations: str = "registrations") -> DataFrame:
+def choice_rollup(df: DataFrame, keys, choice_cols, registrations: str = "registrations",
+                  parts: int | None = None) -> DataFrame:
     """(*keys, bucket, choices binary, registrations): bitmaps of the choices of every group.
 
     ``registrations`` are those of the bucket's choices, so sums over rows are
     right. Rows with a null key are left out, as by the grouped counts. The fact
-    is read once; its distinct (group, choice) rows are staged.
+    is read once; its distinct (group, choice) rows are staged. With ``parts`` they
+    are dealt to so many partitions, and those of a bitmap meet before it is made.
     """
     keys, choice_cols = list(keys), list(choice_cols)
     require_columns(df, keys + choice_cols + [registrations])
     known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
-    rows = stage(df.where(known).groupBy(*keys, *choice_cols).agg(F.sum(F.col(registrations).cast("long")).alias("_r")))
+    rows = stage(choices_by_group(df.where(known), keys, choice_cols, registrations, parts))
     numbers = dense_numbers(rows, choice_cols, "_number")
     same = reduce(lambda a, b: a & b, (F.col(f"r.{c}").eqNullSafe(F.col(f"n.{c}")) for c in choice_cols))
     numbered = rows.alias("r").join(numbers.alias("n"), same).select(*[F.col(f"r.{k}") for k in keys], "_r", "_number")
-    maps = numbered.groupBy(*keys, F.bitmap_bucket_number("_number").alias("bucket")).agg(
+    numbered = numbered.withColumn("bucket", F.bitmap_bucket_number("_number"))
+    if parts:
+        numbered = numbered.repartition(parts, *keys, "bucket")
+    maps = numbered.groupBy(*keys, "bucket").agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("_number")).alias("choices"), F.sum("_r").alias("registrations"))
     return maps
 

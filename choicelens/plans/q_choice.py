@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from choicelens.functions.expr import log_colour
 from choicelens.operators import choice
-from choicelens.plans.bindings import sales_by_part, sales_lines
+from choicelens.plans.bindings import fact_parts, sales_by_part, sales_lines
 from choicelens.plans.registry import register, with_sales
 from choicelens.sources.readers import read_table
 
@@ -47,7 +47,7 @@ FROM sales GROUP BY geo, year, energy
 """, geo=True))
 def q_baseline_by_country(spark, d):
     df = sales_by_part(spark, d, geo=True)
-    return choice.baseline_normalisation(df, keys=("geo", "year", "energy"))
+    return choice.baseline_normalisation(df, keys=("geo", "year", "energy"), parts=fact_parts(spark, d))
 
 
 def _grid_sql(min_reg: int, keys: str = "year, energy", geo: bool = False) -> str:
@@ -167,7 +167,7 @@ FROM b WHERE energy IN ('ECONOMY', 'PROMO', 'STANDARD') GROUP BY geo, year
 """, geo=True))
 def q_country_normalised_total(spark, d):
     b = choice.baseline_normalisation(sales_by_part(spark, d, geo=True),
-                                      keys=("geo", "year", "energy"))
+                                      keys=("geo", "year", "energy"), parts=fact_parts(spark, d))
     t = choice.country_normalised_total(b, "baseline_normalized_registrations",
                                         selected=["ECONOMY", "PROMO", "STANDARD"])
     # sums of doubles differ in the last bits between engines: compare at 1e-6
@@ -219,5 +219,6 @@ FROM span JOIN rows ON year BETWEEN lo AND hi GROUP BY ALL"""
 def q_baseline_any_range(spark, d):
     """Distinct choices and registrations of all year ranges and regions from one table of bitmaps."""
     from choicelens.operators.rollup import choice_rollup, distinct_by_range
-    maps = choice_rollup(sales_by_part(spark, d, geo=True), ["geo", "year", "energy"], ["commercial_name", "capacity", "power"])
+    maps = choice_rollup(sales_by_part(spark, d, geo=True), ["geo", "year", "energy"], ["commercial_name", "capacity", "power"],
+                         parts=fact_parts(spark, d))
     return distinct_by_range(maps, _RANGES)
