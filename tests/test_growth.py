@@ -82,3 +82,25 @@ def test_shuffles_of_a_large_fact_have_more_tasks(spark, monkeypatch):
     assert plan.count(f", {parts}), REPARTITION_BY_NUM") >= 3
     assert sorted(map(key, by_country.collect())) == small[0]
     assert sorted(map(key, q_choice.q_baseline_any_range(spark, SF001).collect())) == small[1]
+
+
+def test_keys_with_few_references_compare_all_others_by_bands(spark, monkeypatch):
+    """Both ways find the nearest reference, ties to the smallest value, whatever the threshold."""
+    import random
+
+    from choicelens.operators import impute
+    r = random.Random(8)
+    rows = [(i, f"k{min(r.randrange(40), 5 + r.randrange(3))}", float(r.randrange(30)), r.choice([1.0, 2.5, None]),
+             r.choice([None, float(r.randrange(9))])) for i in range(1_500)]
+    df = spark.createDataFrame(rows, "id int, k string, a double, b double, v double")
+    got = []
+    for few in (0, 40, 10_000):
+        monkeypatch.setattr(impute, "FEW", few)
+        out = impute.nearest_impute(df, "v", ["k"], [("a", 1), ("b", 2)])
+        got.append(sorted((x["id"], x["v"]) for x in out.collect()))
+    assert got[0] == got[1] == got[2] and len(got[0]) == 1_500
+    refs = [x for x in rows if x[4] is not None]
+    for (i, v), row in zip(got[0], rows):
+        if row[4] is None and row[3] is not None:
+            near = [(abs(x[2] - row[2]) + 2 * abs(x[3] - row[3]), x[4]) for x in refs if x[1] == row[1] and x[3] is not None]
+            assert v == (min(near)[1] if near else v), (i, row)
