@@ -74,3 +74,22 @@ def test_add_latent_then_autoencoder_metric(spark):
     s = choice_series(lin, [2020, 2021], "EU27_2020", metrics=("autoencoder",),
                       min_registrations=1).collect()
     assert s and all(r["value"] > 0 for r in s)
+
+
+def test_what_a_pass_read_is_deleted_with_its_end(spark, monkeypatch):
+    """Six stages are written, packed; only the last one and the last pass are on disk at the end."""
+    import os
+
+    from choicelens.plans import registrations
+    from choicelens.session import stage_columns
+    paths = []
+
+    def noted(df, name):
+        out = stage_columns(df, name)
+        paths.extend(out.staged_paths)
+        assert [os.path.exists(p.removeprefix("file:")) for p in paths[-2:]] == [True] * len(paths[-2:])
+        return out
+    monkeypatch.setattr(registrations, "stage_columns", noted)
+    out = clean_registrations(_raw(spark))
+    assert out.count() == 7
+    assert [os.path.exists(p.removeprefix("file:")) for p in paths] == [False] * 5 + [True]
