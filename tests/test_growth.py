@@ -104,3 +104,12 @@ def test_keys_with_few_references_compare_all_others_by_bands(spark, monkeypatch
         if row[4] is None and row[3] is not None:
             near = [(abs(x[2] - row[2]) + 2 * abs(x[3] - row[3]), x[4]) for x in refs if x[1] == row[1] and x[3] is not None]
             assert v == (min(near)[1] if near else v), (i, row)
+
+
+def test_epochs_read_blocks_without_a_plan(spark):
+    """The sums of an epoch are the same from the frame of blocks and from its tuples, none if there is no block."""
+    rows = spark.createDataFrame([(i % 2, float(i), 1.0, -1.0, 0.5, 2.0, 1) for i in range(100)],
+                                 "train int, a double, b double, c double, d double, e double, n long")
+    blocks, vec = L.packed_rows(rows, list("abcde"), 3, "float32").cache(), L.flatten(L.init_params(2))
+    assert np.array_equal(L._epoch_sums(blocks, vec, 5), L._epoch_sums(L._block_rdd(blocks), vec, 5))
+    assert not L._epoch_sums(blocks.where("false"), vec, 5).any()
